@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from arcline.llm import decontaminate
+from arcline.llm import decontaminate, mixing
 
 
 def queries() -> dict:
-    return {"op8_decontaminate": decontaminate.op8}
+    return {"op1_mixing": mixing.op1, "op8_decontaminate": decontaminate.op8}
 
 
 def oracle_sql() -> dict[str, str]:
