@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from arcline.llm import decontaminate, licenses, mixing, warc
+from arcline.llm import decontaminate, licenses, mixing, topk, warc
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1, "op4_warc": warc.op4, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9}
+    return {"op1_mixing": mixing.op1, "op3_topk": topk.op3, "op4_warc": warc.op4, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    return {"op3_topk": topk.OP3_SQL, "op4_warc": warc.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
