@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from arcline.llm import decontaminate, licenses, mixing, topk, toxicity, warc
+from arcline.llm import decontaminate, jaccard, licenses, mixing, topk, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1, "op3_topk": topk.op3, "op4_warc": warc.op4, "op7_toxicity": toxicity.op7, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9}
+    return {"op1_mixing": mixing.op1, "op3_topk": topk.op3, "op4_warc": warc.op4, "op7_toxicity": toxicity.op7, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9, "op10_jaccard": jaccard.op10}
 
 
 def oracle_sql() -> dict[str, str]:
