@@ -49,11 +49,42 @@ def _features(v: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(v), 1))
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of rows of ``q`` with rows of ``c`` at equal places; doubles hold them exactly where they are below 2^53."""
-    if q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2.0**53:
-        return np.einsum("ij,ij->i", q.astype(np.float64), c.astype(np.float64)).astype(np.int64).astype(object)
-    return (q.astype(object) * c.astype(object)).sum(axis=1)
+def _survivors(q: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs may be among their query's first k: the bounds of every resolution reach the k-th best of some exact scores.
+
+    Those are the scores of the candidates with the highest coarse bounds.  A bound equal to the k-th score stays: it may win its tie.
+    """
+    slack = (1e-9 * np.abs(q).sum(axis=1) * max(1.0, np.abs(c).max(initial=0)) + 1e-6)[:, None]
+    alive = other.copy()
+    least = None
+    for r in [r for r in RESOLUTIONS if r < q.shape[1]]:
+        bound = _features(q, r) @ _features(c, r).T
+        bound[~alive] = -np.inf
+        if least is None:
+            if c.shape[0] <= 4 * k:
+                return alive
+            seed = np.argpartition(-bound, 3 * k, axis=1)[:, : 3 * k]
+            score = np.einsum("id,ijd->ij", q, c[seed])
+            score[~np.take_along_axis(other, seed, axis=1)] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k][:, None]
+        alive &= bound >= least - slack
+        if alive.mean() < 1 / 64:
+            break
+    return alive
+
+
+def _scores(q: np.ndarray, c: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Exact scores of the pairs that are left, -inf elsewhere: pair by pair where few are left, else as one product."""
+    out = np.full(alive.shape, -np.inf)
+    if np.count_nonzero(alive) * 16 < alive.size:
+        i, j = np.nonzero(alive)
+        for b in range(0, len(i), 1 << 16):
+            a, d = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
+            out[a, d] = np.einsum("ij,ij->i", q[a], c[d])
+        return out
+    columns = np.flatnonzero(alive.any(axis=0))
+    out[:, columns] = np.where(alive[:, columns], q @ c[columns].T, -np.inf)
+    return out
 
 
 def _block(k: int):
@@ -62,42 +93,25 @@ def _block(k: int):
         if not len(queries) or not len(candidates):
             return empty
         q_id, c_id = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
-        order = np.argsort(c_id, kind="stable")
-        c_id = c_id[order]
-        q, c = np.stack(queries["v"].to_numpy()), np.stack(candidates["v"].to_numpy())[order]
-        qd, cd = q.astype(np.float64), c.astype(np.float64)
-        slack = 1e-9 * (np.abs(qd).sum(axis=1) * max(1.0, np.abs(cd).max(initial=0))) + 1e-6
-        levels = [r for r in RESOLUTIONS if r < q.shape[1]] or [1]
-        features = [(_features(qd, r), _features(cd, r)) for r in levels]
-        coarse = features[0][0] @ features[0][1].T
-        out = []
-        for i in range(len(q)):
-            other = c_id != q_id[i]
-            bound = np.where(other, coarse[i], -np.inf)
-            seed = np.argpartition(-bound, min(k, len(c) - 1))[: 2 * k] if len(c) > 2 * k else np.arange(len(c))
-            seed = seed[other[seed]]
-            got = _exact(np.repeat(q[i : i + 1], len(seed), axis=0), c[seed])
-            least = sorted(got, reverse=True)[k - 1] if len(seed) >= k else None
-            left = np.flatnonzero(other)
-            if least is not None:  # a bound equal to the k-th score may still win its tie
-                left = left[bound[left] >= float(least) - slack[i]]
-                for fq, fc in features[1:]:
-                    left = left[fc[left] @ fq[i] >= float(least) - slack[i]]
-            score = _exact(np.repeat(q[i : i + 1], len(left), axis=0), c[left])
-            top = sorted(zip((-s for s in score), c_id[left].tolist(), strict=True))[:k] if len(left) <= 4 * k else _first(score, c_id[left], k)
-            out += [(int(q_id[i]), int(v), int(-s)) for s, v in top]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+        q, c = np.stack(queries["v"].to_numpy()), np.stack(candidates["v"].to_numpy())
+        other = q_id[:, None] != c_id[None, :]
+        if q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) >= 2.0**53:  # beyond what doubles hold exactly
+            big = q.astype(object) @ c.astype(object).T
+            rows = [(int(q_id[i]), int(v), int(-s)) for i in range(len(q)) for s, v in sorted((-big[i, j], c_id[j]) for j in np.flatnonzero(other[i]))[:k]]
+            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]) if rows else empty
+        q, c = q.astype(np.float64), c.astype(np.float64)
+        score = _scores(q, c, _survivors(q, c, other, k))
+        last = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(q), 1), -np.inf)
+        i, j = np.nonzero((score >= last) & (score > -np.inf))
+        value = score[i, j]
+        order = np.lexsort((c_id[j], -value, i))
+        i, j, value = i[order], j[order], value[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"query_id": q_id[i[first]], "vec_id": c_id[j[first]], "score": value[first].astype(np.int64)})
 
     return best
 
 
-def _first(score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-    order = np.lexsort((ids, -score.astype(np.float64)))  # scores beyond 2^53 may tie here: the exact ones decide among them
-    cut = -score.astype(np.float64)
-    last = cut[order[k - 1]]
-    return sorted((-int(score[j]), int(ids[j])) for j in order[cut[order] <= last])[:k]
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """The ``k`` rows of ``vectors`` (vec_id, v) of highest inner product for each row of ``queries`` (vec_id, v), its own vec_id left out.
 
