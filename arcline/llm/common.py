@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A-Z lower-cased; digits, letters and bytes from 0x80 kept; every other byte is a separator (32).
@@ -58,6 +59,29 @@ def carried(df: DataFrame, new: T.StructType, columns: list[str] | None = None)
     return [f.name for f in fields], T.StructType([*fields, *new.fields])
 
 
+_FILTER_BITS, _BITMAP_BITS = 1 << 27, 1 << 15
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashes of ``column``: at most 4096 rows of 4 KB, whatever the number of keys."""
+    h = F.pmod(F.xxhash64(column), F.lit(_FILTER_BITS))
+    bits = keys.select(F.floor(h / _BITMAP_BITS).cast("int").alias("_bucket"), (h % _BITMAP_BITS).alias("_bit")).distinct()
+    return bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def with_maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """``df`` with _maybe: false only where ``column`` is not among the bitmap's keys.
+
+    The bitmap's size has a bound, so it is broadcast; rows that can't match need no shuffle.  Once it is full every row may match.
+    """
+    h = F.pmod(F.xxhash64(column), F.lit(_FILTER_BITS))
+    at = (h % _BITMAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = df.withColumn("_bucket", F.floor(h / _BITMAP_BITS).cast("int")).withColumn("_at", at).join(F.broadcast(bitmap), "_bucket", "left")
+    found = F.getbit(F.coalesce(byte, F.lit(0)).cast("long"), F.pmod("_at", F.lit(8)))
+    return joined.withColumn("_maybe", found == 1).drop("_bucket", "_at", "_bits")
+
+
 LONG, INT, STRING, DOUBLE, BOOL, BINARY = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.BooleanType(), T.BinaryType()
 
 

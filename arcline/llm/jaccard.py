@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import BINARY, LONG, Words, constants, list_array, read, splitmix, stage, struct, text_slices, window_hashes
+from arcline.llm.common import BINARY, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, window_hashes, with_maybe
 from arcline.llm.components import components
 
 NGRAM, SIMILARITY, RECALL, BLOCK = 5, (4, 5), 0.995, 256
@@ -185,6 +185,7 @@ def join(docs: DataFrame, *, text: str = "text", ngram: int = NGRAM, similarity:
 def _full_sets(docs: DataFrame, placed: DataFrame, text: str, ngram: int) -> DataFrame:
     """``placed`` classes with the n-gram set of one document of each; of rows that share its doc_id those of its text count."""
     d = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"))
+    d = with_maybe(d, "_id", key_filter(placed, "copy_id")).where("_maybe").drop("_maybe")
     rows = placed.join(d, placed["copy_id"].eqNullSafe(d["_id"])).drop("_id")
     kept = [c for c in placed.columns if c != "copy_id"]
     schema = T.StructType([*[placed.schema[c] for c in kept], T.StructField("grams", T.BinaryType())])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import FOLD, INT, LONG, Words, constants, list_array, read, splitmix, stage, struct, text_slices
+from arcline.llm.common import FOLD, INT, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, with_maybe
 
 MIN_WORDS = 8
 PLACE = ["doc_id", "line_no"]
@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN
     shared = stage(shared, "halves")
     candidates = keyed.join(shared, "key").groupBy(*PLACE).agg(F.max((F.col("half") % 2 == 1)).alias("first"), F.max((F.col("half") % 2 == 0)).alias("second"))
     by_doc = stage(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "first", "second")).alias("_lines")), "candidates")  # a document's own lines
-    d = docs.select("doc_id", F.col(text).alias("_text")).join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    d = with_maybe(docs.select("doc_id", F.col(text).alias("_text")), "doc_id", key_filter(by_doc, "doc_id")).where("_maybe")
+    d = d.join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     every = F.split("_text", "\n", -1)
     texts = d.select("doc_id", F.inline(F.transform("_lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.get(every, x["line_no"]).alias("line"), x["first"].alias("first"), x["second"].alias("second")))))
     texts = stage(texts.where(F.col("line").isNotNull()), "candidate-lines")
@@ -241,12 +242,14 @@ def remove_lines(docs: DataFrame, dropped: DataFrame, text: str = "text") -> Dat
 
     A document of whose lines none with words is left goes; others, and those that had none before, stay.
     """
-    by_doc = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(stage(by_doc, "dropped"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    by_doc = stage(dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped")
+    marked = with_maybe(docs, "doc_id", key_filter(by_doc, "_id"))
+    joined = marked.where("_maybe").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
     some = F.col("_gone").isNotNull()
     new = joined.withColumn(text, F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-    return new.where(~some | F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop("_id", "_gone")
+    new = new.where(~some | F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop("_id", "_gone")
+    return marked.where(~F.col("_maybe")).withColumn("n_removed", F.lit(0)).unionByName(new).drop("_maybe")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from arcline.llm import decontaminate, jaccard, licenses, lines, mixing, pitman_yor, topk, toxicity, warc
+from arcline.llm import decontaminate, jaccard, licenses, lines, mixing, pitman_yor, pseudonyms, topk, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1, "op3_topk": topk.op3, "op4_warc": warc.op4, "op5_lines": lines.op5, "op6_pitman_yor": pitman_yor.op6, "op7_toxicity": toxicity.op7, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9, "op10_jaccard": jaccard.op10}
+    return {"op1_mixing": mixing.op1, "op2_pseudonyms": pseudonyms.op2, "op3_topk": topk.op3, "op4_warc": warc.op4, "op5_lines": lines.op5, "op6_pitman_yor": pitman_yor.op6, "op7_toxicity": toxicity.op7, "op8_decontaminate": decontaminate.op8, "op9_licenses": licenses.op9, "op10_jaccard": jaccard.op10}
 
 
 def oracle_sql() -> dict[str, str]:
