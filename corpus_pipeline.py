@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcline.llm import decontaminate, jaccard, lines, mixing, toxicity
-from arcline.llm.common import read, release, scratch_dir
+from arcline.llm.common import key_filter, read, release, scratch_dir, stage, with_maybe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,7 +38,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     release(spark)
     groups = jaccard.join(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
+    gone = stage(gone, "gone")
+    marked = with_maybe(docs, "doc_id", key_filter(gone, "_id"))
+    left = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return marked.where(~F.col("_maybe")).unionByName(left).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
