@@ -174,13 +174,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     distinct = stage(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.max("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("times")), "distinct")
     repeated = distinct.where("times > 1").select("h1", "h2", "at")
-    exact = lines.select("doc_id", "line_no", "h1", "h2").join(stage(repeated, "repeated"), ["h1", "h2"])
+    repeated = stage(repeated, "repeated")
+    copies = with_maybe(lines.select("doc_id", "line_no", "h1", "h2"), "h1", key_filter(repeated, "h1")).where("_maybe").drop("_maybe")
+    exact = copies.join(repeated, ["h1", "h2"])
     exact = exact.where(~order.eqNullSafe(F.col("at"))).select("doc_id", "line_no", F.col("at.doc_id").alias("kept_doc_id"), F.col("at.line_no").alias("kept_line_no"))
 
     keyed = distinct.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), F.posexplode("halves").alias("half", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = stage(shared, "halves")
-    candidates = keyed.join(shared, "key").groupBy(*PLACE).agg(F.max((F.col("half") % 2 == 1)).alias("first"), F.max((F.col("half") % 2 == 0)).alias("second"))
+    likely = with_maybe(keyed, "key", key_filter(shared, "key")).where("_maybe").drop("_maybe")
+    candidates = likely.join(shared, "key").groupBy(*PLACE).agg(F.max((F.col("half") % 2 == 1)).alias("first"), F.max((F.col("half") % 2 == 0)).alias("second"))
     by_doc = stage(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "first", "second")).alias("_lines")), "candidates")  # a document's own lines
     d = with_maybe(docs.select("doc_id", F.col(text).alias("_text")), "doc_id", key_filter(by_doc, "doc_id")).where("_maybe")
     d = d.join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
