@@ -59,11 +59,11 @@ def carried(df: DataFrame, new: T.StructType, columns: list[str] | None = None)
     return [f.name for f in fields], T.StructType([*fields, *new.fields])
 
 
-_FILTER_BITS, _BITMAP_BITS = 1 << 27, 1 << 15
+_FILTER_BITS, _BITMAP_BITS = 1 << 26, 1 << 15
 
 
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of the hashes of ``column``: at most 4096 rows of 4 KB, whatever the number of keys."""
+    """A bitmap of the hashes of ``column``: at most 2048 rows of 4 KB, whatever the number of keys."""
     h = F.pmod(F.xxhash64(column), F.lit(_FILTER_BITS))
     bits = keys.select(F.floor(h / _BITMAP_BITS).cast("int").alias("_bucket"), (h % _BITMAP_BITS).alias("_bit")).distinct()
     return bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))

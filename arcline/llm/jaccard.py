@@ -156,7 +156,9 @@ def join(docs: DataFrame, *, text: str = "text", ngram: int = NGRAM, similarity:
 
     banded = classes.select("class_key", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(F.min("class_key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = banded.join(stage(buckets, "buckets"), ["band", "bucket"]).select(F.col("class_key").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    buckets = stage(buckets, "buckets")
+    likely = with_maybe(banded, "bucket", key_filter(buckets, "bucket")).where("_maybe").drop("_maybe")
+    ties = likely.join(buckets, ["band", "bucket"]).select(F.col("class_key").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     clusters = components(stage(ties, "ties"))
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
