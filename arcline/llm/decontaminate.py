@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from arcline.llm.common import BOOL, LONG, STRING, Words, carried, read, struct, text_slices, window_hashes
 
 NEW = struct(n_words=LONG, n_hit=LONG, n_items=LONG, item_ids=T.ArrayType(STRING), spans=T.ArrayType(struct(first=LONG, last=LONG)), contaminated=BOOL)
+FOUND = "struct<n_words:bigint,item_ids:array<string>,spans:array<struct<first:bigint,last:bigint>>>"
 WINDOW = 13
 
 
@@ -87,64 +87,53 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", columns:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / (2 * max_block_words)))  # a word and its separator take two characters at least
-    names, schema = carried(docs, NEW, columns)
-    out = docs
+    names, _ = carried(docs, NEW, columns)
+    found = F.lit(None).cast(FOUND)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = spark.sparkContext.broadcast(_Index([(r.item_id, r.text) for r in part.collect()], window))
-        out = _scan(out, index, names, schema, text, share, block == 0, block == blocks - 1)
-    return out
-
-
-def _scan(docs: DataFrame, index, names: list[str], schema: T.StructType, text: str, share: int, first: bool, last: bool) -> DataFrame:
-    """One block's scan.  Between blocks a row carries its text, under a name of its own, and what was found so far."""
-    source = text if first else "_text"
-    out_schema = schema if last else T.StructType([*schema.fields, T.StructField("_text", T.StringType())])
-    new = list(NEW.fieldNames())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {f.name: None for f in schema}
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(source))
-            n_words, spans, items = [], [], []
-            for lo, hi, data, offsets in text_slices(column):
-                words = Words(data, offsets)
-                hit, occurring = index.value.hits(words)
-                n_words.extend(np.diff(words.first).tolist())
-                at = [[] for _ in range(hi - lo)]
-                got: list[set[str]] = [set() for _ in range(hi - lo)]
-                if occurring:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                    for b, e in zip(edge[::2], edge[1::2], strict=True):
-                        while b < e:  # a run of hits may go over from one text to the next
-                            i = int(np.searchsorted(words.first, b, "right")) - 1
-                            stop = min(e, int(words.first[i + 1]))
-                            at[i].append((int(b - words.first[i]), int(stop - words.first[i]) - 1))
-                            b = stop
-                    for k, found in occurring:
-                        got[int(np.searchsorted(words.first, k, "right")) - 1] |= found
-                spans += at
-                items += got
-            if not first:
-                for i, (s, ids) in enumerate(zip(batch.column(batch.schema.get_field_index("spans")).to_pylist(), batch.column(batch.schema.get_field_index("item_ids")).to_pylist(), strict=True)):
-                    spans[i] += [(x["first"], x["last"]) for x in s]
-                    items[i] |= set(ids)
-            spans = [_merged(s) if len(s) > 1 else s for s in spans]
-            n_hit = [sum(e - b + 1 for b, e in s) for s in spans]
-            made = {
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_hit": pa.array(n_hit, pa.int64()),
-                "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                "spans": pa.array([[{"first": b, "last": e} for b, e in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                "contaminated": pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-            }
-            arrays = [made[k] if k in new else batch.column(batch.schema.get_field_index(k)) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*arrays, *([] if last else [column])], names=[*kinds, *([] if last else ["_text"])])
-
-    needed = [*names, *([] if text in names or not first else [text])]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in needed], *([] if first else [*new, "_text"]))
-    return chosen.mapInArrow(run, out_schema)
+        found = _marker(index)(F.col(text), found)
+    out = docs.select(*[F.col(f"`{c}`") for c in names], found.alias("_found"))  # only texts go to Python, no text comes back
+    n_hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda t, s: t + s["last"] - s["first"] + 1)
+    out = out.withColumn("n_words", F.col("_found.n_words")).withColumn("n_hit", n_hit).withColumn("n_items", F.size("_found.item_ids").cast("long"))
+    out = out.withColumn("item_ids", F.col("_found.item_ids")).withColumn("spans", F.col("_found.spans"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).drop("_found")
+
+
+def _marker(index):
+    """A function of texts, and what earlier blocks have found in them, that adds what this block's index finds."""
+    kind = pa.struct([("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+
+    @F.arrow_udf(FOUND)
+    def mark_texts(texts: pa.Array, before: pa.Array) -> pa.Array:
+        n_words, spans, items = [], [], []
+        for lo, hi, data, offsets in text_slices(texts):
+            words = Words(data, offsets)
+            hit, occurring = index.value.hits(words)
+            n_words.extend(np.diff(words.first).tolist())
+            at = [[] for _ in range(hi - lo)]
+            got: list[set[str]] = [set() for _ in range(hi - lo)]
+            if occurring:
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                for b, e in zip(edge[::2], edge[1::2], strict=True):
+                    while b < e:  # a run of hits may go over from one text to the next
+                        i = int(np.searchsorted(words.first, b, "right")) - 1
+                        stop = min(e, int(words.first[i + 1]))
+                        at[i].append((int(b - words.first[i]), int(stop - words.first[i]) - 1))
+                        b = stop
+                for k, found in occurring:
+                    got[int(np.searchsorted(words.first, k, "right")) - 1] |= found
+            spans += at
+            items += got
+        if before.null_count < len(before):
+            for i, x in enumerate(before.to_pylist()):
+                if x is not None:
+                    spans[i] += [(s["first"], s["last"]) for s in x["spans"]]
+                    items[i] |= set(x["item_ids"])
+        rows = [{"n_words": n, "item_ids": sorted(k), "spans": [{"first": b, "last": e} for b, e in (_merged(s) if len(s) > 1 else s)]} for n, k, s in zip(n_words, items, spans, strict=True)]
+        return pa.array(rows, kind)
+
+    return mark_texts
 
 
 def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:

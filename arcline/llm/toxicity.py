@@ -216,27 +216,26 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", columns: list[st
 
     Null and empty texts have no hits and get the score of that.  Rows are scored one by one, so repeated rows score alike.
     """
-    names, schema = carried(docs, NEW, columns)
+    names, _ = carried(docs, NEW, columns)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         m = held.value
         size = len(m.entries)
         whole = {e[1:]: k for e, k in m.entries.items() if e[:1] == b"="}
         begins = {n: {e[1:]: k for e, k in m.entries.items() if e[:1] == b"^" and len(e) == n + 1} for n in BEGINNINGS}
         table = FOLD.tobytes()
-        for batch in batches:
-            scores = []
-            for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
-                for i in range(hi - lo):
-                    words = data[offsets[i] : offsets[i + 1]].tobytes().translate(table).split()
-                    x = _inputs(_count(words, whole, begins), len(words), size)
-                    scores.append(1 / (1 + math.exp(-min(30.0, max(-30.0, float(x @ m.weights) + m.bias)))))
-            made = {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32())}
-            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(batch.schema.get_field_index(f.name)) for f in schema], names=schema.fieldNames())
-
-    chosen = [*names, *([] if text in names else [text])]
-    return docs.select(*[F.col(f"`{c}`") for c in chosen]).mapInArrow(run, schema)
+        scores = []
+        for lo, hi, data, offsets in text_slices(texts):
+            for i in range(hi - lo):
+                words = data[offsets[i] : offsets[i + 1]].tobytes().translate(table).split()
+                x = _inputs(_count(words, whole, begins), len(words), size)
+                scores.append(1 / (1 + math.exp(-min(30.0, max(-30.0, float(x @ m.weights) + m.bias)))))
+        return pa.array(scores, pa.float64())
+
+    out = docs.select(*[F.col(f"`{c}`") for c in names], scored(F.col(text)).alias("score"))  # only texts go to Python, only numbers come back
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def remainder(doc_id: str | Column, n: int) -> Column:
