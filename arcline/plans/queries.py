@@ -86,19 +86,20 @@ def primary_bounce(spark, d):
     return _rounded(_rounded(tracks.primary(tracks.turning_points(M.track(spark, d))), 4, "time_sec", "score"), 6, "confidence")
 
 
-def _judged(spark, d, court: DataFrame) -> DataFrame:
+def _judged(spark, d, court: list) -> DataFrame:
+    """The bounces judged by one configuration for all clips, ``court`` being its columns."""
     bounces = _rounded(tracks.turning_points(M.track(spark, d)).select("clip_id", "frame_index", "x", "y", "score"), 2, "x", "y")
-    return courts.judge(bounces, bounces.select("clip_id").distinct().crossJoin(F.broadcast(court)))  # one configuration for all
+    return courts.judge(bounces, bounces.select("clip_id").distinct().select("clip_id", *court))
 
 
-def _polygon_court(spark) -> DataFrame:
+def _polygon_court() -> list:
     none = F.lit(None).cast(G.POINT)
-    return spark.range(1).select(F.lit("polygon").alias("mode"), G.literal_ring(M.COURT).alias("court_polygon"), none.alias("line_start"), none.alias("line_end"), none.alias("inside_point"), F.lit(3.0).alias("line_tolerance_px"))
+    return [F.lit("polygon").alias("mode"), G.literal_ring(M.COURT).alias("court_polygon"), none.alias("line_start"), none.alias("line_end"), none.alias("inside_point"), F.lit(3.0).alias("line_tolerance_px")]
 
 
-def _line_court(spark) -> DataFrame:
+def _line_court() -> list:
     a, b, c = (G.point(*p) for p in M.LINE)
-    return spark.range(1).select(F.lit("line").alias("mode"), F.lit(None).cast(G.RING).alias("court_polygon"), a.alias("line_start"), b.alias("line_end"), c.alias("inside_point"), F.lit(3.0).alias("line_tolerance_px"))
+    return [F.lit("line").alias("mode"), F.lit(None).cast(G.RING).alias("court_polygon"), a.alias("line_start"), b.alias("line_end"), c.alias("inside_point"), F.lit(3.0).alias("line_tolerance_px")]
 
 
 _DECIDED = "CASE WHEN dist <= 3 OR inside THEN 'IN' ELSE 'OUT' END"
@@ -108,17 +109,17 @@ _VERDICT = f"{_DECIDED} AS decision, CASE WHEN dist <= 3 THEN 'on_line' WHEN ins
 
 @query(f"{_JUDGED} SELECT key // 1000000 AS clip_id, CAST(key % 1000000 AS INTEGER) AS frame_index, x AS judge_x, y AS judge_y, {_VERDICT}, CAST(NULL AS DOUBLE) AS signed_distance_px FROM far")
 def judge_polygon(spark, d):
-    return _judged(spark, d, _polygon_court(spark)).drop("x", "y", "score")
+    return _judged(spark, d, _polygon_court()).drop("x", "y", "score")
 
 
 @query(f"{_JUDGED} SELECT {_DECIDED} AS decision, count(*) AS n FROM far GROUP BY 1")
 def judge_decision_counts(spark, d):
-    return _judged(spark, d, _polygon_court(spark)).groupBy("decision").agg(F.count("*").alias("n"))
+    return _judged(spark, d, _polygon_court()).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 @query(f"{_JUDGED}, verdict AS (SELECT key // 1000000 AS clip_id, CAST(key % 1000000 AS INTEGER) AS frame_index, {_VERDICT} FROM far) SELECT * FROM (SELECT * FROM verdict QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) = 1)")
 def primary_decision(spark, d):
-    judged = _judged(spark, d, _polygon_court(spark))
+    judged = _judged(spark, d, _polygon_court())
     first = judged.groupBy("clip_id").agg(F.min(F.struct("frame_index", "decision", "decision_reason", "boundary_distance_px")).alias("p"))
     return first.select("clip_id", "p.*")
 
@@ -132,7 +133,7 @@ SELECT clip_id, frame_index, x AS judge_x, y AS judge_y, CASE WHEN abs(side) <=
     CASE WHEN abs(side) <= 3 THEN 'on_line' WHEN (side > 0) = ({_REF} > 0) THEN 'same_side_as_inside_point' ELSE 'opposite_side_from_inside_point' END AS decision_reason,
     {sql_round('abs(side)', 3)} AS boundary_distance_px, {sql_round('side', 3)} AS signed_distance_px FROM s""")
 def judge_line(spark, d):
-    return _judged(spark, d, _line_court(spark)).drop("x", "y", "score")
+    return _judged(spark, d, _line_court()).drop("x", "y", "score")
 
 
 _POINTS = f"WITH {M.SQL_RING}, {sql_judge('SELECT event_id AS key, event_id % 101 + 0.25::DOUBLE AS x, value AS y FROM events')}"
@@ -347,7 +348,7 @@ k AS (SELECT clip_id, count(*) AS c FROM b GROUP BY clip_id)
 SELECT n.clip_id, n.frame_index, CASE WHEN bounce_frame IS NOT NULL THEN {_DECIDED} || ' BOUNCE' END AS label, CASE WHEN bounce_frame IS NOT NULL THEN {_DECIDED} || '  frame=' || bounce_frame || '  dist=' || round({sql_round('dist', 3)}, 0)::INTEGER || 'px' WHEN k.c IS NULL THEN 'NO BOUNCE' END AS banner
 FROM n LEFT JOIN far ON far.key = n.clip_id * 1000000 + n.bounce_frame LEFT JOIN k ON k.clip_id = n.clip_id""")
 def banner_text(spark, d):
-    judged = _judged(spark, d, _polygon_court(spark)).withColumn("boundary_distance_px", F.round("boundary_distance_px", 0).cast("int"))
+    judged = _judged(spark, d, _polygon_court()).withColumn("boundary_distance_px", F.round("boundary_distance_px", 0).cast("int"))
     return overlay.draw_plan(M.track(spark, d).select("clip_id", "frame_index"), judged).select("clip_id", "frame_index", "label", "banner")
 
 
@@ -402,6 +403,6 @@ def job_summary(spark, d):
     track = base.withColumn("status", F.when(F.col("x").isNotNull(), "detected").otherwise("missing"))
     bounces = tracks.turning_points(base)
     clips = base.select("clip_id").distinct().withColumn("has_config", F.col("clip_id") % 2 == 0)
-    judged = _judged(spark, d, _polygon_court(spark)).where(F.col("clip_id") % 2 == 0)
+    judged = _judged(spark, d, _polygon_court()).where(F.col("clip_id") % 2 == 0)
     made = jobs.summarise(clips, track, bounces, judged)
     return _rounded(made.select("clip_id", "frames", "detected", "missing", "bounce_count", "result", "confidence", "failure_type"), 6, "confidence")
