@@ -127,6 +127,18 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[float, ...] = WEI
     return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "ranges")
 
 
+def mixed_texts(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The texts of a mix, (doc_id, piece, text): each document's whole text as often as ``passes`` says, then its ``ranges`` joined by spaces.
+
+    Documents are joined by doc_id, which has to name them; those without one or of no taken words give nothing.
+    """
+    joined = docs.select("doc_id", F.col(text).alias("_text")).join(mixed.where("taken > 0").select("doc_id", "passes", "ranges"), "doc_id")
+    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("ranges", lambda x: F.slice(words, (x["first"] + 1).cast("int"), (x["last"] - x["first"] + 1).cast("int")))), " ")
+    pieces = F.concat(F.array_repeat("_text", F.col("passes").cast("int")), F.when(F.size("ranges") > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
+    return joined.select("doc_id", F.posexplode(pieces).alias("piece", "text"))
+
+
 def _few(quotas: DataFrame, most: int = 100_000) -> bool:
     """Whether so few sources are there that their quotas may be broadcast; else they are joined by a shuffle."""
     return quotas.count() <= most

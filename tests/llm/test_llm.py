@@ -89,6 +89,10 @@ def test_mix_comes_near_its_targets(spark):
         assert math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.source_size == sizes[r.source]
     assert all(abs(taken[s] - want[s]) <= 3 * mixing.BLOCK_TOKENS for s in sizes)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    in_pieces = defaultdict(int)
+    for r in mixing.mixed_texts(df, mixing.mix(df)).collect():
+        in_pieces[r.doc_id] += len(r.text.split())
+    assert in_pieces == {r.doc_id: r.taken for r in rows if r.taken}
 
 
 def test_mix_of_odd_rows(spark):
