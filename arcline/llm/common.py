@@ -40,12 +40,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the staged tables of earlier calls; only for callers whose earlier results have been written."""
+def staged() -> list[str]:
+    """Paths that ``stage`` has written and ``release`` has not deleted."""
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; only for callers whose results that read them have been written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for p in paths:
+        if p in _STAGED:
+            _STAGED.remove(p)
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
