@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -12,30 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcline.llm import decontaminate, jaccard, lines, mixing, toxicity
-from arcline.llm.common import key_filter, read, release, scratch_dir, stage, with_maybe
+from arcline.llm.common import key_filter, read, release, scratch_dir, stage, staged, with_maybe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_BEHIND: list[str] = []
 
 
+def _clears(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the tables which the stage before it has staged: that one's result has been written."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _BEHIND)
+        before = set(staged())
+        out = function(spark, docs, sf_dir)
+        _BEHIND[:] = [p for p in staged() if p not in before]
+        return out
+
+    return run_stage
+
+
+@_clears
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; those that it can't judge (empty ones) stay."""
-    release(spark)
     model = toxicity.fit(toxicity.sample(docs, read(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 3) != 1))
     scored = toxicity.score(docs, model)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+@_clears
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one repeats or nearly repeats go, and documents of which nothing is left; n_chars follows the text."""
-    release(spark)
     left = lines.remove_lines(docs, lines.near_duplicates(docs))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
+@_clears
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays, once; documents without words stay all."""
-    release(spark)
     groups = jaccard.join(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
     gone = stage(gone, "gone")
@@ -44,16 +59,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return marked.where(~F.col("_maybe")).unionByName(left).select(*COLUMNS)
 
 
+@_clears
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages beyond the rule's share go; the others stay as they are."""
-    release(spark)
     marked = decontaminate.mark(docs, read(spark, sf_dir, "benchmark"))
     return marked.where(~F.col("contaminated")).select(*COLUMNS)
 
 
+@_clears
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with their source's target, the words taken, whole passes and ranges of a further one."""
-    release(spark)
     mixed = mixing.mix(docs)
     return mixed.where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "ranges")
 
