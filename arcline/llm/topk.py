@@ -14,7 +14,6 @@ a query.  The best of these are then ranked.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
