@@ -1,27 +1,32 @@
 """Hierarchical Pitman-Yor language model: Chinese-restaurant seating sampled by Gibbs, contexts sharing one parent.
 
-Symbols are the words that make up at least 1 / ``head`` of all training tokens (at most ``head`` of them, whatever the corpus) and, for all
-other words, ``tails`` classes by the word's last bytes.  Every preceding symbol has a context restaurant over symbols; they share the
-parent restaurant, whose base is uniform.  Each tail class has a restaurant over its words, one further word for those not seen.  So
-every token of the corpus is a customer, while the context restaurants' state has a bound, the square of the number of symbols.
+Symbols are all words that the training texts hold at least ``LEAST`` times and, for words below that, ``tails`` classes by the word's last
+bytes.  Every preceding symbol has a context restaurant over symbols; they share the parent restaurant, whose base is uniform.  Each tail
+class has a restaurant over its words, which stand once each, and one further word for those not seen.  So every token of the corpus is
+a customer, and what is gathered grows with the corpus: a number for each symbol and for each distinct pair.
 
 A customer of dish w opens a table in the context of u with probability in proportion to (strength + discount * tables of u) * parent(w), and
 joins others in proportion to the dish's customers minus discount * its tables.  A sweep empties each (u, w) and seats its customers
 anew with all else held; rows are sampled side by side, then the parent's from the new tables.  After the burn-in the predictive probabilities of
 the sweeps are averaged.
 
-Documents are packed once into chunks of a few megabytes.  A chunk asks for the counts of its distinct words, and for its distinct pairs of
-symbols, not for each token; requests and answers travel packed, by bucket of the word or pair, and the chunk then scores its documents
-with the answers.  Chunks times buckets is the number of requests: ``chunk_bytes`` is to grow with the corpus beyond some terabytes.
+Symbols are numbered and dealt to ``g`` blocks; cell (a, b) of a g by g grid has the pairs of contexts of block a and dishes of block b.  The state
+is a table of blocks, never on the driver: a sweep sends each block to its g cells, and each cell's sums back to its two blocks.
+
+Documents are packed once into chunks of a few megabytes.  A chunk asks for the counts and numbers of its distinct words, and for its distinct
+pairs of symbols, not for each token; requests and answers travel packed, by bucket of the word or cell of the pair, and the chunk
+then scores its documents with the answers.  Chunks times cells is the number of requests: ``chunk_bytes`` is to grow with the
+corpus beyond some terabytes.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,40 +37,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import BINARY, DOUBLE, INT, LONG, read, stage, struct, text_slices
+from arcline.llm.common import BINARY, DOUBLE, INT, LONG, read, release, stage, staged, struct, text_slices
 from arcline.llm.toxicity import remainder
 
-HEAD, TAILS = 16_384, 256
+#: A word that the training texts hold so often is a symbol of its own; a block holds about HEAD symbols at most.
+LEAST, HEAD, TAILS = 2, 1 << 20, 256
 CHUNK_BYTES = 6 << 20
-BUCKETS_PER_CHUNK, MAX_BUCKETS = 1, 1024
+CHUNKS_PER_BUCKET = 4
 BURN_IN, SAMPLES = 3, 4
 CONTEXT = (0.75, 5.0)
 PARENT = (0.1, 10.0)
 WORDS = (0.7, 10.0)
 SEED = 20240917
-_COUNT_BITS = 44
 
 #: The end of a text, a symbol and a word of its own; no word holds a space.
 END = b" "
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-@dataclass
-class Vocabulary:
-    """Symbols: ``heads`` in order, then ``tails`` classes, then the start of a text (a context only)."""
-
-    heads: dict[bytes, int]
-    counts: np.ndarray
-    tails: int
-
-    @property
-    def size(self) -> int:
-        return len(self.heads) + self.tails
-
-    def tail(self, word: bytes) -> int:
-        return len(self.heads) + _tail(word, self.tails)
-
-
 def _tail(word: bytes, tails: int) -> int:
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 17 + (len(word) > 4)) % tails
 
@@ -75,12 +64,32 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.translate(_LOWER).split(), END]
 
 
+class _Planes(NamedTuple):
+    """Whole numbers, first byte by first byte: small ones take little once packed."""
+
+    kind: str
+    data: bytes
+
+
 def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    def planes(y):
+        if isinstance(y, tuple):
+            return tuple(planes(z) for z in y)
+        if isinstance(y, np.ndarray) and y.dtype.kind in "iu":
+            return _Planes(y.dtype.str, np.ascontiguousarray(np.ascontiguousarray(y).view(np.uint8).reshape(-1, y.itemsize).T).tobytes())
+        return y
+
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes(x), protocol=5))
 
 
 def _unpack(x: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))  # noqa: S301  what this module has written
+    def whole(y):
+        if isinstance(y, _Planes):
+            kind = np.dtype(y.kind)
+            return np.ascontiguousarray(np.frombuffer(y.data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+        return tuple(whole(z) for z in y) if isinstance(y, tuple) else y
+
+    return whole(pickle.loads(zstandard.ZstdDecompressor().decompress(x)))  # noqa: S301  what this module has written
 
 
 def chunks(docs: DataFrame, text: str, train: Column, chunk_bytes: int) -> DataFrame:
@@ -145,12 +154,12 @@ def word_requests(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.mapInArrow(run, struct(chunk=LONG, bucket=INT, body=BINARY))
 
 
-def count_words(requests: DataFrame, head: int, tails: int) -> DataFrame:
+def count_words(requests: DataFrame, tails: int) -> DataFrame:
     """The counts of all words, by bucket.  Rows of three kinds:
 
-    0: (chunk, bucket, body), the training counts of a chunk's words in the order of its request;
-    1: (word, c), the words that may be frequent: no bucket has more than ``head`` whose share of its own tokens is 1 / ``head``;
-    2: (symbol, c, n), how many words of a tail class were seen c times.
+    0: (chunk, bucket, body), the training counts of a chunk's words in the order of its request, and their ranks among the bucket's symbols (-1: none);
+    1: (bucket, symbols, n), the bucket's number of symbols and of words seen, and c, of tokens;
+    2: (symbol, n), how many words of a tail class were seen.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         total: dict[bytes, int] = {}
@@ -162,64 +171,71 @@ def count_words(requests: DataFrame, head: int, tails: int) -> DataFrame:
             for w, k in zip(words, n.tolist(), strict=True):
                 total[w] = total.get(w, 0) + k
         bucket = int(pdf["bucket"].iloc[0])
-        rows = [(0, int(chunk), bucket, None, None, 0, 0, _pack(np.fromiter((total[w] for w in words), np.int64, len(words)))) for chunk, words in zip(pdf["chunk"], lists, strict=True)]
-        n = sum(total.values())
-        often = [(w, c) for w, c in total.items() if c and c * head >= n]
-        rows += [(1, 0, bucket, w, None, c, 1, None) for w, c in often]
-        frequent = {w for w, _ in often}
-        rare = Counter((_tail(w, tails), c) for w, c in total.items() if c and w not in frequent)
-        rows += [(2, 0, bucket, None, symbol, c, k, None) for (symbol, c), k in rare.items()]
-        return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "word", "symbol", "c", "n", "body"]).astype({"symbol": "Int32"})
-
-    return requests.groupBy("bucket").applyInPandas(run, "kind int, chunk long, bucket int, word binary, symbol int, c long, n long, body binary")
-
+        rank = {w: i for i, w in enumerate(sorted(w for w, c in total.items() if c >= LEAST))}
+        rows = []
+        for chunk, words in zip(pdf["chunk"], lists, strict=True):
+            body = _pack((np.fromiter((total[w] for w in words), np.int64, len(words)), np.fromiter((rank.get(w, -1) for w in words), np.int64, len(words))))
+            rows.append((0, int(chunk), bucket, 0, 0, 0, body))
+        rows.append((1, 0, bucket, len(rank), sum(total.values()), sum(c > 0 for c in total.values()), None))
+        rare = Counter(_tail(w, tails) for w, c in total.items() if 0 < c < LEAST)
+        rows += [(2, 0, bucket, symbol, 0, k, None) for symbol, k in rare.items()]
+        return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "symbol", "c", "n", "body"])
 
-def _symbols(words: list[bytes], v: Vocabulary) -> np.ndarray:
-    heads, tail = v.heads, v.tail
-    return np.fromiter((s if (s := heads.get(w)) is not None else tail(w) for w in words), np.int64, len(words))
+    return requests.groupBy("bucket").applyInPandas(run, "kind int, chunk long, bucket int, symbol long, c long, n long, body binary")
 
 
-def _pairs(symbols: np.ndarray, lengths: list[int], v: Vocabulary) -> np.ndarray:
-    """Keys of (preceding symbol, symbol) for texts laid end to end; a text's first symbol follows the start."""
-    before = np.empty_like(symbols)
-    before[1:] = symbols[:-1]
-    begin = np.cumsum([0, *lengths[:-1]]).astype(np.int64) if lengths else np.zeros(0, np.int64)
-    before[begin] = v.size
-    return before * v.size + symbols
-
+def _class_words(seen: dict[int, int], tails: int) -> np.ndarray:
+    """log10 of the probability of a word not seen and of a seen one in each tail class's restaurant: its words stand once, each at a table of its own."""
+    d, strength = WORDS
+    n = np.array([seen.get(k, 0) for k in range(tails)], float)
+    opening = (strength + d * n) / (n + 1)
+    return np.log10(np.stack([opening, 1 - d + opening]) / (strength + n))
 
-def pair_requests(packed: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """(chunk, bucket, keys, counts): a chunk's distinct pairs by bucket, packed, with their number in its training texts."""
-    schema = struct(chunk=LONG, bucket=INT, body=BINARY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, train, texts = _unpack(body.as_py())
-                found = []
-                for wanted in (True, False):
-                    lists = [tokens(t) for t, f in zip(texts, train, strict=True) if f == wanted]
-                    flat = [w for x in lists for w in x]
-                    found.append(_pairs(_symbols(flat, v), [len(x) for x in lists], v))
-                keys, n = np.unique(found[0], return_counts=True)
-                every = np.union1d(keys, found[1])
-                counts = np.zeros(len(every), np.int64)
-                counts[np.searchsorted(every, keys)] = n
-                bucket = _bucket(every, buckets)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
-                bodies = [_pack((np.diff(every[at], prepend=0), counts[at].astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))) for _, at in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk)), pa.array([b for b, _ in rows], pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "bucket", "body"])
-
-    return packed.mapInArrow(run, schema)
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A pair's bucket; a frequent context's pairs go to all buckets."""
-    with np.errstate(over="ignore"):
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
+def pair_requests(packed: DataFrame, counted: DataFrame, begin: dict[int, int], class_words: np.ndarray, *, buckets: int, tails: int, size: int, g: int, n_train: int, n_types: int) -> DataFrame:
+    """(chunk, cell, body): a chunk's distinct pairs by cell, packed, with their number in its training texts; of cell -1 what its documents have besides:
+    keys, flags, tokens, words known, base scores, tail words' log10 and each token's place among the pairs."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        ids, train, texts = next(_unpack(b) for k, b in zip(pdf["kind"], pdf["body"], strict=True) if k < 0)
+        dealt = _by_bucket(_chunk_words(texts), buckets)
+        known: dict[bytes, tuple[int, int]] = {}
+        for k, bucket, body in zip(pdf["kind"], pdf["bucket"], pdf["body"], strict=True):
+            if k == 0:
+                c, rank = _unpack(body)
+                words = dealt[bucket]
+                symbols = (begin[bucket] + rank).tolist()
+                for w, n, r, symbol in zip(words, c.tolist(), rank.tolist(), symbols, strict=True):
+                    known[w] = (n, symbol if r >= 0 else _tail(w, tails))
+        lists = [tokens(t) for t in texts]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        both = np.array([known[w] for x in lists for w in x], np.int64).reshape(-1, 2)
+        c, symbols = both[:, 0], both[:, 1]
+        del lists, texts, known, dealt
+        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        before = np.empty_like(symbols)
+        before[1:] = symbols[:-1]
+        before[first] = tails  # the start
+        every, back = np.unique(before * size + symbols, return_inverse=True)
+        counts = np.bincount(back, weights=np.repeat(np.array(train, float), lengths), minlength=len(every)).astype(np.int64)
+        cell = every // size % g * g + every % size % g
+        order = np.argsort(cell, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        rare = np.where(symbols < tails, class_words[(c > 0).astype(np.int64), np.minimum(symbols, tails - 1)], 0.0)
+        total = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has a token at least, its end
+        base = np.log10((c + 1) / (n_train + n_types + 1))
+        rows = [(chunk, -1, _pack((ids, train, lengths, total((c > 0).astype(np.int64)), total(base), total(rare), place[back])))]
+        edges = np.searchsorted(cell[order], np.arange(g * g + 1))
+        kind = np.uint32 if counts.max(initial=0) < 2**32 else np.uint64
+        for b in range(g * g):
+            at = order[edges[b] : edges[b + 1]]
+            if len(at):
+                rows.append((chunk, b, _pack((np.diff(every[at], prepend=0), counts[at].astype(kind)))))
+        return pd.DataFrame(rows, columns=["chunk", "cell", "body"])
+
+    left = packed.select("chunk", F.lit(-1).alias("kind"), F.lit(-1).alias("bucket"), "body")
+    return left.unionByName(counted.where("kind = 0").select("chunk", "kind", "bucket", "body")).groupBy("chunk").applyInPandas(run, "chunk long, cell int, body binary")
 
 
 def seat(c: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -241,14 +257,12 @@ def seat(c: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Gen
     return t
 
 
-def _parent(customers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A sampled predictive distribution of the parent restaurant over symbols, its base uniform."""
+def _parent(dishes: tuple[np.ndarray, np.ndarray], whole: tuple[int, int], size: int) -> np.ndarray:
+    """The parent's predictive probabilities of a block's (customers, tables); ``whole`` are those of all blocks.  Its base is uniform."""
     d, strength = PARENT
-    base = 1 / len(customers)
-    tables = np.minimum(customers, 1)
-    for _ in range(3):
-        tables = seat(customers, np.full(len(customers), (strength + d * tables.sum()) * base), d, rng)
-    return (customers - d * tables + (strength + d * tables.sum()) * base) / (strength + customers.sum())
+    customers, tables = dishes
+    n, t = whole
+    return (customers - d * tables + (strength + d * t) / (size - 1)) / (strength + n)
 
 
 def _merge(bodies) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -260,106 +274,111 @@ def _merge(bodies) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return keys, every, total
 
 
-def _gather(requests: DataFrame) -> DataFrame:
-    """(bucket, body): each bucket's distinct pairs and their counts."""
+_SUMS = "side int, block int, body binary"
+
+
+def _sums(every: np.ndarray, x: np.ndarray, cell: int, size: int, g: int) -> list[tuple]:
+    """Rows of a cell's sums of ``x``: side 0 by context of its block, side 1 by dish."""
+    out = []
+    for side, block, at in ((0, cell // g, every // size // g), (1, cell % g, every % size // g)):
+        length = (size - block + g - 1) // g
+        out.append((side, block, _pack(np.bincount(at, weights=x, minlength=length).astype(np.int64))))
+    return out
+
+
+def _gather(requests: DataFrame, size: int, g: int) -> DataFrame:
+    """Each cell's distinct pairs and their counts (side 2, the cell as block), and their sums."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = int(pdf["cell"].iloc[0])
         _, every, total = _merge(pdf["body"])
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "body": [_pack((np.diff(every, prepend=0), total))]})
+        return pd.DataFrame([*_sums(every, total, cell, size, g), (2, cell, _pack((np.diff(every, prepend=0), total)))], columns=["side", "block", "body"])
 
-    return stage(requests.groupBy("bucket").applyInPandas(run, "bucket int, body binary"), "restaurants")
+    return stage(requests.groupBy("cell").applyInPandas(run, _SUMS), "restaurants")
 
 
-def _tables(every: np.ndarray, total: np.ndarray, state: dict, sweep: int, bucket: int, size: int) -> np.ndarray:
-    """One sweep's tables of a bucket's pairs, the same whenever it is asked for."""
-    rng = np.random.Generator(np.random.PCG64([SEED, sweep, bucket]))
-    d, strength = CONTEXT
-    u, w = every // size, every % size
-    return seat(total, (strength + d * state["tables"][u]) * state["parent"][w], d, rng)
+def _state(sums: DataFrame, sweep: int, whole: tuple[int, int], size: int) -> tuple[DataFrame, tuple[int, int]]:
+    """The blocks after a sweep, side 0 (tables, customers at the beginning) and side 1 (the parent's customers, tables), and the parent's whole (customers, tables)."""
+    d, strength = PARENT
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, block = int(pdf["side"].iloc[0]), int(pdf["block"].iloc[0])
+        total = np.sum([_unpack(b) for b in pdf["body"]], axis=0)
+        if side == 0:
+            return pd.DataFrame([(0, block, _pack((total, None) if sweep else (np.sqrt(np.maximum(1.0, total)), total)), 0, 0)], columns=["side", "block", "body", "n", "t"])
+        tables = np.minimum(total, 1)
+        if sweep:
+            rng = np.random.Generator(np.random.PCG64([SEED, sweep, block, 1]))
+            tables = seat(total, np.full(len(total), (strength + d * whole[1]) / (size - 1)), d, rng)
+        return pd.DataFrame([(1, block, _pack((total, tables)), int(total.sum()), int(tables.sum()))], columns=["side", "block", "body", "n", "t"])
+
+    state = stage(sums.where("side < 2").groupBy("side", "block").applyInPandas(run, f"{_SUMS}, n long, t long"), "state")
+    r = state.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    return state, (r["n"] or 0, r["t"] or 0)
+
+
+def _dealt(state: DataFrame, g: int, sweep: int) -> DataFrame:
+    """(cell, kind, at, body): each block at its ``g`` cells, kinds 2 and 3 for sides 0 and 1."""
+    j = F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("j")
+    cell = F.when(F.col("side") == 0, F.col("block") * g + F.col("j")).otherwise(F.col("j") * g + F.col("block"))
+    return state.select("side", "block", "body", j).select(cell.cast("int").alias("cell"), (F.col("side") + 2).alias("kind"), F.lit(sweep).cast("long").alias("at"), "body")
+
+
+def _sweep(restaurants: DataFrame, state: DataFrame, whole: tuple[int, int], sweep: int, size: int, g: int) -> DataFrame:
+    """Each cell's tables by pair (side 2, the cell as block) and their sums."""
+    d, strength = CONTEXT
 
-def _sweep(restaurants: DataFrame, state, sweep: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by context and by dish after a sweep; the sums are made by Spark, and two numbers a symbol come back."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u_sum, w_sum = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-        for batch in batches:
-            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                delta, total = _unpack(body.as_py())
-                every = np.cumsum(delta)
-                t = _tables(every, total, state.value, sweep, bucket, size)
-                np.add.at(u_sum, every // size, t)
-                np.add.at(w_sum, every % size, t)
-        at = np.flatnonzero(u_sum + w_sum)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(u_sum[at]), pa.array(w_sum[at])], names=["symbol", "u", "w"])
-
-    sums = restaurants.mapInArrow(run, struct(symbol=INT, u=LONG, w=LONG)).groupBy("symbol").agg(F.sum("u").alias("u"), F.sum("w").alias("w")).collect()
-    u, w = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-    for r in sums:
-        u[r["symbol"]], w[r["symbol"]] = r["u"], r["w"]
-    return u, w[:size]
-
-
-def sample_seating(restaurants: DataFrame, customers: np.ndarray, size: int, burn_in: int, samples: int) -> list[dict]:
-    """Gibbs sweeps over all context restaurants; the states of the last ``samples`` of them."""
-    spark = restaurants.sparkSession
-    rng = np.random.Generator(np.random.PCG64([SEED, 0]))
-    start = np.maximum(1.0, customers.astype(float))
-    state = {"tables": np.sqrt(start), "parent": start[:size] / start[:size].sum()}
-    kept = []
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = int(pdf["cell"].iloc[0])
+        part = {int(k): _unpack(b) for k, b in zip(pdf["kind"], pdf["body"], strict=True)}
+        rows = []
+        if 1 in part:
+            delta, total = part[1]
+            every = np.cumsum(delta)
+            rng = np.random.Generator(np.random.PCG64([SEED, sweep, cell]))
+            t = seat(total, (strength + d * part[2][0][every // size // g]) * _parent(part[3], whole, size)[every % size // g], d, rng)
+            rows = [*_sums(every, t, cell, size, g), (2, cell, _pack(t.astype(np.uint32 if t.max(initial=0) < 2**32 else np.uint64)))]
+        return pd.DataFrame(rows, columns=["side", "block", "body"])
+
+    pairs = restaurants.where("side = 2").select(F.col("block").alias("cell"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("at"), "body")
+    return stage(pairs.unionByName(_dealt(state, g, sweep)).groupBy("cell").applyInPandas(run, _SUMS), "seats")
+
+
+def _answers(requests: DataFrame, restaurants: DataFrame, size: int, g: int, burn_in: int, samples: int) -> DataFrame:
+    """(chunk, cell, body): the averaged probabilities of each request's pairs, by Gibbs sweeps over all context restaurants."""
+    d, strength = CONTEXT
+    pairs_path = staged()[-1]
+    state, whole = _state(restaurants, 0, (0, 0), size)
+    parts, wholes = [_dealt(state.where("side = 0"), g, 0)], {}
     for sweep in range(1, burn_in + samples + 1):
-        held = spark.sparkContext.broadcast(state)
-        u, w = _sweep(restaurants, held, sweep, size)
-        if sweep > burn_in:
-            kept.append({**state, "sweep": sweep, "new_tables": u})
-        state = {"tables": u.astype(float), "parent": _parent(w, rng)}
+        old = staged()[-1:] if 1 < sweep <= burn_in + 1 else []
+        seats = _sweep(restaurants, state, whole, sweep, size, g)
+        old += staged()[-1:] if sweep <= burn_in else []
+        state, whole = _state(seats, sweep, whole, size)
+        release(restaurants.sparkSession, old)  # written anew, and not read again
         if sweep > burn_in:
-            kept[-1]["new_parent"] = state["parent"]
-    return kept
+            wholes[sweep] = whole
+            parts.append(seats.where("side = 2").select(F.col("block").alias("cell"), F.lit(1).alias("kind"), F.lit(sweep).cast("long").alias("at"), "body"))
+            parts.append(_dealt(state, g, sweep))
+    release(restaurants.sparkSession, [pairs_path])
 
-
-def _direct(requests: DataFrame, states, contexts, size: int) -> DataFrame:
-    """(chunk, bucket, values): for each requested pair the averaged (customers - discount * tables) / (strength + customers of the context)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
-        keys, every, total = _merge(pdf["body"])
-        d, strength = CONTEXT
-        below = strength + contexts.value[every // size]
-        mean = np.zeros(len(every))
-        for state in states.value:
-            mean += total - d * _tables(every, total, state, state["sweep"], bucket, size)
-        mean = (mean / len(states.value) / below).astype(np.float32)
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "body": [_pack((np.diff(k, prepend=0), mean[np.searchsorted(every, k)])) for k in keys]})
-
-    return requests.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, body binary")
-
-
-def _class_words(histogram: list, v: Vocabulary, burn_in: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each tail class's restaurant over its words: keys (class, count), in order, and log10 of the averaged probability of such a word."""
-    rng = np.random.Generator(np.random.PCG64([SEED, 1]))
-    d, strength = WORDS
-    keys, logs = [], []
-    by_class: dict[int, list] = {}
-    for symbol, n, words in histogram:
-        by_class.setdefault(symbol, []).append((n, words))
-    for symbol in range(len(v.heads), v.size):
-        rows = sorted(by_class.get(symbol, []))
-        n, words = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        customers, base = int((n * words).sum()), 1 / (int(words.sum()) + 1)
-        # words of equal counts are alike: one is seated for each of up to 256 of them, and their mean stands for all
-        seats = np.minimum(words, 256)
-        back = np.repeat(np.arange(len(n)), seats)
-        tables = words.astype(float)
-        total = np.zeros(len(n) + 1)
-        for sweep in range(burn_in + samples):
-            opening = (strength + d * tables.sum()) * base
-            each = seat(n[back], np.full(len(back), opening), d, rng)
-            mean = np.bincount(back, weights=each, minlength=len(n)) / np.maximum(seats, 1)
-            tables = mean * words
-            if sweep >= burn_in:
-                opening = (strength + d * tables.sum()) * base
-                total += (np.append(n - d * mean, 0.0) + opening) / (strength + customers)
-        keys.append((symbol << _COUNT_BITS) + np.concatenate(([0], n)))  # 0 stands for words not seen
-        logs.append(np.log10(np.concatenate((total[-1:], total[:-1])) / samples))
-    return np.concatenate(keys), np.concatenate(logs)
+        asked = pdf[pdf["kind"] == 0]
+        if not len(asked):
+            return pd.DataFrame([], columns=["chunk", "cell", "body"])
+        keys, every, total = _merge(asked["body"])
+        part = {(int(k), int(at)): b for k, at, b in zip(pdf["kind"], pdf["at"], pdf["body"], strict=True) if k}
+        u, w = every // size // g, every % size // g
+        p = np.zeros(len(every))
+        for sweep, all_of in wholes.items():  # averaged over the sweeps: what stays in the context, and what it leaves to the parent times the parent's probability
+            tables = _unpack(part[2, sweep])[0]
+            p += total - d * _unpack(part[1, sweep]) + (strength + d * tables[u]) * _parent(_unpack(part[3, sweep]), all_of, size)[w]
+        p = (p / len(wholes) / (strength + _unpack(part[2, 0])[1][u])).astype(np.float32)
+        return pd.DataFrame({"chunk": asked["at"].to_numpy(), "cell": asked["cell"].to_numpy(), "body": [_pack(p[np.searchsorted(every, k)]) for k in keys]})
+
+    every = requests.select("cell", F.lit(0).alias("kind"), F.col("chunk").alias("at"), "body")
+    for x in parts:
+        every = every.unionByName(x)
+    return every.groupBy("cell").applyInPandas(run, "chunk long, cell int, body binary")
 
 
 def score(docs: DataFrame, *, train: Column, text: str = "text", head: int = HEAD, tails: int = TAILS, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
@@ -367,107 +386,41 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", head: int = HEA
 
     Returns doc_id, held_out (not learnt from), n_tokens, n_known, train_tokens, base_score and score (log10 probabilities; perplexity is
     10 ^ (-score / n_tokens)).  Null texts are empty ones, which hold only an end.  Repeated rows are learnt and scored one by one.  Where
-    nothing is learnt from, N and V are 0 and every probability comes from the bases.  An empty table gives no rows.
+    nothing is learnt from, N and V are 0 and every probability comes from the bases.  An empty table gives no rows.  ``head`` bounds a
+    block of symbols, not their number: more symbols are more blocks.
     """
-    spark = docs.sparkSession
+    before = staged()
     packed = chunks(docs, text, train, chunk_bytes)
     n_chunks = max(1, packed.count())
-    buckets = min(MAX_BUCKETS, max(1, BUCKETS_PER_CHUNK * n_chunks))
-    counted = stage(count_words(word_requests(packed, buckets), head, tails), "words")
-    sums = counted.where("kind > 0").agg(F.sum("n").alias("v"), F.sum(F.col("c") * F.col("n")).alias("n")).first()
-    n_types, n_train = sums["v"] or 0, sums["n"] or 0
-    is_head = (F.col("kind") == 1) & (F.col("c") * head >= n_train)
-    frequent = sorted(((bytes(r["word"]), r["c"]) for r in counted.where(is_head).collect()), key=lambda x: (-x[1], x[0]))  # at most ``head`` words can be so frequent
-    v = Vocabulary({w: k for k, (w, _) in enumerate(frequent)}, np.array([c for _, c in frequent], np.int64), tails)
-    held_v = spark.sparkContext.broadcast(v)
-
-    rare = counted.where((F.col("kind") == 2) | ((F.col("kind") == 1) & ~is_head))
-    by_count = rare.select(F.coalesce("symbol", _tail_column("word", tails)).alias("symbol"), "c", "n").groupBy("symbol", "c").agg(F.sum("n").alias("n"))
-    histogram = [(len(v.heads) + r["symbol"], r["c"], r["n"]) for r in by_count.collect()]  # distinct counts of rare words
-    class_words = _class_words(histogram, v, burn_in, samples)
-
-    requests = stage(pair_requests(packed, held_v, buckets), "pairs")
-    restaurants = _gather(requests)
-    contexts = _customers(restaurants, v.size)
-    states = sample_seating(restaurants, contexts, v.size, burn_in, samples)
-    held = spark.sparkContext.broadcast(states)
-    held_contexts = spark.sparkContext.broadcast(contexts)
-    direct = _direct(requests, held, held_contexts, v.size)
-
-    answers = counted.where("kind = 0")
-    left = packed.select("chunk", F.lit(0).alias("kind"), "body")
-    left = left.withColumn("bucket", F.lit(0))
-    every = left.unionByName(direct.select("chunk", F.lit(1).alias("kind"), "bucket", "body")).unionByName(answers.select("chunk", F.lit(2).alias("kind"), "bucket", "body"))
-    model = spark.sparkContext.broadcast({"n": n_train, "v": n_types, "words": class_words})
+    buckets = math.ceil(n_chunks / CHUNKS_PER_BUCKET)
+    counted = stage(count_words(word_requests(packed, buckets), tails), "words")
+    by_bucket = {r["bucket"]: r for r in counted.where("kind = 1").collect()}  # a row a bucket
+    seen = {r["symbol"]: r["n"] for r in counted.where("kind = 2").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}  # a row a class
+    n_types, n_train = sum(r["n"] for r in by_bucket.values()), sum(r["c"] for r in by_bucket.values())
+    size, begin = tails + 1, {}  # symbols: the classes, the start of a text (a context only), the words by bucket
+    for bucket in sorted(by_bucket):
+        begin[bucket] = size
+        size += by_bucket[bucket]["symbol"]
+    g = max(math.ceil(math.sqrt(buckets)), math.ceil(size / head))
+
+    asked = pair_requests(packed, counted, begin, _class_words(seen, tails), buckets=buckets, tails=tails, size=size, g=g, n_train=n_train, n_types=n_types)
+    read_once = [p for p in staged() if p not in before]
+    asked = stage(asked, "pairs")
+    release(docs.sparkSession, read_once)
+    requests = asked.where("cell >= 0")
+    answers = _answers(requests, _gather(requests, size, g), size, g, burn_in, samples)
+    every = asked.where("cell < 0").unionByName(answers)
     schema = struct(doc_id=docs.schema["doc_id"].dataType, held_out=T.BooleanType(), n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
-    return every.groupBy("chunk").applyInPandas(_scorer(held_v, held, held_contexts, model, buckets), schema)
-
 
-def _tail_column(word: str, tails: int) -> Column:
-    """``_tail`` of a binary column."""
-    byte = lambda k: F.conv(F.hex(F.substring(word, -k, 1)), 16, 10).cast("int")
-    second = F.when(F.length(word) > 1, byte(2)).otherwise(0)
-    return ((byte(1) * 31 + second * 17 + (F.length(word) > 4).cast("int")) % tails).cast("int")
-
-
-def _customers(restaurants: DataFrame, size: int) -> np.ndarray:
-    """Customers of each context."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u_sum = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            for body in batch.column(1):
-                delta, total = _unpack(body.as_py())
-                np.add.at(u_sum, np.cumsum(delta) // size, total)
-        at = np.flatnonzero(u_sum)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(u_sum[at])], names=["symbol", "u"])
-
-    u = np.zeros(size + 1, np.int64)
-    for r in restaurants.mapInArrow(run, struct(symbol=INT, u=LONG)).groupBy("symbol").agg(F.sum("u").alias("u")).collect():
-        u[r["symbol"]] = r["u"]
-    return u
-
-
-def _scorer(vocabulary, held, held_contexts, model, buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, m, states = vocabulary.value, model.value, held.value
-        size, n, types = v.size, m["n"], m["v"]
-        ids, train, texts = next(_unpack(b) for k, b in zip(pdf["kind"], pdf["body"], strict=True) if k == 0)
-        pairs = [_unpack(b) for k, b in zip(pdf["kind"], pdf["body"], strict=True) if k == 1]
-        keys = np.concatenate([np.cumsum(k) for k, _ in pairs])
-        order = np.argsort(keys)
-        keys, values = keys[order], np.concatenate([x for _, x in pairs])[order].astype(np.float64)
-        dealt = _by_bucket(_chunk_words(texts), buckets)
-        counts: dict[bytes, int] = {}
-        for k, bucket, b in zip(pdf["kind"], pdf["bucket"], pdf["body"], strict=True):
-            if k == 2:
-                counts.update(zip(dealt[bucket], _unpack(b).tolist(), strict=True))
-        del dealt
-        del pdf, pairs
-        lists = [tokens(text) for text in texts]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = [w for x in lists for w in x]
-        del lists, texts
-        symbols = _symbols(flat, v)
-        c = np.fromiter((counts[w] for w in flat), np.int64, len(flat))
-        del flat, counts
-        pair = _pairs(symbols, lengths.tolist(), v)
-        u = pair // size
-        p = values[np.searchsorted(keys, pair)]
-        d, strength = CONTEXT
-        for state in states:  # averaged over the sweeps: what a context leaves to the parent, times the parent's probability
-            left = (strength + d * state["new_tables"]) / (strength + held_contexts.value)
-            p += left[u] * state["new_parent"][symbols] / len(states)
-        log = np.log10(p)
-        rare = symbols >= len(v.heads)
-        known, q = m["words"]
-        log[rare] += q[np.searchsorted(known, (symbols[rare] << _COUNT_BITS) + c[rare])]
-        base = np.log10((c + 1) / (n + types + 1))
-        begin = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-        total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has a token at least, its end
+        pdf = pdf.sort_values("cell")
+        ids, train_flags, lengths, known, base, rare, place = _unpack(pdf["body"].iloc[0])
+        log = np.log10(np.concatenate([_unpack(b) for b in pdf["body"].iloc[1:]]).astype(np.float64))
+        total = np.add.reduceat(log[place], np.concatenate(([0], np.cumsum(lengths)[:-1])))
         return pd.DataFrame({
-            "doc_id": pd.Series(ids, dtype="object"), "held_out": [not t for t in train], "n_tokens": lengths, "n_known": total((c > 0).astype(np.int64)), "train_tokens": np.full(len(lengths), n), "base_score": total(base), "score": total(log)})
+            "doc_id": pd.Series(ids, dtype="object"), "held_out": [not t for t in train_flags], "n_tokens": lengths, "n_known": known, "train_tokens": np.full(len(lengths), n_train), "base_score": base, "score": total + rare})
 
-    return run
+    return every.groupBy("chunk").applyInPandas(run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

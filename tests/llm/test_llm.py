@@ -265,6 +265,22 @@ def test_base_scores_equal_brute_force_and_the_model_does_better(spark):
     assert all(math.isfinite(r.score) for r in pitman_yor.score(docs_of(spark, ["a b"]), train=F.lit(False)).collect())
 
 
+def test_rare_words_have_contexts_of_their_own(spark):
+    """A word of few occurrences predicts what follows it, however many other words there are."""
+    rng = random.Random(66)
+    pairs = [(f"u{i:03}xq", f"w{i:03}xq") for i in range(300)]  # the last bytes tell nothing
+    texts = []
+    for _ in range(3):
+        rng.shuffle(pairs)
+        texts += [" ".join(x for p in pairs[k : k + 10] for x in p) for k in range(0, 300, 10)]
+    swapped = [" ".join(x for k in range(10) for x in (pairs[k][0], pairs[k + 10][1]))]
+    right = [" ".join(x for p in pairs[:10] for x in p)]
+    df = docs_of(spark, [*texts, *right, *swapped])
+    rows = {r.doc_id: r for r in pitman_yor.score(df, train=F.col("doc_id") < len(texts), head=64, chunk_bytes=2000).collect()}
+    assert rows[len(texts)].n_known == rows[len(texts) + 1].n_known == 21
+    assert rows[len(texts)].score > rows[len(texts) + 1].score + 10  # 10 pairs, a power of ten each
+
+
 def test_seating_follows_its_law():
     rng = np.random.default_rng(0)
     d, opening, c = 0.5, 2.0, 40
