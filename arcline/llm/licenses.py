@@ -2,7 +2,7 @@
 
 The licence templates give a word list and postings (word, template, place); common function words stay out of it.  Each document
 is cut into words once; of the documents that hold licence words the words are kept.  Document frequencies over all documents give
-each licence word its IDF; a document's highest-IDF licence words are looked up in the postings, hits are grouped by template and
+each licence word its IDF; all of a document's licence words are looked up in the postings, hits are grouped by template and
 relative place (place in the document minus place in the template), and a group whose IDF mass is large enough counts once the
 template's mandatory key phrase stands exactly where the alignment puts it.
 """
@@ -42,7 +42,6 @@ TEMPLATES = (
 )
 COMMON = frozenset("a and any are as by can for in into is it may not of or that the this to under use with you 0 1 2 3 4 v".split())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TOP_WORDS = 24
 LEAST_SHARE = 0.6
 
 _POSTINGS = [(w, t, i) for t, (_, _, notice) in enumerate(TEMPLATES) for i, w in enumerate(notice.split()) if w not in COMMON]
@@ -73,7 +72,7 @@ def _places(words: Column, phrase: str, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
-def scan(docs: DataFrame, *, text: str = "text", top_words: int = TOP_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """Licences in every document (doc_id, ``text``): one row each, with doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score and places (array<struct<label,first_word,share>>: the method's own finds).
 
@@ -99,7 +98,7 @@ def scan(docs: DataFrame, *, text: str = "text", top_words: int = TOP_WORDS, lea
         "_row", F.size("_places").cast("long").alias("n_base"), F.array_min("_places.at").alias("first_word"), F.array_max("_places.at").alias("last_word"),
         F.array_distinct("_places.label").alias("_base"))
 
-    found = _aligned(candidates, idf, top_words, least_share)
+    found = _aligned(candidates, idf, least_share)
     labels = lambda c: F.array_join(F.array_sort(c), ",")
     none = F.array().cast("array<string>")
     merged = table.drop("_words", "_known").join(base, "_row", "left").join(found, "_row", "left")
@@ -114,19 +113,16 @@ def _idf(total: int, df: int) -> float:
     return math.log((total + 1) / (df + 1)) + 0.1  # a word of every document still weighs a little
 
 
-def _aligned(candidates: DataFrame, idf: dict[str, float], top_words: int, least_share: float) -> DataFrame:
+def _aligned(candidates: DataFrame, idf: dict[str, float], least_share: float) -> DataFrame:
     """(_row, places): templates whose rare words stand in place, verified by their key phrases."""
     spark = candidates.sparkSession
-    by_idf = F.create_map(*[F.lit(x) for w in _RARE for x in (w, idf[w])])
-    top = F.slice(F.array_sort(F.transform(F.array_intersect("_known", F.array(*[F.lit(w) for w in _RARE])), lambda w: F.struct((-F.element_at(by_idf, w)).alias("idf"), w.alias("w")))), 1, top_words)
     mass = [sum(idf[w] for w, t, _ in _POSTINGS if t == k) for k in range(len(TEMPLATES))]
     keys = [notice.split() for _, _, notice in TEMPLATES]
     key_at = [next(i for i in range(len(n)) if n[i : i + len(p.split())] == p.split()) for n, (_, p, _) in zip(keys, TEMPLATES, strict=True)]
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("part", T.DoubleType())])
     postings = spark.createDataFrame([(w, t, i, idf[w] / mass[t]) for w, t, i in _POSTINGS], schema)  # a fixed table
     hits = (
-        candidates.withColumn("_top", top["w"]).select("_row", "_top", F.posexplode("_words").alias("_at", "word"))
-        .where(F.array_contains("_top", F.col("word")))
+        candidates.select("_row", F.posexplode("_words").alias("_at", "word"))
         .join(F.broadcast(postings), "word")
         .groupBy("_row", "template", (F.col("_at") - F.col("place")).alias("_offset"))
         .agg(F.sum("part").alias("share"))

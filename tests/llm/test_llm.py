@@ -374,6 +374,13 @@ def test_licences(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_notices_of_many_licences_are_all_found(spark):
+    """A third-party notices file holds most licence words; none of its notices may fall out for that."""
+    texts = ["\n\n".join(notice for _, _, notice in licenses.TEMPLATES), *["license licensed version gnu general public"] * 30, *["nothing of that kind"] * 30]
+    row = next(r for r in licenses.scan(docs_of(spark, texts)).collect() if r.doc_id == 0)
+    assert row.labels.split(",") == sorted({label for label, _, _ in licenses.TEMPLATES})
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     plan = registry.queries()["op9_licenses"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
