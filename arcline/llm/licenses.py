@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 The licence templates give a word list and postings (word, template, place); common function words stay out of it.  Each document
-is cut into words once; of the documents that hold licence words the words are kept.  Document frequencies over all documents give
+is cut into words once; of the documents that hold the words of a key phrase the words are kept.  Document frequencies over all documents give
 each licence word its IDF; all of a document's licence words are looked up in the postings, hits are grouped by template and
 relative place (place in the document minus place in the template), and a group whose IDF mass is large enough counts once the
 template's mandatory key phrase stands exactly where the alignment puts it.
@@ -10,6 +10,7 @@ template's mandatory key phrase stands exactly where the alignment puts it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ LEAST_SHARE = 0.6
 
 _POSTINGS = [(w, t, i) for t, (_, _, notice) in enumerate(TEMPLATES) for i, w in enumerate(notice.split()) if w not in COMMON]
 VOCABULARY = sorted({w for w, _, _ in _POSTINGS} | {w for phrase, _ in BASE for w in phrase.split()})
-_RARE = sorted({w for w, _, _ in _POSTINGS})
+_KEY_WORDS = sorted({tuple(sorted(set(phrase.split()) - COMMON)) for _, phrase, _ in TEMPLATES})
 
 
 def words_of(text: Column) -> Column:
@@ -85,7 +86,9 @@ def scan(docs: DataFrame, *, text: str = "text", least_share: float = LEAST_SHAR
     known = words.withColumn("_known", F.array_intersect("_words", vocabulary))
     has = lambda w: F.array_contains("_known", w)
     base_hint = has("mit") & has("license") | has("apache") & has("license") & has("version") | has("cc") & has("by") & has("nc")
-    keep = base_hint | (F.size(F.array_intersect("_known", F.array(*[F.lit(w) for w in _RARE]))) >= 2)
+    keep = base_hint  # a label needs its whole key phrase, so all licence words of that
+    for needed in _KEY_WORDS:
+        keep = keep | reduce(lambda a, b: a & b, [has(w) for w in needed])
     table = stage(known.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words"), "_known", F.when(keep, F.col("_words")).alias("_words")), "licenses")
 
     total = table.count()

@@ -381,6 +381,13 @@ def test_notices_of_many_licences_are_all_found(spark):
     assert row.labels.split(",") == sorted({label for label, _, _ in licenses.TEMPLATES})
 
 
+def test_a_lone_licence_word_is_aligned(spark):
+    """'CC BY 4.0' holds one licence word only, which weighs enough where it is rare."""
+    texts = ["CC BY 4.0", *["licensed to drive"] * 30]
+    rows = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert rows[0].labels == "cc-by" and rows[0].score > licenses.LEAST_SHARE and rows[1].labels == ""
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     plan = registry.queries()["op9_licenses"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
