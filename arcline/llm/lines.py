@@ -3,7 +3,7 @@
 A line's words are lower-cased runs of digits, letters and characters beyond ASCII.  Two lines are near when their word sequences are equal
 or one insertion, deletion or replacement of a word apart.
 
-1. Lines of equal words collapse to their earliest place.
+1. Lines of equal words collapse to their earliest place, short ones too.
 2. An edit leaves the first or the second half of the shorter line as it was, so a line is a candidate only if one of its half keys is
    another line's too: four keys a line, and counts of keys.
 3. Candidates emit their deletion variants as hashed keys, those of the half that may have changed: (line without word i, i) finds
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from arcline.llm.common import FOLD, INT, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, with_maybe
 
-MIN_WORDS = 8
+#: Lines of fewer words have no partner but an equal one; exact copies go from EXACT_WORDS on.
+MIN_WORDS, EXACT_WORDS = 8, 1
 PLACE = ["doc_id", "line_no"]
 
 
@@ -102,8 +103,8 @@ def _tails(hashes: np.ndarray, b: np.ndarray, e: np.ndarray, by_place: np.ndarra
     return out
 
 
-def line_table(docs: DataFrame, text: str, min_words: int) -> DataFrame:
-    """(doc_id, line_no, n, h1, h2, halves) for every line of ``min_words`` words or more."""
+def line_table(docs: DataFrame, text: str, min_words: int, exact_words: int) -> DataFrame:
+    """(doc_id, line_no, n, h1, h2, halves) for every line of ``exact_words`` words or more, halves empty below ``min_words``."""
     schema = struct(doc_id=docs.schema["doc_id"].dataType, line_no=INT, n=INT, h1=LONG, h2=LONG, halves=T.ArrayType(LONG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +112,13 @@ def line_table(docs: DataFrame, text: str, min_words: int) -> DataFrame:
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 x = _Lines(data, offsets)
                 n = x.end - x.begin
-                keep = n >= min_words
+                keep = n >= exact_words
                 if not keep.any():
                     continue
-                halves = x.halves()[keep].view(np.int64).ravel()
+                halves = x.halves()[n >= max(min_words, exact_words)].view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(lo + x.text[keep])), pa.array(x.number[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(x.full(5)[keep].view(np.int64)),
-                    pa.array(x.check()[keep].view(np.int64)), list_array(pa.array(halves), np.full(int(keep.sum()), 4))], names=schema.fieldNames())
+                    pa.array(x.check()[keep].view(np.int64)), list_array(pa.array(halves), np.where(n[keep] >= min_words, 4, 0))], names=schema.fieldNames())
 
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
@@ -163,14 +164,14 @@ def _deletions(h: np.ndarray, place: np.ndarray, by_place: np.ndarray) -> tuple[
     return whole, without
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """Lines to drop: (doc_id, line_no, kept_doc_id, kept_line_no), the latter an earlier line that is near.
 
     Lines are numbered from 0 by the line feeds before them; earlier means a smaller (doc_id, line_no), null ids last.  Lines of fewer
-    than ``min_words`` words take no part.  Null and empty texts have no lines that do.  Rows that repeat a doc_id
+    than ``min_words`` words have only equal lines as partners, and below ``exact_words`` (``min_words`` if not given) none.  Null and empty texts have no lines that do.  Rows that repeat a doc_id
     are taken to be the same document: their equal lines keep the place that they share, and stay.
     """
-    lines = stage(line_table(docs, text, min_words), "lines")
+    lines = stage(line_table(docs, text, min_words, min_words if exact_words is None else exact_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     distinct = stage(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.max("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("times")), "distinct")
     repeated = distinct.where("times > 1").select("h1", "h2", "at")
@@ -256,7 +257,7 @@ def remove_lines(docs: DataFrame, dropped: DataFrame, text: str = "text") -> Dat
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    dropped = near_duplicates(read(spark, sf_dir, "documents"))
+    dropped = near_duplicates(read(spark, sf_dir, "documents"), exact_words=EXACT_WORDS)
     removed = F.sort_array(F.collect_list(F.struct("line_no", "kept_doc_id", "kept_line_no")))
     found = dropped.groupBy("doc_id").agg(F.count("*").alias("n_removed"), removed.alias("removed"))
     ids = read(spark, sf_dir, "documents").select("doc_id")

@@ -43,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_clears
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one repeats or nearly repeats go, and documents of which nothing is left; n_chars follows the text."""
-    left = lines.remove_lines(docs, lines.near_duplicates(docs))
+    left = lines.remove_lines(docs, lines.near_duplicates(docs, exact_words=lines.EXACT_WORDS))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 

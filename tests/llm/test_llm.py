@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,17 @@ def test_near_lines_equal_brute_force(spark):
     assert lines.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_short_lines_go_when_equal(spark, tmp_path):
+    """Equal lines of one word or more go, but shorter lines than MIN_WORDS have no near ones."""
+    texts = ["All rights reserved.\nHome\nthe first text has a line of its own here", "all rights  reserved\nall rights preserved\nHome\n!!\n!!", "ALL RIGHTS RESERVED", None, ""]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in lines.op5(spark, str(tmp_path)).collect()}
+    assert {d: [tuple(x) for x in r.removed or []] for d, r in rows.items()} == {0: [], 1: [(0, 0, 0), (2, 0, 1)], 2: [(0, 0, 0)], 3: [], 4: []}
+    df = docs_of(spark, texts)
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert left == {0: texts[0], 1: "all rights preserved\n!!\n!!", 3: None, 4: ""}
+
+
 # 6: language model
 def test_base_scores_equal_brute_force_and_the_model_does_better(spark):
     rng = random.Random(6)
