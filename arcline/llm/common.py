@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,8 @@ from pyspark.sql import types as T
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
 #: Text is hashed in slices of about this many bytes, so that the working arrays stay small.
 SLICE_BYTES = 1 << 20
-_STAGED: list[str] = []
+#: What the operator that now runs has staged, its own list for each call and thread.
+_OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,26 +39,58 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/arcline-{label}-{uuid.uuid4().hex}"
+    own = _OWN.get()
+    if own is not None:
+        own.append(path)
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged() -> list[str]:
-    """Paths that ``stage`` has written and ``release`` has not deleted."""
-    return list(_STAGED)
+    """Paths that the running operator has staged and not yet released."""
+    return list(_OWN.get() or [])
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete staged tables; only for callers whose results that read them have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete tables that the running operator has staged and will not read again."""
+    jvm, conf, own = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _OWN.get() or []
     for p in paths:
-        if p in _STAGED:
-            _STAGED.remove(p)
+        if p in own:
+            own.remove(p)
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is staged within is deleted at the end, also after an error, but for paths that are taken out of the list."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        release(spark, list(own))
+        _OWN.reset(token)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is staged, and whose other staged tables are deleted before it returns or raises.
+
+    The result's table is left under ``spark.checkpoint.dir`` for whatever reads it next: an outer ``scratch`` or the caller deletes it.
+    """
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        with scratch(docs.sparkSession) as own:
+            result = stage(operator(docs, *args, **kwargs), operator.__name__.strip("_"))
+            path = own.pop()
+        outer = _OWN.get()
+        if outer is not None:
+            outer.append(path)
+        return result
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -72,8 +108,8 @@ _FILTER_BITS, _BITMAP_BITS = 1 << 26, 1 << 15
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
     """A bitmap of the hashes of ``column``: at most 2048 rows of 4 KB, whatever the number of keys."""
     h = F.pmod(F.xxhash64(column), F.lit(_FILTER_BITS))
-    bits = keys.select(F.floor(h / _BITMAP_BITS).cast("int").alias("_bucket"), (h % _BITMAP_BITS).alias("_bit")).distinct()
-    return bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = keys.select(F.floor(h / _BITMAP_BITS).cast("int").alias("_filter_bucket"), (h % _BITMAP_BITS).alias("_filter_bit")).distinct()
+    return bits.groupBy("_filter_bucket").agg(F.bitmap_construct_agg("_filter_bit").alias("_filter_bits"))
 
 
 def with_maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
@@ -83,10 +119,10 @@ def with_maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     """
     h = F.pmod(F.xxhash64(column), F.lit(_FILTER_BITS))
     at = (h % _BITMAP_BITS).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    joined = df.withColumn("_bucket", F.floor(h / _BITMAP_BITS).cast("int")).withColumn("_at", at).join(F.broadcast(bitmap), "_bucket", "left")
-    found = F.getbit(F.coalesce(byte, F.lit(0)).cast("long"), F.pmod("_at", F.lit(8)))
-    return joined.withColumn("_maybe", found == 1).drop("_bucket", "_at", "_bits")
+    byte = F.conv(F.hex(F.expr("substring(_filter_bits, cast(_filter_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = df.withColumn("_filter_bucket", F.floor(h / _BITMAP_BITS).cast("int")).withColumn("_filter_at", at).join(F.broadcast(bitmap), "_filter_bucket", "left")
+    found = F.getbit(F.coalesce(byte, F.lit(0)).cast("long"), F.pmod("_filter_at", F.lit(8)))
+    return joined.withColumn("_maybe", found == 1).drop("_filter_bucket", "_filter_at", "_filter_bits")
 
 
 LONG, INT, STRING, DOUBLE, BOOL, BINARY = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.BooleanType(), T.BinaryType()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import FOLD, INT, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, with_maybe
+from arcline.llm.common import FOLD, INT, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, tidy, with_maybe
 
 #: Lines of fewer words have no partner but an equal one; exact copies go from EXACT_WORDS on.
 MIN_WORDS, EXACT_WORDS = 8, 1
@@ -123,6 +123,27 @@ def line_table(docs: DataFrame, text: str, min_words: int, exact_words: int) ->
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
+def _chosen(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, first, second) for the ``_lines`` of each ``_text``, which is cut into lines once."""
+    schema = struct(doc_id=docs.schema["doc_id"].dataType, line_no=INT, line=T.StringType(), first=T.BooleanType(), second=T.BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, line, first, second = [], [], [], [], []
+            for i, (text, chosen) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                every = (text.as_py() or "").split("\n")
+                for x in chosen.as_py():
+                    if x["line_no"] < len(every):  # else it is another text's that has this id too
+                        at.append(i)
+                        number.append(x["line_no"])
+                        line.append(every[x["line_no"]])
+                        first.append(x["first"])
+                        second.append(x["second"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(line, pa.string()), pa.array(first, pa.bool_()), pa.array(second, pa.bool_())], names=schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, key, role) of candidate ``lines`` (doc_id, line_no, line, first, second), the halves that may differ.
 
@@ -164,21 +185,23 @@ def _deletions(h: np.ndarray, place: np.ndarray, by_place: np.ndarray) -> tuple[
     return whole, without
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """Lines to drop: (doc_id, line_no, kept_doc_id, kept_line_no), the latter an earlier line that is near.
+@tidy
+def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS, exact_words: int = EXACT_WORDS) -> DataFrame:
+    """Lines to drop: (doc_id, line_no, near_doc_id, near_line_no), the latter an earlier line that is near; it may go itself for a still earlier one.
 
     Lines are numbered from 0 by the line feeds before them; earlier means a smaller (doc_id, line_no), null ids last.  Lines of fewer
-    than ``min_words`` words have only equal lines as partners, and below ``exact_words`` (``min_words`` if not given) none.  Null and empty texts have no lines that do.  Rows that repeat a doc_id
-    are taken to be the same document: their equal lines keep the place that they share, and stay.
+    than ``min_words`` words have only equal lines as partners, and below ``exact_words`` none.  Null and empty texts have no lines that do.
+    Rows that repeat a doc_id are taken to be the same document: their equal lines keep the place that they share, and stay.  Lines and texts of any length are
+    taken whole.  Other columns, whatever their names, are not read and not returned.  An empty table gives no rows.
     """
-    lines = stage(line_table(docs, text, min_words, min_words if exact_words is None else exact_words), "lines")
+    lines = stage(line_table(docs, text, min_words, exact_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     distinct = stage(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.max("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("times")), "distinct")
     repeated = distinct.where("times > 1").select("h1", "h2", "at")
     repeated = stage(repeated, "repeated")
     copies = with_maybe(lines.select("doc_id", "line_no", "h1", "h2"), "h1", key_filter(repeated, "h1")).where("_maybe").drop("_maybe")
     exact = copies.join(repeated, ["h1", "h2"])
-    exact = exact.where(~order.eqNullSafe(F.col("at"))).select("doc_id", "line_no", F.col("at.doc_id").alias("kept_doc_id"), F.col("at.line_no").alias("kept_line_no"))
+    exact = exact.where(~order.eqNullSafe(F.col("at"))).select("doc_id", "line_no", F.col("at.doc_id").alias("near_doc_id"), F.col("at.line_no").alias("near_line_no"))
 
     keyed = distinct.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), F.posexplode("halves").alias("half", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -188,44 +211,42 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN
     by_doc = stage(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "first", "second")).alias("_lines")), "candidates")  # a document's own lines
     d = with_maybe(docs.select("doc_id", F.col(text).alias("_text")), "doc_id", key_filter(by_doc, "doc_id")).where("_maybe")
     d = d.join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    every = F.split("_text", "\n", -1)
-    texts = d.select("doc_id", F.inline(F.transform("_lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.get(every, x["line_no"]).alias("line"), x["first"].alias("first"), x["second"].alias("second")))))
-    texts = stage(texts.where(F.col("line").isNotNull()), "candidate-lines")
+    texts = stage(_chosen(d.select("doc_id", "_text", "_lines")), "candidate-lines")
 
     compared = _verified(texts, _links(stage(_variants(texts), "variants")))
-    best = F.min(F.struct(F.col("kept_doc_id").isNull().alias("last"), "kept_doc_id", "kept_line_no")).alias("kept")
-    earliest = compared.groupBy(*PLACE).agg(best).select(*PLACE, "kept.kept_doc_id", "kept.kept_line_no")
+    best = F.min(F.struct(F.col("near_doc_id").isNull().alias("last"), "near_doc_id", "near_line_no")).alias("kept")
+    earliest = compared.groupBy(*PLACE).agg(best).select(*PLACE, "kept.near_doc_id", "kept.near_line_no")
     # a line whose own text stood earlier goes for that; one whose earliest copy is near an earlier line goes too, by either
-    return exact.union(earliest).groupBy(*PLACE).agg(best).select(*PLACE, "kept.kept_doc_id", "kept.kept_line_no")
+    return exact.union(earliest).groupBy(*PLACE).agg(best).select(*PLACE, "kept.near_doc_id", "kept.near_line_no")
 
 
 def _links(variants: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kept_doc_id, kept_line_no): a line and the earliest earlier line of each of its keys."""
+    """(doc_id, line_no, near_doc_id, near_line_no): a line and the earliest earlier line of each of its keys."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     least = variants.where("role = 2").groupBy("key").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     replaced = variants.where("role = 2").join(stage(least, "groups"), "key")
     whole = variants.where("role = 0").select("key", order.alias("whole"))
     shorter = variants.where("role = 1").withColumn("longer", order).join(whole, "key").select("key", "whole", "longer")
     ends = shorter.groupBy("key", "whole").agg(F.min("longer").alias("longer"))  # the shorter line needs only the earliest of the longer ones
-    pair = lambda a, b: [F.col(f"{a}.doc_id").alias("doc_id"), F.col(f"{a}.line_no").alias("line_no"), F.col(f"{b}.doc_id").alias("kept_doc_id"), F.col(f"{b}.line_no").alias("kept_line_no")]
+    pair = lambda a, b: [F.col(f"{a}.doc_id").alias("doc_id"), F.col(f"{a}.line_no").alias("line_no"), F.col(f"{b}.doc_id").alias("near_doc_id"), F.col(f"{b}.line_no").alias("near_line_no")]
     out = replaced.withColumn("own", order).where(F.col("least") < F.col("own")).select(*pair("own", "least"))
     out = out.union(shorter.where(F.col("whole") < F.col("longer")).select(*pair("longer", "whole")))
     out = out.union(ends.where(F.col("longer") < F.col("whole")).select(*pair("whole", "longer")))
-    best = F.min(F.struct(F.col("kept_doc_id").isNull().alias("last"), "kept_doc_id", "kept_line_no")).alias("kept")
-    return stage(out.groupBy(*PLACE).agg(best).select(*PLACE, "kept.kept_doc_id", "kept.kept_line_no"), "near")
+    best = F.min(F.struct(F.col("near_doc_id").isNull().alias("last"), "near_doc_id", "near_line_no")).alias("kept")
+    return stage(out.groupBy(*PLACE).agg(best).select(*PLACE, "kept.near_doc_id", "kept.near_line_no"), "near")
 
 
 def _verified(lines: DataFrame, near: DataFrame) -> DataFrame:
     """Those pairs of ``near`` whose lines are within one edit, by their words."""
     a = lines.select(F.col("doc_id").alias("_a"), F.col("line_no").alias("_m"), F.col("line").alias("_line"))
     b = lines.select(F.col("doc_id").alias("_b"), F.col("line_no").alias("_k"), F.col("line").alias("_kept"))
-    pairs = near.join(a, F.col("doc_id").eqNullSafe(F.col("_a")) & (F.col("line_no") == F.col("_m"))).join(b, F.col("kept_doc_id").eqNullSafe(F.col("_b")) & (F.col("kept_line_no") == F.col("_k")))
+    pairs = near.join(a, F.col("doc_id").eqNullSafe(F.col("_a")) & (F.col("line_no") == F.col("_m"))).join(b, F.col("near_doc_id").eqNullSafe(F.col("_b")) & (F.col("near_line_no") == F.col("_k")))
 
     @F.pandas_udf("boolean")
     def within_one(x, y):
         return pd.Series([_one_edit(_split(p), _split(q)) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    return pairs.where(within_one("_line", "_kept")).select(*PLACE, "kept_doc_id", "kept_line_no")
+    return pairs.where(within_one("_line", "_kept")).select(*PLACE, "near_doc_id", "near_line_no")
 
 
 def _split(line: str) -> list[bytes]:
@@ -241,24 +262,38 @@ def _one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return short[i + (len(short) == len(long)) :] == long[i + 1 :]
 
 
-def remove_lines(docs: DataFrame, dropped: DataFrame, text: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, dropped: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without their ``dropped`` lines, and with n_removed; the other lines keep their order and bytes.
 
-    A document of whose lines none with words is left goes; others, and those that had none before, stay.
+    ``doc_id`` names the column of ``docs`` that ``dropped`` has as doc_id.  A document of whose lines none with words is left goes; others, and
+    those that had none before, null and empty texts among them, stay.  Rows that share an id, or have none, lose the same lines.  Input columns named n_removed give
+    way.  An empty table gives no rows.
     """
-    by_doc = stage(dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped")
-    marked = with_maybe(docs, "doc_id", key_filter(by_doc, "_id"))
-    joined = marked.where("_maybe").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
+    by_doc = stage(dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone")), "dropped")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_removed"])
+    marked = with_maybe(docs, doc_id, key_filter(by_doc, "_id"))
+    joined = marked.where("_maybe").join(by_doc, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     some = F.col("_gone").isNotNull()
-    new = joined.withColumn(text, F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    new = joined.withColumn(text, F.when(some, _without(F.col(text), F.col("_gone"))).otherwise(F.col(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
     new = new.where(~some | F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop("_id", "_gone")
     return marked.where(~F.col("_maybe")).withColumn("n_removed", F.lit(0)).unionByName(new).drop("_maybe")
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the numbered lines."""
+    out = []
+    for t, g in zip(texts, gone, strict=True):
+        if t is not None and g is not None:
+            left = set(g.tolist())
+            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in left])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
-    dropped = near_duplicates(read(spark, sf_dir, "documents"), exact_words=EXACT_WORDS)
-    removed = F.sort_array(F.collect_list(F.struct("line_no", "kept_doc_id", "kept_line_no")))
+    dropped = near_duplicates(read(spark, sf_dir, "documents"))
+    removed = F.sort_array(F.collect_list(F.struct("line_no", "near_doc_id", "near_line_no")))
     found = dropped.groupBy("doc_id").agg(F.count("*").alias("n_removed"), removed.alias("removed"))
     ids = read(spark, sf_dir, "documents").select("doc_id")
     return ids.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "removed")

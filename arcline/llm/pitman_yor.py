@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import BINARY, DOUBLE, INT, LONG, read, release, stage, staged, struct, text_slices
+from arcline.llm.common import BINARY, DOUBLE, INT, LONG, read, release, stage, staged, struct, text_slices, tidy
 from arcline.llm.toxicity import remainder
 
 #: A word that the training texts hold so often is a symbol of its own; a block holds about HEAD symbols at most.
@@ -381,6 +381,7 @@ def _answers(requests: DataFrame, restaurants: DataFrame, size: int, g: int, bur
     return every.groupBy("cell").applyInPandas(run, "chunk long, cell int, body binary")
 
 
+@tidy
 def score(docs: DataFrame, *, train: Column, text: str = "text", head: int = HEAD, tails: int = TAILS, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Learn from the ``train`` rows of ``docs`` (doc_id, ``text``) and score all whole texts: a row for each.
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -193,13 +194,25 @@ def test_broken_archives_are_told(spark):
 
 
 # 5: lines
+def one_edit(a, b):
+    """By the table of edit distances."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1] <= 1
+
+
 def near_lines(rows, min_words):
-    """{place: all earlier places within one edit} by comparing every two lines."""
+    """{place: all earlier places that are equal or, from ``min_words`` words on, within one edit} by comparing every two lines."""
     every = [((d, k), words(line)) for d, t in rows for k, line in enumerate((t or "").split("\n"))]
-    every = [(p, w) for p, w in every if len(w) >= min_words]
+    every = [(p, w) for p, w in every if w]
     out = {}
     for p, w in every:
-        before = [q for q, x in every if q < p and lines._one_edit(w, x)]
+        before = [q for q, x in every if q < p and (w == x or min(len(w), len(x)) >= min_words and one_edit(w, x))]
         if before:
             out[p] = before
     return out
@@ -220,8 +233,8 @@ def test_near_lines_equal_brute_force(spark):
             made.append("  ".join(w) + rng.choice(["", ".", "!!"]))
         texts.append("\n".join(made))
     texts += [*ODD, "\n".join(["same text here for everyone to see twice or more"] * 3)]
-    df = docs_of(spark, texts)
-    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in lines.near_duplicates(df).collect()}
+    df = docs_of(spark, texts).withColumn("line_no", F.lit("clash")).withColumn("n_removed", F.lit("clash"))
+    got = {(r.doc_id, r.line_no): (r.near_doc_id, r.near_line_no) for r in lines.near_duplicates(df).collect()}
     expected = near_lines(list(enumerate(texts)), lines.MIN_WORDS)
     assert got.keys() == expected.keys() and all(got[p] in expected[p] for p in got)
     left = {r.doc_id: r for r in lines.remove_lines(df, lines.near_duplicates(df)).collect()}
@@ -467,3 +480,59 @@ def test_rows_that_share_or_lack_an_id(spark):
     pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
     records = warc.read_archives(warc.write_archives(pages)).collect()
     assert sorted(r.record_type for r in records) == ["response"] * 3 + ["revisit"] * 2
+
+
+def test_lines_of_one_document_cost_in_proportion(spark):
+    """One document of many near lines: twice the lines take no more than about twice the time."""
+    def seconds(n):
+        text = "\n".join(f"this line {i % (n // 2)} r{i % (n // 2)} of a long document is like another one {'here' if i < n // 2 else 'there'}" for i in range(n))
+        df = docs_of(spark, [text, "short"])
+        began = time.perf_counter()
+        left = lines.remove_lines(df, lines.near_duplicates(df)).where("doc_id = 0").first()
+        assert left.text.count("\n") + 1 == n // 2 == left.n_removed
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 3 * seconds(8_000)
+
+
+def test_near_groups_give_rows_in_proportion(spark, monkeypatch):
+    """Of n near copies of a page, what the join stages for members, links and trees has about n rows, and links are counted whole."""
+    def staged_rows(n):
+        rng = random.Random(3)
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(150)] = f"c{rng.randrange(40)}"
+            texts.append(" ".join(w))
+        seen = Counter()
+        plain = jaccard.stage
+
+        def counting(df, label):
+            out = plain(df, label)
+            seen[label] += out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "stage", counting)
+            rows = jaccard.join(docs_of(spark, texts), block=32).collect()
+        sets = [shingles(t) for t in texts]
+        for r in rows[:: n // 25]:
+            assert r.n_links == sum(5 * len(sets[r.doc_id] & x) >= 4 * len(sets[r.doc_id] | x) for x in sets) - 1
+        return seen
+
+    small, large = staged_rows(300), staged_rows(600)
+    assert large["classes"] > 1.7 * small["classes"]
+    for label in ("members", "found", "apart", "ids"):
+        assert small[label] > 0 and large[label] < 2.6 * small[label], label
+
+
+def test_intersections_of_any_share(spark):
+    rng = np.random.default_rng(5)
+    a = [np.unique(rng.choice(m, rng.integers(0, 40)).astype(np.uint64)) for m in [10, 50, 1000, 5000] * 20]
+    b = [np.unique(rng.choice(m, rng.integers(0, 40)).astype(np.uint64)) for m in [12, 60, 900] * 15]
+    got = jaccard._shared(jaccard._Sorted(a), jaccard._Sorted(b))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard._shared(jaccard._Sorted([]), jaccard._Sorted(b)).shape == (0, 45)

@@ -54,3 +54,32 @@ def test_stages_decide_as_planted(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id: r.taken for r in again.collect()} == {d: r.taken for d, r in kept[4].items()}
     assert again.where(F.col("taken") > 2 * F.col("size")).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_repeated_rows_and_rows_without_id(spark, tmp_path):
+    """Of five equal rows one is left, whatever their ids; other rows that share or lack an id stay as they are."""
+    t = "a quick brown fox jumps over the lazy dog and runs into the deep dark woods again"
+    rows = [(1, t), (1, t), (2, t), (None, t), (None, t), (1, "quite another text of many words that shares the id of the first one"), (None, "and one more text of several words that has no id at all today"), (None, None), (None, ""), (3, "")]
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows], SCHEMA).withColumn("_row", F.lit("clash"))
+    copies = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in copies) == sorted([(t, 1), *[(x or "", i or 0) for i, x in rows[5:]]])
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in lines) == sorted([(t, 1), *[(x or "", i or 0) for i, x in rows[5:]]])
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([], SCHEMA)
+    assert all(stage(spark, docs, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_results_of_two_runs_can_both_be_read(spark, tmp_path):
+    rows, docs, _ = make(spark, tmp_path)
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    second = corpus_pipeline.run(spark, str(tmp_path))
+    corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count()
+    assert sorted(first.collect()) == sorted(second.collect())
