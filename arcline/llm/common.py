@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,25 @@ def carried(df: DataFrame, new: T.StructType, columns: list[str] | None = None)
     return [f.name for f in fields], T.StructType([*fields, *new.fields])
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, str], label: str) -> DataFrame:
+    """``df``, staged, with a running sum of columns over its rows in a total ``order``: {new column: summed column}, the row itself left out.
+
+    Rows are dealt to tasks by range; a task sums its own, and what stands before it comes from one row of sums for each task, so no
+    task holds more than a range.
+    """
+    dealt = stage(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), label)
+    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sorted(dealt.groupBy("_range").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).collect(), key=lambda r: r["_range"])  # a row a task
+    offsets, total = [], {k: 0 for k in sums}
+    for r in ranges:
+        offsets.append((r["_range"], *total.values()))
+        total = {k: v + (r[k] or 0) for k, v in total.items()}
+    kinds = {k: dict(dealt.dtypes)[c] for k, c in sums.items()}
+    held = df.sparkSession.createDataFrame([(o[0], *(float(v) if kinds[k] == "double" else int(v) for k, v in zip(sums, o[1:], strict=True))) for o in offsets], ", ".join(["_range int", *(f"_{k} {'double' if t == 'double' else 'long'}" for k, t in kinds.items())]))
+    out = dealt.join(F.broadcast(held), "_range")
+    return out.select(*df.columns, *[(F.col(f"_{k}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(k) for k, c in sums.items()])
+
+
 _FILTER_BITS, _BITMAP_BITS = 1 << 26, 1 << 15
 
 

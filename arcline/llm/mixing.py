@@ -13,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcline.llm.common import read, stage
+from arcline.llm.common import in_order, read, stage, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_TOKENS = 32
 SHARD_TOKENS = 1 << 16
-MAX_SHARDS = 4096
 SEED = 20240917
 
 
@@ -28,88 +27,79 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def apportion(parties: DataFrame, weight: str, blocks: str, order: list[Column], by: list[str] | None = None) -> DataFrame:
+def apportion(parties: DataFrame, weight: str, blocks: str, key: list[str], by: list[str] | None = None) -> DataFrame:
     """Add ``quota``: Sainte-Lague seats among the rows of each ``by`` group (rows are parties: one per source or shard).
 
-    ``blocks`` names the group's number of seats, the same in all its rows.  Ties go by ``order``.  Parties of no weight get none.
+    ``blocks`` names the group's number of seats, the same in all its rows.  ``key``, columns without nulls, names a party within all of ``parties``; ties go by it.
+    Parties of no weight get none.  Seats are ranked by range over all groups, so a group of any size spreads over tasks.
     """
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = group.orderBy(F.col("_quotient").desc(), *order, "_seat")
+    by = by or []
+    one = F.lit(1).cast("long")
+    totals = parties.withColumn("_all", F.lit(0)).groupBy("_all", *by).agg(F.sum(weight).alias("_total"), F.sum(F.when(F.col(weight) > 0, 1.0).otherwise(0.0)).alias("_count"))
     total, count, n = F.col("_total"), F.col("_count"), F.col(blocks).cast("double")
+    joined = parties.withColumn("_all", F.lit(0)).join(stage(totals, "weights"), ["_all", *by]).drop("_all")
     bounded = (
-        parties.withColumn("_total", F.sum(weight).over(group))
-        .withColumn("_count", F.sum(F.when(F.col(weight) > 0, 1.0).otherwise(0.0)).over(group))
-        .withColumn("_party", F.monotonically_increasing_id())
-        .withColumn("_low", F.when((F.col(weight) > 0) & (n > count / 2 + 1), F.greatest(F.lit(0.0), F.floor(F.col(weight) * (n - count / 2 - 1) / total + 0.5))).otherwise(0.0))
+        joined.withColumn("_low", F.when((F.col(weight) > 0) & (n > count / 2 + 1), F.greatest(F.lit(0.0), F.floor(F.col(weight) * (n - count / 2 - 1) / total + 0.5))).otherwise(0.0))
         .withColumn("_high", F.when(F.col(weight) > 0, F.floor(F.col(weight) * (n + count / 2 + 1) / total + 0.5) + 1).otherwise(0.0))
         .withColumn("_low", F.col("_low").cast("long"))
         .withColumn("_high", F.greatest("_low", F.least(F.col("_high").cast("long"), F.col(blocks))))
-        .withColumn("_open", F.col(blocks) - F.sum("_low").over(group))
     )
-    contested = (
-        bounded.where(F.col("_high") > F.col("_low"))
-        .withColumn("_seat", F.explode(F.sequence("_low", F.col("_high") - 1)))
-        .withColumn("_quotient", F.col(weight) / (2 * F.col("_seat") + 1))
-        .withColumn("_rank", F.row_number().over(ranked))
-        .where(F.col("_rank") <= F.col("_open"))
-        .groupBy("_party")
-        .agg(F.count("*").alias("_won"))
-    )
-    joined = bounded.join(contested, "_party", "left")
-    return joined.withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_total", "_count", "_party", "_low", "_high", "_open", "_won")
+    bounded = stage(bounded.drop("_total", "_count"), "bounded")
+    contested = bounded.where(F.col("_high") > F.col("_low")).select(*dict.fromkeys([*key, *by]), weight, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_seat"))
+    contested = contested.withColumn("_quotient", F.col(weight) / (2 * F.col("_seat") + 1)).withColumn("_one", one)
+    ranked = in_order(contested, [*(F.col(c) for c in by), F.col("_quotient").desc(), *(F.col(c) for c in key), F.col("_seat")], {"_rank": "_one"}, "seats")
+    ranked = stage(ranked.withColumn("_all", F.lit(0)), "ranked")
+    open_ = bounded.withColumn("_all", F.lit(0)).groupBy("_all", *by).agg((F.max(blocks) - F.sum("_low")).alias("_open"))
+    first = ranked.groupBy("_all", *by).agg(F.min("_rank").alias("_first")).join(open_, ["_all", *by])
+    won = ranked.join(stage(first, "open"), ["_all", *by]).where(F.col("_rank") - F.col("_first") < F.col("_open")).groupBy(*key).agg(F.count("*").alias("_won"))
+    return bounded.join(won, key, "left").withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_low", "_high", "_won")
 
 
 def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """Targets (double) per source of ``totals`` (source, source_size): one row per source.
+    """Add target (double) to ``totals`` (_source, source, source_size): one row per source, _source being its name without nulls.
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``share`` of all words; no target passes ``most`` times its
     source's size, and the excess goes to the others by weight until none is above: each gets min(most * size, level * weight), the
     level being found over the sources sorted by most * size / weight.
     """
-    n = len(weights)
-    ordered = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source"))
-    everything = Window.partitionBy(F.lit(0))
-    at = F.pmod(F.row_number().over(ordered) - 1, F.lit(n))
-    weighed = totals.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int")))
-    weighed = weighed.withColumn("_cap", most * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    fill = Window.partitionBy(F.lit(0)).orderBy("_ratio", F.col("source").isNull(), "source")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        weighed.withColumn("_budget", share * F.sum("source_size").over(everything))
-        .withColumn("_rest", F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_left", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
-        .withColumn("_level", F.col("_rest") / F.col("_left"))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level"))).over(everything)["_level"])
-    )
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_weight")))
-    return level.select("source", "source_size", target.cast("double").alias("target"))
-
-
-def mix(docs: DataFrame, *, text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, max_shards: int = MAX_SHARDS, seed: int = SEED) -> DataFrame:
+    ordered = [F.col("source").isNull(), F.col("source")]
+    placed = in_order(totals.withColumn("_one", F.lit(1).cast("long")), ordered, {"_at": "_one"}, "sources").drop("_one")
+    weighed = placed.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_at", F.lit(len(weights))) + 1).cast("int")))
+    weighed = stage(weighed.withColumn("_cap", most * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_weight")), "weighed")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("_weight").alias("weight")).first()
+    if not whole["size"]:
+        return weighed.select(*totals.columns, F.lit(0.0).alias("target"))
+    filled = in_order(weighed, [F.col("_ratio"), *ordered], {"_caps": "_cap", "_weights": "_weight"}, "filled")
+    level = (F.lit(share * whole["size"]) - F.col("_caps")) / (F.lit(whole["weight"]) - F.col("_weights"))
+    lowest = filled.withColumn("_level", level).where(F.col("_level") <= F.col("_ratio")).agg(F.min(F.struct("_ratio", "_level"))["_level"]).first()[0]
+    target = F.col("_cap") if lowest is None else F.least("_cap", F.lit(lowest) * F.col("_weight"))
+    return weighed.select(*totals.columns, target.cast("double").alias("target"))
+
+
+@tidy
+def mix(docs: DataFrame, *, text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     """How many words of each document (doc_id, source, ``text``) the mix takes.
 
     Returns a row per document: doc_id, source, size, source_size, target, taken, passes (whole copies) and ranges
-    (array<struct<first,last>>: words taken once more).  A document of no words gets taken 0; a null source is a source; repeated
-    rows are documents of their own, whose order among themselves is of no account because they are equal.  An empty table gives
-    no rows.  Words are ``[^\\x20\\x09-\\x0D]+``.  Source totals and shard totals are one row per source and at most ``max_shards``
-    rows per source, which is all that any one task ranks.
+    (array<struct<first,last>>: words taken once more).  Null and empty texts have size 0 and taken 0; a null source is a source; repeated
+    rows are documents of their own, whose order among themselves is of no account because they are equal.  A very long text is laid whole in one shard, which is the larger for it.
+    Other columns, whatever their names, are not read and not returned.  An empty table gives
+    no rows.  Words are ``[^\\x20\\x09-\\x0D]+``.  Shards have about ``shard_tokens`` words, or a sixteenth as many documents; sources and shards are ranked by range.
     """
-    sizes = stage(docs.select("doc_id", "source", word_count(text).alias("size")), "sizes")
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, share, most)
-    everything = Window.partitionBy(F.lit(0))
-    targets = targets.withColumn("_blocks", F.round(F.sum("target").over(everything) / block_tokens).cast("long"))
-    quotas = apportion(targets, "target", "_blocks", [F.col("source").isNull(), F.col("source")]).withColumnRenamed("quota", "source_quota")
-    quotas = quotas.withColumn("_shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))).cast("long"))
-    quotas = stage(quotas.select("source", "source_size", "target", "source_quota", "_shards"), "quotas")
-
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # one join key for null and other sources
-    quotas = quotas.withColumn("_source", key).drop("source")
-    placed = sizes.withColumn("_source", key).withColumn("_place", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # one name for null and other sources
+    sizes = stage(docs.select("doc_id", "source", key.alias("_source"), word_count(text).alias("size")), "sizes")
+    totals = sizes.groupBy("_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
+    targets = stage(source_targets(totals, weights, share, most), "targets")
+    blocks = targets.agg(F.round(F.sum("target") / block_tokens).cast("long")).first()[0] or 0
+    quotas = apportion(targets.withColumn("_seats", F.lit(blocks)), "target", "_seats", ["_source"]).withColumnRenamed("quota", "source_quota")
+    quotas = quotas.withColumn("_shards", F.greatest(F.lit(1), F.ceil((F.col("source_size") + 16 * F.col("_docs")) / shard_tokens)).cast("long"))
+    quotas = stage(quotas.select("_source", "source_size", "target", "source_quota", "_shards"), "quotas")
+
+    placed = sizes.withColumn("_place", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = placed.join(F.broadcast(quotas) if _few(quotas) else quotas, "_source")
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_place"), F.col("_shards")))
     shards = placed.groupBy("_source", "_shard").agg(F.sum("size").alias("_size"), F.first("source_quota").alias("source_quota"))
-    shards = apportion(shards, "_size", "source_quota", [F.col("_shard")], ["_source"])
+    shards = apportion(stage(shards, "parties"), "_size", "source_quota", ["_source", "_shard"], ["_source"])
     n = F.ceil(F.col("_size") / block_tokens).cast("long")
     shards = shards.select("_source", "_shard", n.alias("_n"), F.col("quota").alias("_quota"))
     shards = stage(shards.withColumn("_step", _prime_step("_n", seed)).withColumn("_shift", F.pmod(F.xxhash64(F.lit(seed + 3), "_source", "_shard"), F.greatest("_n", F.lit(1)))), "shards")

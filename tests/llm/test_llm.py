@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcline.llm import components, decontaminate, jaccard, licenses, lines, mixing, pitman_yor, pseudonyms, registry, topk, toxicity, warc
-from arcline.llm.common import key_filter, with_maybe
+from arcline.llm.common import in_order, key_filter, with_maybe
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -55,7 +55,7 @@ def sainte_lague(weights, seats):
 @pytest.mark.parametrize(("weights", "seats"), [([10.0, 7.0, 3.0], 20), ([1.0, 1.0, 1.0], 2), ([5.0, 0.0, 1.0], 7), ([1000.0, 1.0, 2.0, 3.0], 3), ([53.0, 24.0, 23.0], 100), ([1.0], 5), ([2.5, 2.5, 90.0, 4.0, 1.0], 0)])
 def test_seats_go_by_highest_quotients(spark, weights, seats):
     df = spark.createDataFrame([(i, w, seats) for i, w in enumerate(weights)], "i long, w double, n long")
-    got = {r.i: r.quota for r in mixing.apportion(df, "w", "n", [F.col("i")]).collect()}
+    got = {r.i: r.quota for r in mixing.apportion(df, "w", "n", ["i"]).collect()}
     assert [got[i] for i in range(len(weights))] == sainte_lague(weights, seats)
 
 
@@ -90,13 +90,37 @@ def test_mix_comes_near_its_targets(spark):
     for r in rows:
         assert math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.source_size == sizes[r.source]
     assert all(abs(taken[s] - want[s]) <= 3 * mixing.BLOCK_TOKENS for s in sizes)
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    for parts in (4, 61):
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(parts)).collect()))
     in_pieces = defaultdict(int)
     for r in mixing.mixed_texts(df, mixing.mix(df)).collect():
         in_pieces[r.doc_id] += len(r.text.split())
     assert in_pieces == {r.doc_id: r.taken for r in rows if r.taken}
 
 
+def test_seats_of_many_groups_by_range(spark):
+    """Groups of unequal size, ranked together over several ranges."""
+    rng = random.Random(12)
+    groups = {g: [round(rng.random() * 50, 2) * (rng.random() < 0.9) for _ in range(n)] for g, n in enumerate([1, 2, 40, 300, 7])}
+    seats = {g: rng.randrange(400) for g in groups}
+    rows = [(f"g{g}", i, w, seats[g]) for g, x in groups.items() for i, w in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, i long, w double, n long")
+    for parts in (1, 13):
+        got = {(r.g, r.i): r.quota for r in mixing.apportion(df.repartition(parts), "w", "n", ["g", "i"], ["g"]).collect()}
+        for g, x in groups.items():
+            if any(x):
+                assert [got[f"g{g}", i] for i in range(len(x))] == sainte_lague(x, seats[g])
+
+
+def test_running_sums_by_range(spark):
+    df = spark.createDataFrame([(i, (i * 7919) % 1000, float(i)) for i in range(1000)], "i long, k long, x double").repartition(9)
+    got = {r.k: (r.n, r.s) for r in in_order(df.withColumn("one", F.lit(1).cast("long")), [F.col("k")], {"n": "one", "s": "x"}, "t").collect()}
+    total, by_k = 0.0, {(i * 7919) % 1000: float(i) for i in range(1000)}
+    for k in range(1000):
+        assert got[k] == (k, total)
+        total += by_k[k]
+
+
 def test_mix_of_odd_rows(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     rows = {r.doc_id: r for r in mixing.mix(docs_of(spark, ODD)).collect()}
@@ -364,7 +388,7 @@ def brute_hits(text, items, n=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 20])
+@pytest.mark.parametrize("block", [2_000_000, 60])
 def test_marks_equal_brute_force(spark, block):
     rng = random.Random(8)
     items = [(str(k), " ".join(rng.choice("abcde") + str(rng.randrange(9)) for _ in range(rng.choice([3, 13, 20, 30])))) for k in range(12)] + [("12", ""), ("13", "!!"), ("14", "Ünï Cödé")]
@@ -382,6 +406,29 @@ def test_marks_equal_brute_force(spark, block):
     assert decontaminate.mark(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_the_index_is_compact_and_one_block_lives_at_a_time(spark, monkeypatch):
+    rng = random.Random(81)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    windows, size = decontaminate._Index([("a", text), ("b", text[:3000])], 13).size()
+    assert windows >= 19_988 and size < 50 * windows
+    live, most = set(), []
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+            live.add(self)
+            most.append(len(live))
+
+        def destroy(self):
+            live.discard(self)
+
+    monkeypatch.setattr(decontaminate, "_marker", lambda index: lambda column: F.lit(None).cast(decontaminate.FOUND))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: Held(value))
+    bench = spark.createDataFrame([(1, text), (2, "short one")], "item_id long, text string")
+    decontaminate.mark(docs_of(spark, [text, "x"]), bench, max_block_words=2000).count()
+    assert len(most) >= 10 and max(most) == 1
+
+
 # 9: licences
 def test_licences(spark):
     texts = [*ODD, "Released  under THE MIT-License. under the mit license under the mit license", "This work is licensed under the GNU General Public License, version 3.", "licensed under apache, license: version 2!", "cc by nc", "x " * 500 + "Licensed under CC BY-SA 4.0.", "mit license der",
