@@ -7,7 +7,9 @@ document, different values different ones, and check digits hold again.  Who has
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -25,18 +27,23 @@ KINDS = ("email", "secret", "iban", "card", "phone", "ip", "national_id", "date"
 #: Stands in for a key in tests and in the registered query; callers pass their own.
 EXAMPLE_KEY = b"example key, not for use"
 
-#: How the kinds are written.
+#: How the kinds are written.  No part of a pattern can be tried again from within a run of the same characters, so texts cost in proportion.
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
     r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9_+/-]{8,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
-    r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<national_id>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<phone>(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.+-])[2-9][0-9]{2}(?P<gap>[.-])[2-9][0-9]{2}(?P=gap)[0-9]{4}(?![\w-]|\.[0-9]))"
+    r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9]))"
+    r"|(?P<national_id>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<card>(?<![0-9.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-]))"
+    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
 )
+#: Country calling codes of one and of two digits; all others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: A long secret is permuted in parts of so many characters, each keyed by what stands before it.
+PART = 64
 
 
 def _round(key: bytes, tweak: bytes, i: int, x: int) -> int:
@@ -81,14 +88,29 @@ def _split(x: int, sizes: list[int]) -> list[int]:
 def _refill(text: str, digits: str) -> str:
     """``text`` with its digits replaced in order."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in text)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in text)
 
 
 def _characters(text: str, key: bytes, tweak: bytes, back: bool) -> str:
-    """Digits permuted among digits and letters among letters, cases and signs staying; hex text is permuted as such."""
-    if re.fullmatch(r"(?=.*\d)(?:[0-9a-f]{8,}|[0-9A-F]{8,})", text):
-        n = permute(int(text, 16), 16 ** len(text), key, tweak + b"hex", back)
-        return f"{n:0{len(text)}{'X' if text.upper() == text else 'x'}}"
+    """Digits permuted among digits and letters among letters, cases and signs staying; hex text is permuted as such.
+
+    Text is permuted in parts of ``PART`` characters, each with a hash of the plain text before it as a tweak.
+    """
+    out, plain = "", ""
+    for i in range(0, len(text), PART):
+        part = text[i : i + PART]
+        new = _part(part, key, tweak + (hashlib.blake2b(plain.encode(), digest_size=16).digest() if plain else b""), back)
+        plain, out = hashlib.blake2b((plain + (new if back else part)).encode(), digest_size=16).hexdigest(), out + new
+    return out
+
+
+def _part(text: str, key: bytes, tweak: bytes, back: bool) -> str:
+    if re.fullmatch(r"(?=.*[0-9])(?:(?=.*[a-f])[0-9a-f]{8,}|(?=.*[A-F])[0-9A-F]{8,})", text):
+        n, new = int(text, 16), ""
+        while not (re.search(r"[0-9]", new) and re.search(r"[A-Fa-f]", new)):  # walks on to hex text that shows as such
+            n = permute(n, 16 ** len(text), key, tweak + b"hex", back)
+            new = f"{n:0{len(text)}{'X' if text.upper() == text else 'x'}}"
+        return new
     out = list(text)
     digits = [i for i, c in enumerate(text) if "0" <= c <= "9"]
     letters = [i for i, c in enumerate(text) if "a" <= c.lower() <= "z"]
@@ -137,7 +159,7 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _card(text: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if digits[0] == "0" or luhn(digits[:-1]) != int(digits[-1]):
         return None
     body = digits[1:-1]
@@ -147,24 +169,24 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
-    code = re.match(r"\+(\d{1,3})(?=\D)", text)
-    country = code[1] if code else digits[:1] if text[0] == "+" else ""
-    own = digits[len(country) :]
-    american = lambda n: len(n) == 10 and country in ("1", "") and n[0] > "1" and n[3] > "1"  # noqa: E731  area and exchange begin with 2 to 9
-    if american(own):
-        parts, sizes = [int(own[0]) - 2, int(own[1:3]), int(own[3]) - 2, int(own[4:6]), int(own[6:])], [8, 100, 8, 100, 10_000]
-        x, size = _mixed(parts, sizes)
+    """A number is its country code and the digits after it, however they are set apart; without a code it is one of the North American plan."""
+    digits = re.sub(r"[^0-9]", "", text)
+    country = "1"
+    if text[0] == "+":
+        country = next(digits[:n] for n in (1, 2, 3) if n == 3 or digits[:n] in (_ONE_DIGIT, _TWO_DIGITS)[n - 1])
+        digits = digits[len(country) :]
+    if country == "1":
+        if len(digits) != 10 or digits[0] < "2" or digits[3] < "2":  # area and exchange begin with 2 to 9
+            return None
+        sizes = [8, 100, 8, 100, 10_000]
+        x, size = _mixed([int(digits[0]) - 2, int(digits[1:3]), int(digits[3]) - 2, int(digits[4:6]), int(digits[6:])], sizes)
         p = _split(permute(x, size, key, b"phone-1", back), sizes)
-        return _refill(text, f"{country}{p[0] + 2}{p[1]:02d}{p[2] + 2}{p[3]:02d}{p[4]:04d}")
-    if not 7 <= len(own) <= 14:
+        new = f"{p[0] + 2}{p[1]:02d}{p[2] + 2}{p[3]:02d}{p[4]:04d}"
+    elif 6 <= len(digits) <= 14:
+        new = f"{permute(int(digits), 10 ** len(digits), key, b'phone' + country.encode() + bytes([len(digits)]), back):0{len(digits)}d}"
+    else:
         return None
-    new = own
-    while new == own or american(new):  # walks on until it leaves the numbers that have a permutation of their own
-        new = f"{permute(int(new), 10 ** len(own), key, b'phone' + country.encode() + bytes([len(own)]), back):0{len(own)}d}"
-        if new == own:
-            break
-    return _refill(text, country + new)
+    return _refill(text, (country if text[0] == "+" else "") + new)
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -188,17 +210,38 @@ def _national_id(text: str, key: bytes, back: bool) -> str | None:
     return f"{p[0] + 1 + (p[0] >= 665):03d}-{p[1] + 1:02d}-{p[2] + 1:04d}"
 
 
+@functools.lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """The days after the 12th of their month, which are told from months in any order."""
+    return [n for n in range(_FIRST_DAY, _LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    iso = text[4] == "-"
-    a, b, c = (int(p) for p in re.split(r"\D", text))
+    """A date is its day, however it is written: year first, day first, or month first with slashes and a day after the 12th.
+
+    Days to the 12th and later ones are permuted apart, so what could be read as month first still can be.
+    """
+    a, b, c = (int(p) for p in re.split(r"[^0-9]", text))
+    year_first = "0" <= text[2] <= "9"
+    month_first = not year_first and text[2] == "/" and a <= 12 < b
+    if not year_first and text[2] != text[5]:
+        return None
     try:
-        day = (datetime.date(a, b, c) if iso else datetime.date(c, b, a)).toordinal()
+        day = datetime.date(a, b, c) if year_first else datetime.date(c, a, b) if month_first else datetime.date(c, b, a)
     except ValueError:
         return None
-    if not _FIRST_DAY <= day <= _LAST_DAY or (not iso and text[2] != text[5]):
+    if not _FIRST_DAY <= day.toordinal() <= _LAST_DAY:
         return None
-    new = datetime.date.fromordinal(_FIRST_DAY + permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, b"date", back))
-    return f"{new.year:04d}-{new.month:02d}-{new.day:02d}" if iso else f"{new.day:02d}{text[2]}{new.month:02d}{text[5]}{new.year:04d}"
+    if day.day > 12:
+        late = _late_days()
+        new = datetime.date.fromordinal(late[permute(bisect.bisect_left(late, day.toordinal()), len(late), key, b"late date", back)])
+    else:
+        x, size = _mixed([day.year - 1900, day.month - 1, day.day - 1], [200, 12, 12])
+        y, m, d = _split(permute(x, size, key, b"date", back), [200, 12, 12])
+        new = datetime.date(1900 + y, m + 1, d + 1)
+    parts = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
+    order = parts if year_first else (parts[1], parts[2], parts[0]) if month_first else parts[::-1]
+    return _refill(text, "".join(order))
 
 
 _BY_KIND: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "phone": _phone, "ip": _ip, "national_id": _national_id, "date": _date}
@@ -221,8 +264,8 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[int]]:
 def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with the values in ``text`` replaced, n_pii (their number) and n_<kind> for each kind; a row each, in place.
 
-    Only texts with a digit, an @ or the name of a secret go to Python.  Null texts stay null, with counts 0; repeated rows get equal
-    texts.  Input columns named like the new ones give way.  ``back`` undoes it.
+    Only texts with a digit, an @ or the name of a secret go to Python.  Null texts stay null and empty ones empty, with counts 0; repeated rows get equal
+    texts; very long texts are taken whole, in time in proportion.  Input columns named like the new ones give way.  An empty table gives no rows.  ``back`` undoes it.
     """
     made = ["n_pii", *(f"n_{k}" for k in KINDS)]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])

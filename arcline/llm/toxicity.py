@@ -3,8 +3,8 @@
 1. A bounded sample of labelled training rows (``max_rows``) gives the lexicon: a seed list, and words and word beginnings that stand
    in toxic documents and hardly elsewhere, picked greedily so that each explains toxic documents that those before it don't.
 2. Voters look at a document: one for each lexicon entry, and patterns (several hits, dense hits, repeated hits, no hit at all).
-3. The label model estimates each voter's rates under both classes by EM, and the correlations of voters within a class; a voter's
-   weight is divided by its correlation with the others, so that voters that repeat each other count once.
+3. The label model estimates each voter's rates under both classes by EM, and the correlations of voters within a class.  Correlations have no
+   term in its likelihood: a voter's weight is divided by its correlations of more than 0.3 with the others, so that voters that repeat each other count once.
 4. A logistic regression on the voters' counts is trained on the posterior labels and set to the labelled rows' scale.
 
 Scoring is one pass without a shuffle; the model is a small table of lexicon entries and weights.
@@ -84,10 +84,15 @@ def _inputs(hits: Counter, n_words: int, size: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most ``max_rows`` labelled training rows (text, toxic), chosen by a hash of doc_id; where a doc_id has several labels any 1 wins."""
+    """At most ``max_rows`` labelled training rows (text, toxic), one for each doc_id, chosen by a hash of doc_id.
+
+    Where a doc_id has several labels any 1 wins; of rows that share a doc_id the smallest text counts.  Null texts are empty ones, null ids and null labels
+    take no part, and empty tables give no rows.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _per_row(rows: DataFrame, made, schema: T.StructType) -> DataFrame:
@@ -176,9 +181,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, r
 
 
 def fit(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
-    """Fit on sampled ``rows`` (text, toxic): at most ``max_rows`` of ``sample`` reach the driver, as counts of hits only.
+    """Fit on sampled ``rows`` (text, toxic): the at most ``max_rows`` of ``sample`` reach the driver, as counts of hits only.
 
-    Without labelled rows the seeds vote alone.
+    Without labelled rows the seeds vote alone.  Repeated rows count as often as they come; empty texts have no hits.
     """
     rows = stage(rows, "labelled")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -214,7 +219,8 @@ def fit(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
 def score(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from ``threshold``) to ``docs``; keeps ``columns`` (None: all, but those named like them).
 
-    Null and empty texts have no hits and get the score of that.  Rows are scored one by one, so repeated rows score alike.
+    Null and empty texts have no hits and get the score of that; very long ones are taken whole.  Rows are scored one by one, so repeated rows score alike.
+    An empty table gives no rows.
     """
     names, _ = carried(docs, NEW, columns)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -157,6 +157,29 @@ def test_pseudonyms_keep_their_format(spark):
     assert pseudonyms.pseudonymise(docs_of(spark, []), b"key").count() == 0
 
 
+def test_equal_values_stay_linked_however_written():
+    new = lambda t: pseudonyms.replace(t, b"key")[0]
+    digits = lambda t: re.sub(r"[^0-9]", "", t)
+    phones = ["+4915112345678", "+49 151 12345678", "+49-151-1234-5678", "+49 (151) 12345678"]
+    assert len({digits(new(p)) for p in phones}) == 1 and digits(new(phones[0]))[:2] == "49" and new(phones[0]) != phones[0]
+    american = ["+1 415 555 2671", "+14155552671", "(415) 555-2671", "415-555-2671", "415.555.2671"]
+    assert len({digits(new(p))[-10:] for p in american}) == 1
+    assert new("(415) 555-2671")[:1] == "(" and new("12.415.555.2671") == "12.415.555.2671" and new("115-555-2671") == "115-555-2671"
+    dates = {"1999-12-31": (0, 1, 2), "1999/12/31": (0, 1, 2), "31.12.1999": (2, 1, 0), "31/12/1999": (2, 1, 0), "12/31/1999": (2, 0, 1)}
+    found = {tuple(re.split(r"[^0-9]", new(d))[k] for k in order) for d, order in dates.items()}
+    assert len(found) == 1 and int(next(iter(found))[2]) > 12
+    for t in (*phones, *american, *dates, "02/03/2004", "token=" + "Ab9" * 3000, "api_key: " + "0a" * 64, "\u0661\u0662/\u0663\u0661/1999"):
+        assert pseudonyms.replace(new(t), b"key", True)[0] == t
+    assert new("\u0661\u0662/\u0663\u0661/1999") == "\u0661\u0662/\u0663\u0661/1999"  # digits beyond ASCII have no format here
+
+
+def test_pseudonyms_of_long_texts_cost_in_proportion():
+    for t in ("%20%41" * 170_000, "a.b+" * 250_000, "secret=" + "x1Y" * 300_000, "1 " * 500_000, "+1" * 500_000):
+        began = time.perf_counter()
+        pseudonyms.replace(t, b"key")
+        assert time.perf_counter() - began < 4, t[:9]
+
+
 # 3: top-k
 @pytest.mark.parametrize(("dim", "scale"), [(64, 1.0), (7, 1.0), (1, 3.0), (16, 3e6)])
 def test_topk_is_exact(spark, dim, scale):
@@ -369,6 +392,10 @@ def test_toxicity_learns_words_and_beginnings(spark):
     wrong = [i for i, t in enumerate(toxic) if rows[i].predicted != t]
     assert not wrong and all(0 <= r.score <= 1 for r in rows.values()) and rows[500].predicted == rows[501].predicted == 0
     assert toxicity.score(df.limit(0), model).count() == 0
+    again = df.union(df.where("doc_id < 9")).union(docs_of(spark, ["x"] * 400).withColumn("doc_id", F.lit(4).cast("long")))
+    assert toxicity.sample(again, labels, F.lit(True), max_rows=10).count() == 10 and toxicity.sample(again, labels, F.lit(True)).count() == 500
+    long = toxicity.score(docs_of(spark, ["casa vento " * 200_000, "casa vento " * 200_000 + "idiot"]), model).orderBy("doc_id").collect()
+    assert long[0].predicted == 0 and long[1].score > long[0].score
     bare = toxicity.fit(toxicity.sample(df, labels.limit(0), F.lit(True)))
     assert [r.predicted for r in toxicity.score(docs_of(spark, ["you idiot", "fine day"]), bare).orderBy("doc_id").collect()] == [1, 0]
 
