@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: A-Z lower-cased; digits, letters and bytes from 0x80 kept; every other byte is a separator (32).
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
+#: A-Z lower-cased; only white space (\\x20, \\x09-\\x0D) separates.
+SPACED = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], dtype=np.uint8)
 #: Text is hashed in slices of about this many bytes, so that the working arrays stay small.
 SLICE_BYTES = 1 << 20
 #: What the operator that now runs has staged, its own list for each call and thread.
@@ -189,13 +191,13 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
 
 
 class Words:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a slice, A-Z lower-cased, as 64-bit hashes.
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a slice, A-Z lower-cased, as 64-bit hashes; with SPACED, words between white space.
 
     ``hashes[k]`` is word k, ``starts[k]:ends[k]`` its bytes in ``folded``; ``first[i]:first[i + 1]`` are the words of text i.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        self.folded = FOLD[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = FOLD) -> None:
+        self.folded = fold[data]
         inside = self.folded != 32
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
