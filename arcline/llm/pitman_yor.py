@@ -43,7 +43,7 @@ from arcline.llm.toxicity import remainder
 #: A word that the training texts hold so often is a symbol of its own; a block holds about HEAD symbols at most.
 LEAST, HEAD, TAILS = 2, 1 << 20, 256
 CHUNK_BYTES = 6 << 20
-CHUNKS_PER_BUCKET = 4
+CHUNKS_PER_BUCKET = 2
 BURN_IN, SAMPLES = 3, 4
 CONTEXT = (0.75, 5.0)
 PARENT = (0.1, 10.0)
@@ -224,6 +224,11 @@ def pair_requests(packed: DataFrame, counted: DataFrame, class_words: np.ndarray
     return left.unionByName(counted.select("chunk", "bucket", "begin", "body")).groupBy("chunk").applyInPandas(run, "chunk long, cell int, body binary")
 
 
+def _slices(n: int, size: int = 1 << 18) -> Iterator[slice]:
+    """Runs of ``size`` at most, so that working arrays stay small."""
+    return (slice(lo, lo + size) for lo in range(0, n, size))
+
+
 def _uniform(key: np.ndarray, k: int) -> np.ndarray:
     """The k-th random number between 0 and 1 of each key."""
     with np.errstate(over="ignore"):
@@ -281,8 +286,8 @@ def seat(c: np.ndarray, opening: Callable[[np.ndarray, np.ndarray], np.ndarray],
     order = np.argsort(c, kind="stable")
     edges = np.searchsorted(c[order], np.arange(2, EXACT + 2))
     for k in range(2, EXACT + 1):
-        for lo in range(edges[k - 2], edges[k - 1], 1 << 16):
-            which = order[lo : min(lo + (1 << 16), edges[k - 1])]
+        for lo in range(edges[k - 2], edges[k - 1], 1 << 14):
+            which = order[lo : min(lo + (1 << 14), edges[k - 1])]
             weight = np.empty((k, len(which)))
             weight[0] = ways[k, 1]
             opened = np.zeros(len(which))
@@ -325,13 +330,16 @@ def _parent(dishes: tuple[np.ndarray, np.ndarray], whole: tuple[int, int], size:
     return (customers - d * tables + (strength + d * t) / (size - 1)) / (strength + n)
 
 
-def _merge(bodies) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The key lists of a bucket's requests, the distinct keys and their counts."""
+def _merge(bodies) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket's requests and their counts."""
     parts = [_unpack(b) for b in bodies]
-    keys = [np.cumsum(k) for k, _ in parts]
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back.ravel(), weights=np.concatenate([n for _, n in parts]).astype(np.float64), minlength=len(every)).astype(np.int64)
-    return keys, every, total
+    keys, counts = np.concatenate([np.cumsum(k) for k, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 _SUMS = "side int, block int, old int, body binary"
@@ -350,7 +358,7 @@ def _gather(requests: DataFrame, size: int, g: int) -> DataFrame:
     """Each cell's distinct pairs and their counts (side 2, the cell as block), and sums of customers and of first tables, one a pair."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
-        _, every, total = _merge(pdf["body"])
+        every, total = _merge(pdf["body"])
         return pd.DataFrame([*_sums(every, [np.minimum(total, 1), total], cell, size, g), (2, cell, 0, _pack((np.diff(every, prepend=0), total)))], columns=["side", "block", "old", "body"])
 
     return stage(requests.groupBy("cell").applyInPandas(run, _SUMS), "restaurants")
@@ -412,8 +420,9 @@ def _sweep(restaurants: DataFrame, seats: DataFrame | None, state: DataFrame, wh
         if 1 in part:
             delta, total = part[1]
             every = np.cumsum(delta)
-            opening = _openings(every, part[4] if 4 in part else np.minimum(total, 1), part[2][0], part[3], whole, size, g)
-            t = seat(total, opening, CONTEXT[0], _keys(every, sweep, 0))
+            t = part[4].astype(np.int64) if 4 in part else np.minimum(total, 1)
+            for k in _slices(len(t)):  # each from its own old tables
+                t[k] = seat(total[k], _openings(every[k], t[k], part[2][0], part[3], whole, size, g), CONTEXT[0], _keys(every[k], sweep, 0))
             rows = [*_sums(every, [t], cell, size, g), (2, cell, 0, _pack(t.astype(np.uint32 if t.max(initial=0) < 2**32 else np.uint64)))]
         return pd.DataFrame(rows, columns=["side", "block", "old", "body"])
 
@@ -434,8 +443,9 @@ def _answers(requests: DataFrame, restaurants: DataFrame, size: int, g: int, bur
         behind = staged()[-2:] if 1 < sweep <= burn_in + 1 else []  # the last sweep's tables and state
         new = _sweep(restaurants, seats, state, whole, sweep, size, g)
         state, whole = _state(new, state, sweep, whole, size, g)
-        release(spark, behind)  # written anew, and not read again
         seats = new
+        release(spark, behind)  # written anew, and not read again
+        spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files once the driver has let go of it, which is when it collects garbage
         if sweep > burn_in:
             wholes[sweep] = whole
             parts.append(seats.where("side = 2").select(F.col("block").alias("cell"), F.lit(1).alias("kind"), F.lit(sweep).cast("long").alias("at"), "body"))
@@ -446,15 +456,18 @@ def _answers(requests: DataFrame, restaurants: DataFrame, size: int, g: int, bur
         asked = pdf[pdf["kind"] == 0]
         if not len(asked):
             return pd.DataFrame([], columns=["chunk", "cell", "body"])
-        keys, every, total = _merge(asked["body"])
+        every, total = _merge(asked["body"])
         part = {(int(k), int(at)): b for k, at, b in zip(pdf["kind"], pdf["at"], pdf["body"], strict=True) if k}
-        u, w = every // size // g, every % size // g
         p = np.zeros(len(every))
         for sweep, all_of in wholes.items():  # averaged over the sweeps: what stays in the context, and what it leaves to the parent times the parent's probability
-            tables = _unpack(part[2, sweep])[0]
-            p += total - d * _unpack(part[1, sweep]) + (strength + d * tables[u]) * _parent(_unpack(part[3, sweep]), all_of, size)[w]
-        p = (p / len(wholes) / (strength + _unpack(part[2, 0])[1][u])).astype(np.float32)
-        return pd.DataFrame({"chunk": asked["at"].to_numpy(), "cell": asked["cell"].to_numpy(), "body": [_pack(p[np.searchsorted(every, k)]) for k in keys]})
+            tables, seats, above = _unpack(part[2, sweep])[0], _unpack(part[1, sweep]), _parent(_unpack(part[3, sweep]), all_of, size)
+            for k in _slices(len(p)):
+                p[k] += total[k] - d * seats[k] + (strength + d * tables[every[k] // size // g]) * above[every[k] % size // g]
+        customers = _unpack(part[2, 0])[1]
+        for k in _slices(len(p)):
+            p[k] /= len(wholes) * (strength + customers[every[k] // size // g])
+        p = p.astype(np.float32)
+        return pd.DataFrame({"chunk": asked["at"].to_numpy(), "cell": asked["cell"].to_numpy(), "body": [_pack(p[np.searchsorted(every, np.cumsum(_unpack(b)[0]))]) for b in asked["body"]]})
 
     every = requests.select("cell", F.lit(0).alias("kind"), F.col("chunk").alias("at"), "body")
     for x in parts:
