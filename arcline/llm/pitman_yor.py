@@ -42,8 +42,8 @@ from arcline.llm.toxicity import remainder
 
 #: A word that the training texts hold so often is a symbol of its own; a block holds about HEAD symbols at most.
 LEAST, HEAD, TAILS = 2, 1 << 20, 256
-CHUNK_BYTES = 6 << 20
-CHUNKS_PER_BUCKET = 2
+CHUNK_BYTES = 4 << 20
+CHUNKS_PER_BUCKET = 3
 BURN_IN, SAMPLES = 3, 4
 CONTEXT = (0.75, 5.0)
 PARENT = (0.1, 10.0)
@@ -61,7 +61,7 @@ def _tails_of(words: Words, tails: int) -> np.ndarray:
     """The class of each word, by its last two bytes and whether it is longer than four."""
     length = words.ends - words.starts
     last, before = words.folded[words.ends - 1].astype(np.int64), np.where(length > 1, words.folded[np.maximum(words.ends - 2, 0)], 0).astype(np.int64)
-    return (last * 31 + before * 17 + (length > 4)) % tails
+    return ((last * 31 + before * 17 + (length > 4)) % tails).astype(np.uint16)
 
 
 class _Planes(NamedTuple):
@@ -105,19 +105,24 @@ def chunks(docs: DataFrame, text: str, train: Column, chunk_bytes: int, tails: i
             nonlocal held, size, made
             ids, flags = [x for h in held for x in h[0]], [x for h in held for x in h[1]]
             lengths, hashes, classes = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
-            words, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
-            body = _pack((ids, flags, lengths, np.diff(words, prepend=np.uint64(0)), classes[first].astype(np.uint16), codes.ravel().astype(np.uint32)))
+            held = []
+            words = np.unique(hashes)
+            codes = np.searchsorted(words, hashes).astype(np.uint32)
+            of = np.zeros(len(words), np.uint16)
+            of[codes] = classes
+            del hashes, classes
+            body = _pack((ids, flags, lengths, np.diff(words, prepend=np.uint64(0)), of, codes))
             out = pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([body], pa.binary())], names=["chunk", "body"])
             held, size, made = [], 0, made + 1
             return out
 
         for batch in batches:
             keys, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi, data, offsets in text_slices(batch.column(2)):
+            for lo, hi, data, offsets in text_slices(batch.column(2), 1 << 18):
                 words = Words(data, offsets, SPACED)
                 n = hi - lo
                 lengths = np.diff(words.first) + 1
-                hashes, classes = np.full(len(words.hashes) + n, END, np.uint64), np.zeros(len(words.hashes) + n, np.int64)
+                hashes, classes = np.full(len(words.hashes) + n, END, np.uint64), np.zeros(len(words.hashes) + n, np.uint16)
                 at = np.arange(len(words.hashes)) + np.searchsorted(words.first, np.arange(len(words.hashes)), "right") - 1  # an end goes after each text's words
                 hashes[at], classes[at] = words.hashes, _tails_of(words, tails)
                 held.append((keys[lo:hi], [bool(x) for x in flags[lo:hi]], lengths, hashes, classes))
@@ -198,11 +203,16 @@ def pair_requests(packed: DataFrame, counted: DataFrame, class_words: np.ndarray
         count = np.concatenate([c for c, _, _ in answers])
         symbol = np.where((rank := np.concatenate([r for _, r, _ in answers])) >= 0, rank + np.repeat([b for _, _, b in answers], [len(r) for _, r, _ in answers]), classes)
         c, symbols = count[codes], symbol[codes].astype(np.int64)
+        del answers, codes, rank
         first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         before = np.empty_like(symbols)
         before[1:] = symbols[:-1]
         before[first] = tails  # the start
-        every, back = np.unique(before * size + symbols, return_inverse=True)
+        pairs = before * size + symbols
+        del before
+        every, back = np.unique(pairs, return_inverse=True)
+        back = back.ravel().astype(np.int32)
+        del pairs
         counts = np.bincount(back, weights=np.repeat(np.array(train, float), lengths), minlength=len(every)).astype(np.int64)
         cell = every // size % g * g + every % size % g
         order = np.argsort(cell, kind="stable")
