@@ -21,7 +21,7 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 1
 #: A-Z lower-cased; only white space (\\x20, \\x09-\\x0D) separates.
 SPACED = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], dtype=np.uint8)
 #: Text is hashed in slices of about this many bytes, so that the working arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: What the operator that now runs has staged, its own list for each call and thread.
 _OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
 

@@ -15,12 +15,12 @@ or one insertion, deletion or replacement of a word apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,25 +123,9 @@ def line_table(docs: DataFrame, text: str, min_words: int, exact_words: int) ->
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def _chosen(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, first, second) for the ``_lines`` of each ``_text``, which is cut into lines once."""
-    schema = struct(doc_id=docs.schema["doc_id"].dataType, line_no=INT, line=T.StringType(), first=T.BooleanType(), second=T.BooleanType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, number, line, first, second = [], [], [], [], []
-            for i, (text, chosen) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                every = (text.as_py() or "").split("\n")
-                for x in chosen.as_py():
-                    if x["line_no"] < len(every):  # else it is another text's that has this id too
-                        at.append(i)
-                        number.append(x["line_no"])
-                        line.append(every[x["line_no"]])
-                        first.append(x["first"])
-                        second.append(x["second"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(line, pa.string()), pa.array(first, pa.bool_()), pa.array(second, pa.bool_())], names=schema.fieldNames())
-
-    return docs.mapInArrow(run, schema)
+def _with_lines(text: str, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a text's lines; as a lambda's variable the list is made once, not for each element that looks into it."""
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), function), F.lit(0))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -211,7 +195,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", min_words: int = MIN
     by_doc = stage(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "first", "second")).alias("_lines")), "candidates")  # a document's own lines
     d = with_maybe(docs.select("doc_id", F.col(text).alias("_text")), "doc_id", key_filter(by_doc, "doc_id")).where("_maybe")
     d = d.join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = stage(_chosen(d.select("doc_id", "_text", "_lines")), "candidate-lines")
+    line = lambda every: F.transform("_lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.get(every, x["line_no"]).alias("line"), x["first"].alias("first"), x["second"].alias("second")))
+    texts = d.select("doc_id", F.inline(_with_lines("_text", line)))
+    texts = stage(texts.where(F.col("line").isNotNull()), "candidate-lines")  # null: the line is another text's that has this id too
 
     compared = _verified(texts, _links(stage(_variants(texts), "variants")))
     best = F.min(F.struct(F.col("near_doc_id").isNull().alias("last"), "near_doc_id", "near_line_no")).alias("kept")
@@ -274,21 +260,16 @@ def remove_lines(docs: DataFrame, dropped: DataFrame, text: str = "text", doc_id
     marked = with_maybe(docs, doc_id, key_filter(by_doc, "_id"))
     joined = marked.where("_maybe").join(by_doc, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     some = F.col("_gone").isNotNull()
-    new = joined.withColumn(text, F.when(some, _without(F.col(text), F.col("_gone"))).otherwise(F.col(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    new = joined.withColumn(text, F.when(some, _with_lines(text, _without)).otherwise(F.col(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
     new = new.where(~some | F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).drop("_id", "_gone")
     return marked.where(~F.col("_maybe")).withColumn("n_removed", F.lit(0)).unionByName(new).drop("_maybe")
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """The texts without the numbered lines."""
-    out = []
-    for t, g in zip(texts, gone, strict=True):
-        if t is not None and g is not None:
-            left = set(g.tolist())
-            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in left])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+def _without(every: Column) -> Column:
+    """The lines but for those numbered in the sorted array _gone, as a text: the runs between them, end to end."""
+    gone = F.filter("_gone", lambda k: k < F.size(every))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(every))), lambda a, b: F.slice(every, a + 2, b - a - 1))
+    return F.array_join(F.flatten(runs), "\n")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
