@@ -92,7 +92,7 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MA
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    return rows.repartition(64, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _per_row(rows: DataFrame, made, schema: T.StructType) -> DataFrame:
@@ -102,8 +102,10 @@ def _per_row(rows: DataFrame, made, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(f.name, {"LongType()": pa.int64(), "IntegerType()": pa.int32(), "BinaryType()": pa.binary()}.get(repr(f.dataType), pa.list_(pa.int32()))) for f in schema])
         for batch in batches:
-            out = [x for text, toxic in zip(batch.column(0), batch.column(1), strict=True) for x in made(_words(text.as_py().encode("utf-8", "surrogatepass")), toxic.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds.field(n).type) for i, n in enumerate(names)], schema=kinds)
+            for lo in range(0, batch.num_rows, 128):  # a text can give very many
+                few = batch.slice(lo, 128)
+                out = [x for text, toxic in zip(few.column(0), few.column(1), strict=True) for x in made(_words(text.as_py().encode("utf-8", "surrogatepass")), toxic.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds.field(n).type) for i, n in enumerate(names)], schema=kinds)
 
     return rows.select("text", "toxic").mapInArrow(run, schema)
 
