@@ -27,10 +27,24 @@ def clip_bounds(pressed_sec: Column, lookback: Column) -> Column:
 
 
 def clip_frames(frames: DataFrame, clips: DataFrame) -> DataFrame:
-    """Frames of each clip's time range, numbered from its start: ``clips`` (clip_id, recording_id, start_sec, end_sec, fps, total)."""
+    """Frames of each clip's time range, numbered from its start: ``clips`` (clip_id, recording_id, start_sec, end_sec, fps, total).
+
+    A clip is spread over the frames that it wants, so the join is on equal frames.  A clip whose range is empty gives none (``empty_clips`` names it).
+    """
+    ranges = _ranges(clips).where("_to > _from")
+    wanted = ranges.select("clip_id", "recording_id", "_from", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_at"))
+    joined = frames.withColumn("_at", F.col("frame_index").cast("long")).join(wanted.withColumn("_at", F.col("_at").cast("long")), ["recording_id", "_at"])
+    return joined.withColumn("frame_index", (F.col("_at") - F.col("_from")).cast("int")).drop("_at", "_from")
+
+
+def _ranges(clips: DataFrame) -> DataFrame:
     rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
-    ranges = clips.withColumn("_from", nearest_int(F.col("start_sec") * rate)).withColumn("_to", F.least(F.col("total"), nearest_int(F.col("end_sec") * rate)))
-    return frames.join(ranges.select("clip_id", "recording_id", "_from", "_to"), "recording_id").where((F.col("frame_index") >= F.col("_from")) & (F.col("frame_index") < F.col("_to"))).withColumn("frame_index", F.col("frame_index") - F.col("_from")).drop("_from", "_to")
+    return clips.withColumn("_from", nearest_int(F.col("start_sec") * rate)).withColumn("_to", F.least(F.col("total"), nearest_int(F.col("end_sec") * rate)))
+
+
+def empty_clips(clips: DataFrame) -> DataFrame:
+    """(clip_id, refused) of ``clips`` whose range holds no frame."""
+    return _ranges(clips).where("_to <= _from").select("clip_id", F.lit("empty_clip_range").alias("refused"))
 
 
 def validate(requests: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,14 @@ def violations(records: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The table after ``incoming`` (one row a job_id): new jobs are added, known ones get every column but their id and creation time.
+    """The table after ``incoming``: new jobs are added, known ones get every column but their id and creation time.
+
+    Of rows of ``incoming`` that repeat a job_id the latest by (created_at, id) counts.
 
     Returns a new table; write it beside the old one and swap, never over the path that is being read.
     """
+    last = Window.partitionBy("job_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last())
+    incoming = incoming.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
     t, s = table.alias("t"), incoming.alias("s")
     joined = t.join(s, F.col("t.job_id") == F.col("s.job_id"), "full_outer")
     new = F.col("s.job_id").isNotNull()

@@ -40,7 +40,7 @@ def best_detection(detections: DataFrame, *, class_id: int | None = 0, min_confi
     """
     ties = order or [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     frame = Window.partitionBy("clip_id", "frame_index")
-    kept = detections.where(F.col("confidence") >= min_confidence)
+    kept = detections.where((F.col("confidence") >= min_confidence) & ~F.isnan("confidence"))  # in Spark NaN is greater than any number
     kept = kept.withColumn("_all", F.row_number().over(frame.orderBy(F.col("confidence").desc(), *ties))).where(F.col("_all") <= most)
     if class_id is not None:
         kept = kept.where(F.col("class_id") == class_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcline.functions import geometry as G
@@ -183,7 +183,15 @@ def view2_vertex_merge(spark, d):
     return p.withColumn("v", G.joined_vertex(a, b, c, e, F.lit(1920.0), F.lit(1080.0))).select("p_partkey", rounded(F.col("v.x"), 3).alias("x"), rounded(F.col("v.y"), 3).alias("y"))
 
 
-@query()
+_TWO_LINES = "SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS k FROM part"
+
+
+@query(f"""WITH p AS ({_TWO_LINES}), q AS (SELECT p_partkey, (k % 1900) * (1280 / 1920::DOUBLE) AS tx, (k % 1000) * (720 / 1080::DOUBLE) AS sy, (k % 700 + 600) * (1280 / 1920::DOUBLE) AS ax, (k % 300 + 500) * (720 / 1080::DOUBLE) AS ay, (k % 650 + 610) * (1280 / 1920::DOUBLE) AS bx, (k % 290 + 520) * (720 / 1080::DOUBLE) AS bw FROM p),
+d AS (SELECT *, (ax - tx) * (bw - sy) - ay * bx AS den, -tx * (bw - sy) - sy * bx AS num, greatest(32, 4 * sqrt((ax - bx) * (ax - bx) + (ay - bw) * (ay - bw))) AS near FROM q),
+m AS (SELECT *, tx + num / den * (ax - tx) AS ix, num / den * ay AS iy FROM d),
+v AS (SELECT *, abs(den) >= 1e-9 AND ix BETWEEN -102.4::DOUBLE AND 1279 + 102.4::DOUBLE AND iy BETWEEN -102.4::DOUBLE AND 719 + 102.4::DOUBLE AND sqrt((ix - ax) * (ix - ax) + (iy - ay) * (iy - ay)) <= near AND sqrt((ix - bx) * (ix - bx) + (iy - bw) * (iy - bw)) <= near AS good FROM m),
+r AS (SELECT p_partkey, {sql_round('tx', 3)} AS tx, {sql_round('sy', 3)} AS sy, {sql_round('CASE WHEN good THEN ix ELSE (ax + bx) * 0.5::DOUBLE END', 3)} AS vx, {sql_round('CASE WHEN good THEN iy ELSE (ay + bw) * 0.5::DOUBLE END', 3)} AS vy FROM v)
+SELECT p_partkey, CASE WHEN tx = 0 OR sy = 0 THEN 3 ELSE 4 END AS n_vertices, {sql_round('abs(vx * sy + vy * tx) / 2', 1)} AS area, vx AS vertex_x, vy AS vertex_y FROM r""")
 def view2_polygon(spark, d):
     w, h = F.lit(1920.0), F.lit(1080.0)
     line = lambda n, x1, y1, x2, y2: F.struct(F.lit(n).alias("name"), F.array(F.array(x1, y1), F.array(x2, y2)).alias("points"), F.lit(None).cast("array<array<double>>").alias("extended_endpoints"), F.lit(None).cast("array<array<double>>").alias("segment_endpoints"))
@@ -383,13 +391,64 @@ def line_fit(spark, d):
     return made.select("image", rounded(F.col("f.origin.x"), 3).alias("x"), rounded(F.col("f.origin.y"), 3).alias("y"), rounded(F.abs("f.direction.x"), 5).alias("direction_x"), rounded(F.col("f.error"), 3).alias("error"))
 
 
-@query()
+_OF = lambda c, turn: "CASE k " + " ".join(f"WHEN {k} THEN {c}{(k + turn) % 4}" for k in range(4)) + " END"
+_PX, _PY = ("ex", "gx", "fx", "hx"), ("ey", "gy", "fy", "hy")
+_SPREAD = lambda a, b: " + ".join(f"({x} - {'ox' if a is _PX else 'oy'}) * ({y} - {'ox' if b is _PX else 'oy'})" for x, y in zip(a, b, strict=True))
+_SCALED_HIT = [f"CASE WHEN abs(ux) > 1e-9 AND oy + ({x}::DOUBLE - ox) / ux * uy BETWEEN 0 AND 1079 THEN {{'x': {x}::DOUBLE, 'y': oy + ({x}::DOUBLE - ox) / ux * uy}} END" for x in (0, 1919)]
+_SCALED_HIT += [f"CASE WHEN abs(uy) > 1e-9 AND ox + ({y}::DOUBLE - oy) / uy * ux BETWEEN 0 AND 1919 THEN {{'x': ox + ({y}::DOUBLE - oy) / uy * ux, 'y': {y}::DOUBLE}} END" for y in (0, 1079)]
+
+
+def _sql_outer_edges(want: str, turned: str) -> str:
+    """CTEs from want(image, line, a, b, i): best, the outer pair of edges of markers a and b, and hit, the farthest two points of its line on the frame."""
+    return f"""WITH {_STATS}, eg AS (SELECT image, m, k, {_OF('x', 0)} AS ax, {_OF('y', 0)} AS ay, {_OF('x', 1)} AS bx, {_OF('y', 1)} AS by FROM c, range(4) AS r(k)),
+big AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY area DESC, m) AS size_rank FROM st QUALIFY size_rank <= 3),
+{want},
+pr AS (SELECT w.*, e.k AS ek, f.k AS fk, e.ax AS ex, e.ay AS ey, e.bx AS gx, e.by AS gy, f.ax AS fx, f.ay AS fy, f.bx AS hx, f.by AS hy, (e.ax + e.bx + f.ax + f.bx) / 4 AS ox, (e.ay + e.by + f.ay + f.by) / 4 AS oy,
+    p.cx AS pcx, p.cy AS pcy, q.cx AS qcx, q.cy AS qcy, o.cx AS icx, o.cy AS icy
+    FROM want w JOIN eg e ON e.image = w.image AND e.m = w.a JOIN eg f ON f.image = w.image AND f.m = w.b JOIN st p ON p.image = w.image AND p.m = w.a JOIN st q ON q.image = w.image AND q.m = w.b JOIN st o ON o.image = w.image AND o.m = w.i),
+an AS (SELECT *, 0.5::DOUBLE * atan2(2 * ({_SPREAD(_PX, _PY)}), ({_SPREAD(_PX, _PX)}) - ({_SPREAD(_PY, _PY)})) AS t, sqrt((qcx - pcx) * (qcx - pcx) + (qcy - pcy) * (qcy - pcy)) AS way FROM pr),
+di AS (SELECT *, cos(t) AS dx, sin(t) AS dy FROM an),
+sc AS (SELECT *, sqrt(({' + '.join(f'pow(({x} - ox) * dy - ({y} - oy) * dx, 2)' for x, y in zip(_PX, _PY, strict=True))}) / 4) + 20 * {turned} AS score, abs((icx - ox) * dy - (icy - oy) * dx) AS away FROM di),
+best AS (SELECT *, ox + dx - ox AS ux, oy + dy - oy AS uy FROM (SELECT *, min(score) OVER (PARTITION BY image, line) AS least FROM sc) WHERE score <= least + 3 QUALIFY row_number() OVER (PARTITION BY image, line ORDER BY away DESC, ek, fk) = 1),
+hits AS (SELECT image, line, list_filter([{', '.join(_SCALED_HIT)}], lambda p: p IS NOT NULL) AS h FROM best),
+ij AS (SELECT image, line, h[i] AS p, h[j] AS q, i, j FROM hits, range(1, 5) AS a(i), range(1, 5) AS b(j) WHERE i < j AND j <= len(h)),
+hit AS (SELECT * FROM ij QUALIFY row_number() OVER (PARTITION BY image, line ORDER BY sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) DESC, i, j) = 1)"""
+
+
+def _sql_points(name: str, *points: str) -> str:
+    xy = ", ".join(f"{{\"x\":' || {sql_round(f'{p}.x', 2)} || ',\"y\":' || {sql_round(f'{p}.y', 2)} || '}}" for p in points)
+    return f"""'{{"name":"{name}","points":[{xy.replace('}, {', '},{')}]}}'"""
+
+
+_CORNER_LINES = _sql_outer_edges("""ro AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY cy) AS k FROM big),
+want AS (SELECT a.image, l.line, CASE l.line WHEN 1 THEN a.m ELSE b.m END AS a, c.m AS b, CASE l.line WHEN 1 THEN b.m ELSE a.m END AS i, CASE WHEN a.cx < b.cx THEN 'left' ELSE 'right' END AS view_side
+    FROM ro a JOIN ro b ON a.image = b.image AND b.k = 2 JOIN ro c ON a.image = c.image AND c.k = 3, (VALUES (1), (2)) AS l(line) WHERE a.k = 1)""", "abs(dx * (qcy - pcy) / way - dy * (qcx - pcx) / way)")
+
+
+@query(f"""{_CORNER_LINES},
+two AS (SELECT t.image, t.view_side, t.b AS vertex_marker, list_intersect([t.fk, (t.fk + 1) % 4], [s.fk, (s.fk + 1) % 4]) AS shared, t.ux * s.uy - t.uy * s.ux AS den, ((s.ox - t.ox) * s.uy - (s.oy - t.oy) * s.ux) AS num,
+    t.ox AS tox, t.oy AS toy, t.ux AS tux, t.uy AS tuy, ((t.fx + t.hx) / 2 + (s.fx + s.hx) / 2) / 2 AS mx, ((t.fy + t.hy) / 2 + (s.fy + s.hy) / 2) / 2 AS my, {{'x': (t.ex + t.gx) / 2, 'y': (t.ey + t.gy) / 2}} AS tend, {{'x': (s.ex + s.gx) / 2, 'y': (s.ey + s.gy) / 2}} AS send
+    FROM best t JOIN best s ON s.image = t.image AND t.line = 1 AND s.line = 2),
+met AS (SELECT *, CASE WHEN abs(den) >= 1e-9 THEN tox + num / den * tux END AS ix, CASE WHEN abs(den) >= 1e-9 THEN toy + num / den * tuy END AS iy FROM two),
+ver AS (SELECT met.*, CASE WHEN len(shared) = 1 THEN {{'x': eg.ax, 'y': eg.ay}} WHEN ix BETWEEN -153.6::DOUBLE AND 1919 + 153.6::DOUBLE AND iy BETWEEN -153.6::DOUBLE AND 1079 + 153.6::DOUBLE THEN {{'x': ix, 'y': iy}} ELSE {{'x': mx, 'y': my}} END AS v
+    FROM met LEFT JOIN eg ON eg.image = met.image AND eg.m = met.vertex_marker AND eg.k = shared[1]),
+far AS (SELECT ver.*, t.p AS tp, t.q AS tq, s.p AS sp, s.q AS sq FROM ver LEFT JOIN hit t ON t.image = ver.image AND t.line = 1 LEFT JOIN hit s ON s.image = ver.image AND s.line = 2),
+fin AS (SELECT *, {', '.join(f"CASE WHEN {k}p IS NULL OR sqrt((v.x - {k}end.x) * (v.x - {k}end.x) + (v.y - {k}end.y) * (v.y - {k}end.y)) < 1e-9 THEN {k}end WHEN ({k}q.x - v.x) * ({k}end.x - v.x) + ({k}q.y - v.y) * ({k}end.y - v.y) > ({k}p.x - v.x) * ({k}end.x - v.x) + ({k}p.y - v.y) * ({k}end.y - v.y) THEN {k}q ELSE {k}p END AS {k}far" for k in ('t', 's'))} FROM far)
+SELECT image, view_side, {sql_round('v.x', 2)} AS vertex_x, {sql_round('v.y', 2)} AS vertex_y, '[' || {_sql_points('top_to_vertex', 'tfar', 'v')} || ',' || {_sql_points('side_to_vertex', 'sfar', 'v')} || ']' AS lines FROM fin""")
 def view2_marker_lines(spark, d):
     made = markers.corner_lines(markers.measured(M.markers(spark, d)))
     return made.select("image", "view_side", F.col("vertex_point.x").alias("vertex_x"), F.col("vertex_point.y").alias("vertex_y"), F.to_json("lines").alias("lines"))
 
 
-@query()
+_UPRIGHT = _sql_outer_edges("""tri AS (SELECT image, x.m AS xm, y.m AS ym, 6 - x.size_rank - y.size_rank AS other, x.size_rank AS r, y.size_rank AS q, x.cy AS xy, y.cy AS yy, abs(x.cx - y.cx) / (abs(x.cy - y.cy) + 1) AS lean
+    FROM big x JOIN big y USING (image) WHERE x.size_rank < y.size_rank QUALIFY row_number() OVER (PARTITION BY image ORDER BY lean, r, q) = 1),
+want AS (SELECT tri.image, 1 AS line, CASE WHEN yy < xy THEN ym ELSE xm END AS a, CASE WHEN yy < xy THEN xm ELSE ym END AS b, z.m AS i FROM tri JOIN big z ON z.image = tri.image AND z.size_rank = other)""", "abs(dx)")
+
+
+@query(f"""{_UPRIGHT},
+ends AS (SELECT best.image, icx, icy, CASE WHEN p IS NULL THEN {{'x': {sql_round('(ex + gx) / 2', 2)}, 'y': {sql_round('(ey + gy) / 2', 2)}}} WHEN q.y < p.y OR q.y = p.y AND q.x < p.x THEN q ELSE p END AS a,
+    CASE WHEN p IS NULL THEN {{'x': {sql_round('(fx + hx) / 2', 2)}, 'y': {sql_round('(fy + hy) / 2', 2)}}} WHEN q.y < p.y OR q.y = p.y AND q.x < p.x THEN p ELSE q END AS b FROM best LEFT JOIN hit USING (image, line))
+SELECT image, CASE WHEN (icx - a.x) * (b.y - a.y) - (icy - a.y) * (b.x - a.x) > 0 THEN 'left' ELSE 'right' END AS view_side, '[' || {_sql_points('view3_vertical_outer_line', 'a', 'b')} || ']' AS lines FROM ends""")
 def view3_marker_line(spark, d):
     made = markers.upright_line(markers.measured(M.markers(spark, d)))
     return made.select("image", "view_side", F.to_json("lines").alias("lines"))
@@ -406,3 +465,79 @@ def job_summary(spark, d):
     judged = _judged(spark, d, _polygon_court()).where(F.col("clip_id") % 2 == 0)
     made = jobs.summarise(clips, track, bounces, judged)
     return _rounded(made.select("clip_id", "frames", "detected", "missing", "bounce_count", "result", "confidence", "failure_type"), 6, "confidence")
+
+
+@query(f"""{_CORNER_LINES} SELECT image, CAST(line AS INTEGER) AS line, CAST(ek AS INTEGER) AS first_edge, CAST(fk AS INTEGER) AS second_edge, {sql_round('abs(dx)', 5)} AS direction_x FROM best""")
+def edge_pair_selection(spark, d):
+    made = markers.measured(M.markers(spark, d)).withColumn("r", markers.corner_roles(F.col("markers")))
+    pick = lambda a, b: markers.edge_pair(F.col(f"r.{a}"), F.col("r.vertex"), F.col(f"r.{b}"), toward_other=True, weight=20.0)
+    lines = F.array(pick("top_marker", "side_marker"), pick("side_marker", "top_marker"))
+    return made.select("image", F.posexplode(lines).alias("at", "e")).select("image", (F.col("at") + 1).alias("line"), "e.first_edge", "e.second_edge", rounded(F.abs("e.direction.x"), 5).alias("direction_x"))
+
+
+@query(f"WITH RECURSIVE {M.SQL_BOUNCES} SELECT clip_id, frame_index, {sql_round('least(greatest(score / 150, 0), 1)', 6)} AS confidence FROM b")
+def bounce_confidence(spark, d):
+    found = tracks.turning_points(M.track(spark, d))
+    return found.select("clip_id", "frame_index", rounded(tracks.confidence(F.col("score")), 6).alias("confidence"))
+
+
+def _record(**given) -> Column:
+    """A court record with the ``given`` fields, all others null."""
+    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in courts.RECORD])
+
+
+@query(f"""WITH l AS ({_HALF}) SELECT s_suppkey, 4 AS n_vertices, {sql_round('CASE WHEN s_suppkey % 2 = 0 THEN 999 * 799 - (tx + bx) / 2 * 799 ELSE (tx + bx) / 2 * 799 END', 1)} AS area, {sql_round('tx', 3)} AS start_x, {sql_round('bx', 3)} AS end_x FROM l""")
+def view3_polygon(spark, d):
+    """A line across the frame; even records name their side, odd ones have a point on it."""
+    videos = M.table(spark, d, "supplier").selectExpr("s_suppkey", "CAST(200 + s_suppkey % 600 AS DOUBLE) AS tx", "CAST(150 + (s_suppkey * 7) % 700 AS DOUBLE) AS bx")
+    none = F.lit(None).cast("array<array<double>>")
+    line = F.struct(F.lit("line").alias("name"), F.array(F.array("tx", F.lit(0.0)), F.array("bx", F.lit(799.0))).alias("points"), none.alias("extended_endpoints"), none.alias("segment_endpoints"))
+    odd = F.col("s_suppkey") % 2 == 1
+    r = _record(width=F.lit(1000.0), height=F.lit(800.0), lines=F.array(line), view_side=F.when(~odd, F.lit("left")), inside_point=F.when(odd, F.array(F.lit(10.0), F.lit(400.0))))
+    made = videos.withColumn("r", r).withColumn("p", courts.one_line_polygon(F.col("r"), F.lit(1000.0), F.lit(800.0)))
+    return made.select("s_suppkey", F.size("p.polygon").alias("n_vertices"), rounded(G.ring_area(F.col("p.polygon")), 1).alias("area"), F.col("p.line_start.x").alias("start_x"), F.col("p.line_end.x").alias("end_x"))
+
+
+@query(f"""WITH v AS ({_VIDEO}), s(i, rw, rh) AS (VALUES {_SIZES}), r AS (SELECT s_suppkey, i, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(rw / rh - w / h) * 1000 + abs(rw - w) + abs(rh - h), i) AS k FROM v, s)
+SELECT s_suppkey, 'court' || CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 7 < 5 THEN s_suppkey % 7 END WHEN 1 THEN i ELSE CASE WHEN s_suppkey % 6 < 5 THEN s_suppkey % 6 END END AS image FROM r WHERE k = 1""")
+def court_select(spark, d):
+    """By image name, by size, or by index; names and indexes that no record has give null."""
+    records_ = F.array(*[_record(image=F.lit(f"court{i}"), width=F.lit(w), height=F.lit(h)) for i, (w, h) in enumerate(M.SIZES)])
+    videos = M.table(spark, d, "supplier").selectExpr("s_suppkey", "s_suppkey % 3 AS way", "CAST(600 + (s_suppkey * 37) % 1500 AS DOUBLE) AS w", "CAST(400 + (s_suppkey * 53) % 1500 AS DOUBLE) AS h")
+    name = F.when(F.col("way") == 0, F.concat(F.lit("shots/court"), F.col("s_suppkey") % 7))
+    sized = lambda c: F.when(F.col("way") == 1, F.col(c))
+    found = courts.select_record(records_, name, sized("w"), sized("h"), (F.col("s_suppkey") % 6).cast("int"))
+    return videos.withColumn("r", found).select("s_suppkey", "r.image")
+
+
+_RESULT = """CASE o_orderkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'OUT' WHEN 2 THEN 'unknown' END"""
+
+
+@query(f"""SELECT o_orderkey AS job_id, upper({_RESULT}) AS decision, CASE upper({_RESULT}) WHEN 'IN' THEN true WHEN 'OUT' THEN false END AS is_in, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS INTEGER) AS n_bounces,
+CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS INTEGER) AS n_decisions, CAST(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_artifacts FROM orders""")
+def frontend_result(spark, d):
+    """Jobs with and without bounces, decisions and artifacts, flattened for clients."""
+    k = F.col("o_orderkey")
+    decision = F.struct(F.expr(_RESULT).alias("decision"), F.lit("why").alias("decision_reason"))
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    made = M.table(spark, d, "orders").select(
+        k.alias("job_id"), F.col("o_custkey").alias("session_id"), *none("status", "result", "failure_type", "failure_reason", "video_readable", "recording_accessible", "timing", "primary_bounce", "error"), F.lit(0.5).alias("confidence"),
+        F.when(k % 5 != 0, F.array(F.lit(1.0), F.lit(2.0))).alias("bounces"), F.when(k % 4 != 3, F.struct(decision.alias("primary_decision"), F.array(decision).alias("decisions"))).alias("inout"),
+        F.when(k % 6 != 0, F.create_map(F.lit("clip"), F.lit("/files/clip"))).alias("artifacts"))
+    seen = jobs.frontend_view(made)
+    return seen.select("job_id", "decision", "is_in", F.size("bounces").alias("n_bounces"), F.size("decisions").alias("n_decisions"), F.size("artifacts").alias("n_artifacts"))
+
+
+@query(f"""WITH o AS (SELECT *, {_RESULT} AS decision, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), r AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN day || 'T09:15:00' WHEN o_orderkey % 3 = 1 THEN day || 'T00:00:00' WHEN o_custkey % 2 = 0 THEN '2020-02-02T02:02:02' ELSE '2030-01-01T00:00:00' END AS stamp FROM o WHERE o_orderstatus = 'F')
+SELECT 'j' || o_orderkey AS job_id, stamp AS recorded_at, CASE WHEN o_orderkey % 3 = 1 THEN day ELSE substr(stamp, 1, 10) END AS recorded_date, coalesce(decision, 'UNKNOWN') AS decision, CASE WHEN o_custkey % 2 = 0 THEN 's' || o_custkey || '.mp4' END AS video_path, CASE WHEN o_orderkey % 6 <> 0 THEN '/files/clip' END AS clip_url FROM r""")
+def saved_record(spark, d):
+    """Finished jobs as records: the time asked for, else the date, else the session's, else that of the request."""
+    o, k = M.table(spark, d, "orders"), F.col("o_orderkey")
+    day, job = F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("j"), k).alias("job_id")
+    status = F.when(F.col("o_orderstatus") == "F", "done").otherwise("running")
+    done = o.select(job, F.col("o_custkey").alias("session_id"), status.alias("status"), F.expr(_RESULT).alias("decision"), F.lit(None).cast("string").alias("decision_reason"), F.col("o_totalprice").alias("confidence"),
+                    F.when(k % 6 != 0, F.create_map(F.lit("clip"), F.lit("/files/clip"))).alias("artifacts"), *[F.lit("{}").alias(c) for c in records.JSON])
+    asked = o.select(job, F.lit("singles").alias("match_type"), F.when(k % 3 == 0, F.concat(day, F.lit("T09:15:00"))).alias("recorded_at"), F.when(k % 3 == 1, day).alias("recorded_date"), F.lit("2030-01-01T00:00:00").alias("created_at"))
+    c = F.col("o_custkey")
+    sessions = o.where(c % 2 == 0).select(c.alias("session_id"), F.concat(F.lit("s"), c, F.lit(".mp4")).alias("recording_path"), F.lit(None).cast("string").alias("recording_url"), F.lit("2020-02-02T02:02:02").alias("recorded_at")).distinct()
+    return records.to_record(done, sessions, asked).select("job_id", "recorded_at", "recorded_date", "decision", "video_path", "clip_url")

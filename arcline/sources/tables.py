@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from arcline.functions.numeric import blank_to_null, rounded
 from arcline.functions.text import first_number
 from arcline.operators.courts import RECORDS
+from arcline.operators.overlay import last_by_frame
 from arcline.operators.records import SCHEMA as RECORD_SCHEMA
 
 #: Columns of the CSV files and the decimal places that they are written with.
@@ -48,10 +49,12 @@ def load_bounces(rows: DataFrame) -> DataFrame:
 
 
 def load_track(rows: DataFrame) -> DataFrame:
-    """Track points from text rows, those that don't read as numbers left out."""
+    """Track points from text rows, those that don't read as numbers left out; of rows that repeat a frame the last one read stays."""
     number = lambda c: blank_to_null(F.col(c)).try_cast("double")
     made = rows.withColumns({"frame_index": number("frame_index").cast("int"), "x": number("x"), "y": number("y")})
-    return made.where(F.col("frame_index").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    made = made.where(F.col("frame_index").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    named = made if "clip_id" in made.columns else made.withColumn("clip_id", F.lit(None).cast("string"))
+    return last_by_frame(named.withColumn("_read", F.monotonically_increasing_id()), F.col("_read")).select(*made.columns)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -173,3 +173,34 @@ def test_requests_stream_into_the_table_once(spark, tmp_path):
     for _ in range(2):
         upsert_stream(request_stream(spark, str(tmp_path / "in")), to_records, current, str(tmp_path / "table"), versions.append, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted(r.job_id for r in current().collect()) == ["a", "b"] and len(versions) == 1
+
+
+def test_nan_confidence_is_no_detection(spark):
+    rows = [(1, 0, 0, float("nan"), 0.0, 0.0, 2.0, 2.0), (1, 0, 0, 0.5, 4.0, 4.0, 6.0, 6.0), (1, 1, 0, None, 0.0, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "clip_id int, frame_index int, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.frame_index, r.x) for r in tracks.best_detection(df).collect()] == [(0, 5.0)]
+
+
+def test_the_last_of_repeated_frames_wins(spark):
+    from arcline.sources import tables
+
+    rows = spark.createDataFrame([("3", "1", "1"), ("4", "2", "2"), ("3", "9", "9"), ("3", "", "5"), ("x", "1", "1")], "frame_index string, x string, y string").coalesce(1)
+    assert sorted((r.frame_index, r.x) for r in tables.load_track(rows).collect()) == [(3, 9.0), (4, 2.0)]
+
+
+def test_empty_clip_ranges_are_named(spark):
+    from arcline.operators import jobs
+
+    clips = spark.createDataFrame([("a", "r", 0.0, 0.1, 30.0, 9), ("b", "r", 2.0, 1.0, 30.0, 90), ("c", "r", 1.0, 2.0, 30.0, 9)], "clip_id string, recording_id string, start_sec double, end_sec double, fps double, total int")
+    frames = spark.createDataFrame([("r", i) for i in range(9)], "recording_id string, frame_index int")
+    assert sorted((r.clip_id, r.frame_index) for r in jobs.clip_frames(frames, clips).collect()) == [("a", 0), ("a", 1), ("a", 2)]
+    assert sorted(r.clip_id for r in jobs.empty_clips(clips).collect()) == ["b", "c"]
+
+
+def test_repeated_jobs_of_an_upsert_give_one_record(spark):
+    from arcline.operators import records
+
+    schema = "id string, job_id string, created_at string, decision string"
+    table = spark.createDataFrame([("r1", "j1", "2026-01-01", "IN")], schema)
+    new = spark.createDataFrame([("n1", "j1", "2026-01-02", "OUT"), ("n2", "j1", "2026-01-03", "UNKNOWN"), ("n3", "j2", "2026-01-02", "IN"), ("n3", "j2", "2026-01-02", "IN")], schema)
+    assert sorted(tuple(r) for r in records.upsert(table, new).select("id", "job_id", "created_at", "decision").collect()) == [("n3", "j2", "2026-01-02", "IN"), ("r1", "j1", "2026-01-01", "UNKNOWN")]
