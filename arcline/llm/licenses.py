@@ -78,7 +78,7 @@ def scan(docs: DataFrame, *, text: str = "text", least_share: float = LEAST_SHAR
     labels, score and places (array<struct<label,first_word,share>>: the method's own finds).
 
     Null and empty texts have no words, no labels, score 0 and null first and last words.  Repeated rows are scanned one by one, and
-    so are rows that share a doc_id or have none.  An empty table gives no rows; IDF is then of no use.  Score: 1 with a base label,
+    so are rows that share a doc_id or have none.  Very long texts are taken whole; other columns, whatever their names, are not read and not returned.  An empty table gives no rows; IDF is then of no use.  Score: 1 with a base label,
     else the largest share of a template's IDF mass that stood in place, 0 without labels.
     """
     vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])

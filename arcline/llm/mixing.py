@@ -120,7 +120,8 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[float, ...] = WEI
 def mixed_texts(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """The texts of a mix, (doc_id, piece, text): each document's whole text as often as ``passes`` says, then its ``ranges`` joined by spaces.
 
-    Documents are joined by doc_id, which has to name them; those without one or of no taken words give nothing.
+    Documents are joined by doc_id, which has to name them; those without one or of no taken words, null and empty texts among them, give nothing.
+    Very long texts are cut whole; other columns are not read; empty tables give no rows.
     """
     joined = docs.select("doc_id", F.col(text).alias("_text")).join(mixed.where("taken > 0").select("doc_id", "passes", "ranges"), "doc_id")
     words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))

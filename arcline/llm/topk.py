@@ -116,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, and a query with fewer candidates gets all.  Only
     vectors as long as the query are its candidates.  Rows without a vec_id take no part; rows that repeat a vec_id count once,
-    the greatest vector of them standing.  Empty tables give no rows.
+    the greatest vector of them standing.  Other columns, whatever their names, are not read and not returned.  Empty tables give no rows.
     """
     one = lambda df: df.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("_n", F.size("v"))
     vectors, queries = stage(one(vectors), "vectors"), stage(one(queries), "queries")

@@ -66,8 +66,8 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, archive_byte
     The payload is the html in UTF-8, empty for null.  Of rows with equal payloads of ``min_revisit_bytes`` or more, that of the
     smallest page_id (null after all others; among rows that repeat it, one) is a response and the others are revisits, which
     hold no payload.  A null url leaves its header out.  An archive is closed once it has ``archive_bytes`` of records; a longer record
-    is kept whole.  Its dictionary is trained on the first ``SAMPLES`` records of its task, ``SAMPLE_BYTES`` of each.  An
-    empty table makes no archives.
+    is kept whole.  Its dictionary is trained on the first ``SAMPLES`` records of its task, ``SAMPLE_BYTES`` of each.  Other
+    columns, whatever their names, are not read.  An empty table makes no archives.
     """
     rows = stage(pages.select(F.monotonically_increasing_id().alias("_row"), "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("_payload")).withColumn("_sha", F.unhex(F.sha1("_payload"))).withColumn("_bytes", F.length("_payload").cast("long")), "payloads")
     repeated = rows.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_sha").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "_row")).alias("_first")).where("_n > 1")
