@@ -693,3 +693,19 @@ def test_intersections_of_any_share(spark):
     got = jaccard._shared(jaccard._Sorted(a), jaccard._Sorted(b))
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
     assert jaccard._shared(jaccard._Sorted([]), jaccard._Sorted(b)).shape == (0, 45)
+
+
+def test_clashing_columns_change_nothing(spark):
+    """Extra columns named like results or like what the operators use inside."""
+    t = "a quick brown fox jumps over the lazy dog under the mit license and runs away"
+    df = docs_of(spark, [t, t, None, "", "other words stand here"])
+    extra = df
+    for name in ("class_id", "n_links", "size", "target", "taken", "labels", "score", "n_tokens", "held_out", "line_no", "near_doc_id", "_row", "_text", "_id", "_source", "_words", "_train", "bucket", "chunk", "grams", "places"):
+        extra = extra.withColumn(name, F.lit("clash"))
+    for run in (jaccard.join, mixing.mix, licenses.scan, lines.near_duplicates, lambda d: pitman_yor.score(d, train=F.lit(True))):
+        assert sorted(map(str, run(extra).collect())) == sorted(map(str, run(df).collect()))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], "clash", "clash") for i in range(5)], "vec_id long, embedding array<double>, score string, rank string")
+    found = topk.integer_vectors(vectors)
+    assert topk.search(found, found).count() == 20
+    pages = spark.createDataFrame([(1, "u", "x", "clash", "clash")], "page_id long, url string, html string, payload string, _sha string")
+    assert warc.read_archives(warc.write_archives(pages)).first().payload_bytes == 1
