@@ -6,6 +6,7 @@ import contextlib
 import contextvars
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,10 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 1
 SPACED = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], dtype=np.uint8)
 #: Text is hashed in slices of about this many bytes, so that the working arrays stay small.
 SLICE_BYTES = 1 << 19
+#: Rows that go to Python at a time while an operator runs; Spark's own 10,000 texts are tens of megabytes in the JVM and again in each worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCK, _RUNNING = threading.Lock(), {}
 #: What the operator that now runs has staged, its own list for each call and thread.
 _OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
 
@@ -63,13 +68,34 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most BATCH_ROWS rows a batch until the last operator of the session that is within leaves; then what the session had before."""
+    key = spark._jsparkSession.hashCode()
+    with _LOCK:
+        depth, before = _RUNNING.get(key, (0, spark.conf.get(_BATCH)))
+        _RUNNING[key] = depth + 1, before
+        if not depth and not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        with _LOCK:
+            depth, before = _RUNNING.pop(key)
+            if depth > 1:
+                _RUNNING[key] = depth - 1, before
+            else:
+                spark.conf.set(_BATCH, before)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """What is staged within is deleted at the end, also after an error, but for paths that are taken out of the list."""
+    """What is staged within is deleted at the end, also after an error, but for paths that are taken out of the list; Arrow batches are small."""
     own: list[str] = []
     token = _OWN.set(own)
     try:
-        yield own
+        with small_batches(spark):
+            yield own
     finally:
         release(spark, list(own))
         _OWN.reset(token)

@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcline.llm import components, decontaminate, jaccard, licenses, lines, mixing, pitman_yor, pseudonyms, registry, topk, toxicity, warc
+from arcline.llm import common, components, decontaminate, jaccard, licenses, lines, mixing, pitman_yor, pseudonyms, registry, topk, toxicity, warc
 from arcline.llm.common import in_order, key_filter, with_maybe
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -625,6 +625,26 @@ def test_bitmaps_miss_nothing(spark):
     assert with_maybe(spark.range(50), "id", key_filter(keys.limit(0), "k")).where("_maybe").count() == 0
 
 
+def test_batches_are_small_while_operators_run(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    outer, inner = common.small_batches(spark), common.small_batches(spark)
+    outer.__enter__()
+    inner.__enter__()
+    outer.__exit__(None, None, None)  # another thread's may leave first
+    assert spark.conf.get(key) == str(common.BATCH_ROWS)
+    inner.__exit__(None, None, None)
+    assert spark.conf.get(key) == before
+    try:
+        spark.conf.set(key, "50")
+        with pytest.raises(ZeroDivisionError), common.scratch(spark):
+            assert spark.conf.get(key) == "50"
+            1 / 0
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_rows_that_share_or_lack_an_id(spark):
     t = "a quick brown fox jumps over the lazy dog and runs into the deep dark woods again"
     df = spark.createDataFrame([(1, t, "en", "s", 1), (1, t, "en", "s", 1), (1, "quite another text of many words than the other one that has this id", "en", None, 1), (None, t, None, "s", None), (None, None, None, None, None)], DOC)
