@@ -39,8 +39,8 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(registry.queries()[name], registry.oracle_sql()[name])
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()) == list(range(1, 14))
 
 
 # 1: mixing
@@ -174,10 +174,16 @@ def test_equal_values_stay_linked_however_written():
 
 
 def test_pseudonyms_of_long_texts_cost_in_proportion():
-    for t in ("%20%41" * 170_000, "a.b+" * 250_000, "secret=" + "x1Y" * 300_000, "1 " * 500_000, "+1" * 500_000):
-        began = time.perf_counter()
-        pseudonyms.replace(t, b"key")
-        assert time.perf_counter() - began < 4, t[:9]
+    def least(text):
+        seconds = []
+        for _ in range(3):
+            began = time.process_time()
+            pseudonyms.replace(text, b"key")
+            seconds.append(time.process_time() - began)
+        return min(seconds)
+
+    for head, unit, n in (("", "%20%41", 40_000), ("", "a.b+", 60_000), ("secret=", "x1Y", 80_000), ("", "1 ", 120_000), ("", "+1", 120_000)):
+        assert least(head + unit * 2 * n) < 3 * least(head + unit * n) + 0.05, unit
 
 
 # 3: top-k
