@@ -237,6 +237,11 @@ def load(path: str) -> Pieces:
         return Pieces(f.read())
 
 
+def _fresh(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    return name + "_" * max([0, *(len(c) for c in columns)])
+
+
 def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "ids", end: bool = True, columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or ``columns`` of it) with ``ids`` array<int>: what the library's encode gives for each whole text, and the end id if ``end``.
 
@@ -260,7 +265,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
                     yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(lo, len(out)) for i in range(len(kept))), list_array(pa.array(np.frombuffer(b"".join(out), np.int32)), counts)], names=schema.fieldNames())
                     out, held, lo = [], 0, k + 1
 
-    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias(_fresh("_text", kept)), *kept).mapInArrow(run, schema)
 
 
 def text_of(pieces: Pieces, ids: np.ndarray) -> str:
@@ -293,7 +298,7 @@ def decode(rows: DataFrame, pieces: Pieces, *, ids: str = "ids", text: str = "te
             texts = [text_of(shared.value, pc.fill_null(x.values, -1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in held]
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), pa.array(texts, pa.string())], names=schema.fieldNames())
 
-    return rows.select(F.col(ids).alias("_ids"), *kept).mapInArrow(run, schema)
+    return rows.select(F.col(ids).alias(_fresh("_ids", kept)), *kept).mapInArrow(run, schema)
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
