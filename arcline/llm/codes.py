@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import INT, LONG, list_array, read, release, scratch, stage, staged, struct, tidy
+from arcline.llm.common import INT, LONG, list_array, looked_up, read, release, stage, staged, struct, tidy
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Rows that a task works on at a time, and entries of a neighbour list.
@@ -184,16 +184,8 @@ def digest(books: list[np.ndarray]) -> str:
 
 
 def with_group_sum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """``rows`` (staged) with the sum of ``value`` over the rows of an equal ``key``, nulls together.
-
-    Keys that hold over a 500th of all rows, fewer than 500 therefore, meet their sum by broadcast; the others by a shuffle in which none is hot.
-    """
-    every = stage(rows.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias(name), F.count(F.lit(1)).alias("_n")), "sums")
-    hot = F.col("_n") * 500 > max(1, rows.count())
-    first = rows.join(F.broadcast(every.where(hot)), F.col(key).eqNullSafe(F.col("_key")), "left")
-    met = first.where("_n IS NOT NULL").select(*rows.columns, name)
-    rest = first.where("_n IS NULL").select(*rows.columns).join(every.where(~hot), F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, name)
-    return met.unionByName(rest)
+    """``rows`` (staged) with the sum of ``value`` over the rows of an equal ``key``, nulls together."""
+    return looked_up(rows, stage(rows.groupBy(key).agg(F.sum(value).alias(name)), "sums"), [key])
 
 
 def _hex(code: Column) -> Column:

@@ -53,6 +53,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str | None:
+    """A path that tasks may write to by name, in the shared folder, deleted with what the running operator has staged.
+
+    None where the shared folder is in a store that isn't mounted as files: tasks then have their own scratch space only.
+    """
+    scheme, _, rest = scratch_dir(spark).rpartition("://") if "://" in scratch_dir(spark) else scratch_dir(spark).rpartition("file:")
+    if scheme not in ("", "file"):
+        return None
+    path = f"{rest}/arcline-{label}-{uuid.uuid4().hex}"
+    own = _OWN.get()
+    if own is not None:
+        own.append(path)
+    return path
+
+
 def staged() -> list[str]:
     """Paths that the running operator has staged and not yet released."""
     return list(_OWN.get() or [])
@@ -123,6 +138,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (staged) that ``table`` (a row a key) has the keys of, with its other columns; nulls are equal.
+
+    Keys that over a 500th of all rows ask for, fewer than 500 therefore, are answered by broadcast; the others by a shuffle in which none is hot.
+    """
+    asked = table.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in table.columns if c not in keys], F.lit(True).alias("_met"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * 500 > max(1, rows.count())).drop("_n")
+    hot = stage(often.join(asked, same).drop(*keys), "hot")
+    columns = [*rows.columns, *[c for c in table.columns if c not in keys]]
+    first = rows.join(F.broadcast(hot), same, "left")
+    rest = first.where("_met IS NULL").select(*rows.columns).join(asked, same)
+    return first.where("_met").select(*columns).unionByName(rest.select(*columns))
+
+
 def carried(df: DataFrame, new: T.StructType, columns: list[str] | None = None) -> tuple[list[str], T.StructType]:
     """Input columns to pass through beside ``new`` ones (which win a clash of names), and the whole schema."""
     taken = {f.name.lower() for f in new}
