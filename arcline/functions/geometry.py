@@ -105,6 +105,20 @@ def judge_side(p: Column, a: Column, b: Column, inside: Column, tolerance: Colum
     return _verdict(decision, reason, F.abs(own), own)
 
 
+def judge_point(mode: Column, p: Column, r: Column, a: Column, b: Column, inside: Column, tolerance: Column | float = TOLERANCE) -> Column:
+    """The verdict by a ring or a line, as ``mode`` says; null where ``judge_refusal`` has a reason."""
+    verdict = F.when(mode == "polygon", judge_ring(p, r, tolerance)).when(mode == "line", judge_side(p, a, b, inside, tolerance))
+    return F.when(judge_refusal(mode, p, r, a, b, inside).isNull(), verdict)
+
+
+def judge_refusal(mode: Column, p: Column, r: Column, a: Column, b: Column, inside: Column) -> Column:
+    """Why a point can't be judged: unsupported_mode, coordinates_missing, court_polygon_missing, line_points_missing or line_points_identical."""
+    said = lambda case, reason: F.when(F.coalesce(case, F.lit(False)), reason)
+    return F.coalesce(
+        said(mode.isNull() | ~mode.isin("polygon", "line"), "unsupported_mode"), said(p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]), "coordinates_missing"),
+        said((mode == "polygon") & r.isNull(), "court_polygon_missing"), said((mode == "line") & (a.isNull() | b.isNull() | inside.isNull()), "line_points_missing"), said((mode == "line") & (a == b), "line_points_identical"))
+
+
 def crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Where the lines a b and c d meet; null for parallel ones."""
     ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from arcline.functions import geometry as G
 from arcline.functions.numeric import blank_to_null, ratio, rounded
 from arcline.functions.text import base_name
+from arcline.operators.refusals import first_of
 
 _PAIR = T.ArrayType(T.DoubleType())
 _LINE = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(n, T.ArrayType(_PAIR)) for n in ("points", "extended_endpoints", "segment_endpoints")]])
@@ -50,6 +51,49 @@ def select_record(records: Column, image: Column, width: Column, height: Column,
     return F.when(name.isNotNull(), by_name).when(width.isNotNull() & height.isNotNull(), by_size).when(F.size(records) == 1, F.get(records, F.lit(0))).otherwise(by_index)
 
 
+def _sized(r: Column) -> Column:
+    s = frame_size(r)
+    return F.coalesce((s["width"] > 0) & (s["height"] > 0), F.lit(False))
+
+
+def selection_refusal(records: Column, image: Column, width: Column, height: Column, index: Column) -> Column:
+    """Why ``select_record`` has no record: no_records, unknown_image, no_frame_size (of any, where the size decides) or index_out_of_range."""
+    name, at = blank_to_null(image), F.coalesce(index, F.lit(0))
+    by_size = width.isNotNull() & height.isNotNull()
+    return first_of(
+        (F.coalesce(F.size(records), F.lit(0)) == 0, "no_records"),
+        (name.isNotNull(), F.when(~F.exists(records, lambda r: F.coalesce(base_name(r["image"]) == base_name(name), F.lit(False))), "unknown_image")),
+        (name.isNull() & by_size, F.when(F.exists(records, lambda r: ~_sized(r)), "no_frame_size")),
+        (name.isNull() & ~by_size & (F.size(records) != 1) & ((at < 0) | (at >= F.size(records))), "index_out_of_range"))
+
+
+def record_refusal(r: Column) -> Column:
+    """Why a line record makes no polygon, but for polygons that turn out too small."""
+    lines, side = r["lines"], F.lower(r["view_side"])
+    two, one = (r["view"] == "view2") | (r["mode"] == "view2"), (r["view"] == "view3") | (r["mode"] == "view3")
+    no_ends = lambda line: line_ends(line)["a"].isNull() | line_ends(line)["b"].isNull() | line_ends(line).isNull()
+    top, low = _named(lines, "top_to_vertex", 0), _named(lines, "side_to_vertex", 1)
+    inside = F.coalesce(r["inside_point"], r["roles"]["inside_marker"]["center"])
+    only = F.get(lines, F.lit(0))
+    is_two, is_one = F.coalesce(two, F.lit(False)), F.coalesce(one, F.lit(False)) & ~F.coalesce(two, F.lit(False))
+    return first_of(
+        (~is_two & ~is_one, "unsupported_kind"), (~_sized(r), "no_frame_size"),
+        (is_two & (top.isNull() | low.isNull()), "view2_lines_missing"), (is_two & (no_ends(top) | no_ends(low)), "line_needs_two_ends"),
+        (is_one & (F.coalesce(F.size(lines), F.lit(0)) != 1), "view3_needs_one_line"), (is_one & no_ends(only), "line_needs_two_ends"),
+        (is_one & inside.isNotNull() & (F.size(inside) != 2), "bad_point"),
+        (is_one & inside.isNull() & ~F.coalesce(side.isin("left", "right"), F.lit(False)), "view3_needs_a_side"), (is_one & (line_ends(only)["a"] == line_ends(only)["b"]), "line_points_identical"))
+
+
+def ready_refusal(r: Column) -> Column:
+    """Why a polygon or line configuration that is given as such can't judge."""
+    pair = lambda p: F.coalesce(F.size(p) == 2, F.lit(False))
+    named = [r[n] for n in ("line_start", "line_end", "inside_point")]
+    line = r["mode"] == "line"
+    return first_of(
+        ((r["mode"] == "polygon") & r["court_polygon"].isNull(), "court_polygon_missing"), ((r["mode"] == "polygon") & F.exists(r["court_polygon"], lambda p: ~pair(p)), "bad_point"),
+        (line & (named[0].isNull() | named[1].isNull() | named[2].isNull()), "line_points_missing"), (line & ~(pair(named[0]) & pair(named[1]) & pair(named[2])), "bad_point"), (line & (named[0] == named[1]), "line_points_identical"))
+
+
 def line_ends(line: Column) -> Column:
     """struct(a, b): the first of a line's lists of ends that is not empty."""
     some = lambda c: F.when(F.size(c) > 0, c)
@@ -116,24 +160,28 @@ def one_line_polygon(r: Column, width: Column, height: Column) -> Column:
 def normalize(configs: DataFrame) -> DataFrame:
     """From (clip_id, document, target_width, target_height, config_image, config_index) to what ``judge`` takes, a row per clip.
 
-    A lone polygon or line configuration goes through as it is, never scaled; of records one is chosen and made into a polygon.  ``mode`` is null
-    where that fails.
+    A lone polygon or line configuration goes through as it is, never scaled; of records one is chosen and made into a polygon.  Where that fails
+    ``mode`` is null and ``refused`` says why: unreadable_document, what ``selection_refusal``, ``record_refusal`` or ``ready_refusal`` give, or
+    polygon_too_small.
     """
-    lone = F.col("_records")[0]
-    parsed = configs.withColumn("_records", parse_configs(F.col("document")))
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  worked out once: filters on what follows would repeat it
+    parsed = once(configs, "_records", parse_configs(F.col("document")))
+    asked = [F.col(c) for c in ("config_image", "target_width", "target_height", "config_index")]
+    lone = F.get("_records", F.lit(0))
     ready = F.coalesce(F.ltrim("document").startswith("{") & lone["mode"].isin("polygon", "line"), F.lit(False))
-    chosen = parsed.withColumn("_ready", ready).withColumn("_r", F.when(F.col("_ready"), F.get("_records", F.lit(0))).otherwise(
-        select_record(F.col("_records"), F.col("config_image"), F.col("target_width"), F.col("target_height"), F.col("config_index"))))
+    chosen = once(parsed.withColumn("_ready", ready), "_r", F.when(F.col("_ready"), lone).otherwise(select_record(F.col("_records"), *asked)))
     r = F.col("_r")
     size = frame_size(r)
     width, height = F.coalesce("target_width", size["width"]), F.coalesce("target_height", size["height"])
     view = F.when((r["view"] == "view2") | (r["mode"] == "view2"), "view2_lines").when((r["view"] == "view3") | (r["mode"] == "view3"), "view3_lines")
     made = F.when(view == "view2_lines", two_line_polygon(r, width, height)["polygon"]).when(view == "view3_lines", one_line_polygon(r, width, height)["polygon"])
-    polygon = F.when(F.col("_ready"), F.transform(r["court_polygon"], G.point_of)).otherwise(made)
-    mode = F.when(F.col("_ready"), r["mode"]).when(polygon.isNotNull(), "polygon")
-    return chosen.select(
-        "clip_id", mode.alias("mode"), F.when(~F.col("_ready"), view).alias("source_mode"), polygon.alias("court_polygon"), G.point_of(r["line_start"]).alias("line_start"), G.point_of(r["line_end"]).alias("line_end"),
-        G.point_of(r["inside_point"]).alias("inside_point"), F.coalesce(F.when(F.col("_ready"), r["line_tolerance_px"]), F.lit(G.TOLERANCE)).alias("line_tolerance_px"))
+    shaped = once(chosen, "_polygon", F.when(F.col("_ready"), F.transform(r["court_polygon"], G.point_of)).otherwise(made))
+    readable = F.try_parse_json("document").isNotNull() & F.col("_records").isNotNull()
+    refused = F.when(~readable, "unreadable_document").when(F.col("_ready"), ready_refusal(r)).otherwise(F.coalesce(selection_refusal(F.col("_records"), *asked), record_refusal(r), F.when(F.col("_polygon").isNull(), "polygon_too_small")))
+    told = once(shaped, "_refused", refused)
+    return told.select(
+        "clip_id", F.when(F.col("_refused").isNull(), F.when(F.col("_ready"), r["mode"]).otherwise("polygon")).alias("mode"), F.when(~F.col("_ready"), view).alias("source_mode"), F.col("_polygon").alias("court_polygon"), G.point_of(r["line_start"]).alias("line_start"), G.point_of(r["line_end"]).alias("line_end"),
+        G.point_of(r["inside_point"]).alias("inside_point"), F.coalesce(F.when(F.col("_ready"), r["line_tolerance_px"]), F.lit(G.TOLERANCE)).alias("line_tolerance_px"), F.col("_refused").alias("refused"))
 
 
 def minimal_record(r: Column) -> Column:
@@ -143,18 +191,20 @@ def minimal_record(r: Column) -> Column:
     return F.struct(F.coalesce(r["image"], F.lit("")).alias("image"), r["width"].alias("width"), r["height"].alias("height"), F.coalesce(blank_to_null(r["view"]), r["mode"]).alias("view"), r["view_side"].alias("view_side"), lines.alias("lines"))
 
 
-def judge(bounces: DataFrame, courts: DataFrame) -> DataFrame:
+def judge(bounces: DataFrame, courts: DataFrame, *, refused: str | None = None) -> DataFrame:
     """``bounces`` (clip_id, x, y and any others) with the decision by their clip's configuration: six columns more.
 
-    Bounces of clips without one, or with one that could not be built, get nulls.  Configurations are one row per clip and
-    joined by clip; Spark broadcasts them while they are small.
+    Bounces of clips without one, or with one that could not be built, get nulls.  With ``refused`` a column of that name says why: no_config, what the
+    configuration was refused for, or what ``geometry.judge_refusal`` gives.  Configurations are one row per clip and joined by clip; Spark
+    broadcasts them while they are small.
     """
     p = G.point(F.col("x"), F.col("y"))
-    named = courts.select("clip_id", *[F.col(c).alias(f"_{c}") for c in ("mode", "court_polygon", "line_start", "line_end", "inside_point", "line_tolerance_px")])
-    joined = bounces.drop("judge_x", "judge_y", "decision", "decision_reason", "boundary_distance_px", "signed_distance_px").join(named, "clip_id", "left")
-    verdict = F.when(F.col("_mode") == "polygon", G.judge_ring(p, F.col("_court_polygon"), F.col("_line_tolerance_px"))).when(
-        F.col("_mode") == "line", G.judge_side(p, F.col("_line_start"), F.col("_line_end"), F.col("_inside_point"), F.col("_line_tolerance_px")))
-    out = joined.withColumn("_v", verdict).withColumns({
+    named = courts.select("clip_id", *[F.col(c).alias(f"_{c}") for c in ("mode", "court_polygon", "line_start", "line_end", "inside_point", "line_tolerance_px")], F.lit(True).alias("_there"), (F.col("refused") if "refused" in courts.columns else F.lit(None).cast("string")).alias("_why"))
+    joined = bounces.drop("judge_x", "judge_y", "decision", "decision_reason", "boundary_distance_px", "signed_distance_px", *([refused] if refused else [])).join(named, "clip_id", "left")
+    shape = [F.col(f"_{c}") for c in ("court_polygon", "line_start", "line_end", "inside_point")]
+    out = joined.withColumn("_v", G.judge_point(F.col("_mode"), p, *shape, F.col("_line_tolerance_px"))).withColumns({
         "judge_x": rounded(F.col("x"), 3), "judge_y": rounded(F.col("y"), 3), "decision": F.col("_v.decision"), "decision_reason": F.col("_v.decision_reason"),
         "boundary_distance_px": rounded(F.col("_v.boundary_distance_px"), 3), "signed_distance_px": rounded(F.col("_v.signed_distance_px"), 3)})
-    return out.drop("_v", *[c for c in out.columns if c.startswith("_")])
+    if refused:
+        out = out.withColumn(refused, F.coalesce(F.when(F.col("_there").isNull(), "no_config"), F.col("_why"), G.judge_refusal(F.col("_mode"), p, *shape)))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcline.functions import text as X
 from arcline.functions.numeric import blank_to_null, clamp, nearest_int, ratio
+from arcline.operators.refusals import first_of
 
 
 def recording_info(frame_count: Column, fps: Column, width: Column, height: Column) -> Column:
@@ -14,6 +15,11 @@ def recording_info(frame_count: Column, fps: Column, width: Column, height: Colu
     return F.struct(frame_count.cast("int").alias("frame_count"), fps.cast("double").alias("fps"), width.cast("int").alias("width"), height.cast("int").alias("height"), F.when(fps > 0, ratio(frame_count, fps)).otherwise(0.0).alias("duration_sec"))
 
 
+def recording_refusal(info: Column) -> Column:
+    """Why a recording can't be used: video_unreadable without metadata, video_size_unreadable without a size, no_frames without frames."""
+    return first_of((info.isNull() | info["frame_count"].isNull(), "video_unreadable"), (F.coalesce(info["width"], F.lit(0)) <= 0, "video_size_unreadable"), (F.coalesce(info["height"], F.lit(0)) <= 0, "video_size_unreadable"), (info["frame_count"] <= 0, "no_frames"))
+
+
 def pressed_at(duration: Column, pressed: Column, use_end: Column, end_offset: Column) -> Column:
     """struct(source, raw, pressed_at_sec, clamped): the asked time or the end less an offset, within the recording."""
     from_end = pressed.isNull() | F.coalesce(use_end, F.lit(False))

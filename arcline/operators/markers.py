@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcline.functions import geometry as G
+from arcline.operators.refusals import first_of
 
 #: The families that a decoder may be asked for.
 FAMILIES = ("tag16h5", "tag25h9", "tag36h10", "tag36h11")
@@ -67,6 +68,16 @@ def line_roles(markers: Column, line_ids: tuple[int, int] | None = None) -> Colu
     return G.let(largest(markers), lambda p: F.when(p.isNotNull(), G.let(G.first_best(pairs(p), lambda v: upright(v["a"], v["b"])), lambda v: roles(v["a"], v["b"], v["i"]))))
 
 
+def markers_refusal(markers: Column, family: Column | None = None, line_ids: tuple[int, int] | None = None) -> Column:
+    """Why markers give no roles: unknown_family, too_few_markers, line_marker_missing or inside_marker_missing."""
+    there = lambda k: F.exists(markers, lambda m: m["id"] == k)
+    cases = [(~F.coalesce(family.isin(*FAMILIES), F.lit(False)), "unknown_family")] if family is not None else []
+    cases.append((F.coalesce(F.size(markers), F.lit(0)) < 3, "too_few_markers"))
+    if line_ids is not None:
+        cases += [(~(there(line_ids[0]) & there(line_ids[1])), "line_marker_missing"), (F.size(F.filter(markers, lambda m: ~m["id"].isin(*line_ids))) == 0, "inside_marker_missing")]
+    return first_of(*cases)
+
+
 def edge_pair(line_marker: Column, other_marker: Column, inside: Column, *, toward_other: bool, weight: float, slack: float = 3.0) -> Column:
     """Of the 16 pairs of the two markers' edges the outer one of those that fit a line well.
 

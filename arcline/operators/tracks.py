@@ -1,13 +1,15 @@
 """From detections to dense tracks, turning points and their summaries, for many clips at once.
 
 Window work is dealt by clip and by block of frames, with the few frames that a window reaches over from the neighbouring blocks, so
-a clip of any length spreads over tasks; suppression runs in islands of candidates that can't reach each other.
+a clip of any length spreads over tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from arcline.functions.numeric import clamp, ratio
 
 #: Confidence is the score's share of this.
 FULL_SCORE = 150.0
-FRAME_BLOCK = 4096
+#: Frames that windows work on at a time, and rounds of suppression in windows before what is left is settled by clip.
+FRAME_BLOCK, ROUNDS = 4096, 3
 
 
 @dataclass(frozen=True)
@@ -92,21 +95,48 @@ def turning_candidates(track: DataFrame, detector: Detector = Detector(), fps: f
     return kept.select("clip_id", "frame_index", ratio(F.col("frame_index"), rate.cast("int"), 0.0).alias("time_sec"), "x", "y", "score", "vy_before", "vy_after", "prominence", "x_velocity_change")
 
 
-def suppress(candidates: DataFrame, min_gap: int = 10) -> DataFrame:
+def suppress(candidates: DataFrame, min_gap: int = 10, rounds: int = ROUNDS, block: int = FRAME_BLOCK) -> DataFrame:
     """Greedy suppression by score: a candidate stays unless one that stays is less than ``min_gap`` frames away; ties go to the lower frame.
 
-    Candidates with a gap of ``min_gap`` or more between them can't meet, so each island between such gaps is settled by itself.
+    In a round each open candidate that is the best of the open ones within the gap stays, and what it covers goes, which is what taking them by score
+    comes to.  Rounds are windows over blocks of frames, each with the frames on either side that can reach into it in ``rounds`` rounds, so neither a
+    long clip nor a dense stretch lands in one task.  What is still open then, long runs of rising or falling scores, is settled by clip, from
+    the best down, in time in proportion to the run.  Of rows of one frame the best counts, ties by the other columns in order.
     """
-    w = Window.partitionBy("clip_id").orderBy("frame_index")
-    opens = F.coalesce(F.col("frame_index") - F.lag("frame_index").over(w) >= min_gap, F.lit(True))
-    islands = candidates.withColumn("_opens", opens).withColumn("_island", F.sum(F.col("_opens").cast("int")).over(w))
+    if min_gap < 1:
+        return candidates
+    halo = 2 * rounds * (min_gap - 1)
+    block = max(block, 2 * halo, 1)
+    own, at = F.floor(F.col("frame_index") / block), F.pmod("frame_index", F.lit(block))
+    blocks = F.array(own, F.when(at < halo, own - 1), F.when(at >= block - halo, own + 1))
     rest = [c for c in candidates.columns if c not in ("clip_id", "frame_index", "score")]
-    item = F.struct((-F.col("score")).alias("n"), F.col("frame_index").alias("f"), F.struct(*rest).alias("r"))
-    grouped = islands.groupBy("clip_id", "_island").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    none = F.filter("_items", lambda _: F.lit(False))
-    kept = F.aggregate("_items", none, lambda k, x: F.when(F.exists(k, lambda y: F.abs(y["f"] - x["f"]) < min_gap), k).otherwise(F.concat(k, F.array(x))))
-    out = grouped.select("clip_id", F.explode(kept).alias("_x"))
-    return out.select("clip_id", F.col("_x.f").alias("frame_index"), (-F.col("_x.n")).alias("score"), "_x.r.*").select(*candidates.columns)
+    dealt = candidates.withColumns({"_own": own, "_block": F.explode(F.filter(blocks, lambda b: b.isNotNull()))})
+    w = Window.partitionBy("clip_id", "_block")
+    ordered = w.orderBy("frame_index", F.col("score").desc(), *rest)
+    state = dealt.withColumn("_twice", F.lag("frame_index").over(ordered).eqNullSafe(F.col("frame_index"))).where(~F.col("_twice")).drop("_twice")
+    near = w.orderBy("frame_index").rangeBetween(1 - min_gap, min_gap - 1)
+    rank = F.struct((-F.col("score")).alias("n"), F.col("frame_index").alias("f"))
+    state = state.withColumns({"_open": F.lit(True), "_stays": F.lit(False)})
+    for _ in range(rounds):
+        state = state.withColumn("_now", F.coalesce(F.min(F.when(F.col("_open"), rank)).over(near) == rank, F.lit(False)) & F.col("_open"))
+        state = state.withColumns({"_stays": F.col("_stays") | F.col("_now"), "_open": F.col("_open") & ~F.max("_now").over(near)})
+    state = state.where(F.col("_block") == F.col("_own"))
+    open_ = state.where("_open").select(*candidates.columns)
+    settled = open_.groupBy("clip_id").applyInArrow(lambda run: settle(run, min_gap), open_.schema)
+    return state.where("_stays").select(*candidates.columns).unionByName(settled)
+
+
+def settle(run: pa.Table, min_gap: int) -> pa.Table:
+    """The rows of one clip that stay, from the best down.  Stretches of ``min_gap`` frames hold one that stays at most, so three tell whether a row is covered."""
+    frame = run["frame_index"].to_numpy()
+    order = np.lexsort((frame, -run["score"].to_numpy()))
+    held: dict[int, int] = {}
+    for k in order.tolist():
+        f = int(frame[k])
+        stretch = f // min_gap
+        if all(abs(f - held.get(s, f - min_gap)) >= min_gap for s in (stretch - 1, stretch, stretch + 1)):
+            held[stretch] = f
+    return run.filter(pa.array(np.isin(frame, list(held.values()))))
 
 
 def turning_points(track: DataFrame, detector: Detector = Detector(), fps: float | Column = 30.0) -> DataFrame:  # noqa: B008

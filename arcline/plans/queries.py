@@ -541,3 +541,66 @@ def saved_record(spark, d):
     c = F.col("o_custkey")
     sessions = o.where(c % 2 == 0).select(c.alias("session_id"), F.concat(F.lit("s"), c, F.lit(".mp4")).alias("recording_path"), F.lit(None).cast("string").alias("recording_url"), F.lit("2020-02-02T02:02:02").alias("recorded_at")).distinct()
     return records.to_record(done, sessions, asked).select("job_id", "recorded_at", "recorded_date", "decision", "video_path", "clip_url")
+
+
+_DENSE = "SELECT o_custkey % 40 AS clip_id, CAST(o_orderkey AS INTEGER) AS frame_index, CASE WHEN o_custkey % 40 < 5 THEN CAST(o_orderkey AS DOUBLE) ELSE o_totalprice END AS score FROM orders"
+
+
+@query(f"""WITH RECURSIVE cand AS ({_DENSE}), ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, frame_index) AS k FROM cand),
+nms AS (SELECT clip_id, k, [frame_index] AS kept FROM ranked WHERE k = 1
+    UNION ALL SELECT r.clip_id, r.k, CASE WHEN len(list_filter(n.kept, lambda f: abs(f - r.frame_index) < 200)) > 0 THEN n.kept ELSE list_append(n.kept, r.frame_index) END
+    FROM nms n JOIN ranked r ON r.clip_id = n.clip_id AND r.k = n.k + 1),
+stay AS (SELECT clip_id, unnest(kept) AS frame_index FROM (SELECT clip_id, arg_max(kept, k) AS kept FROM nms GROUP BY clip_id)) SELECT cand.* FROM cand JOIN stay USING (clip_id, frame_index)""")
+def dense_suppression(spark, d):
+    """Candidates so dense that a clip is one stretch, five clips of rising scores among them."""
+    rows = M.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 40).alias("clip_id"), F.col("o_orderkey").cast("int").alias("frame_index"), F.when(F.col("o_custkey") % 40 < 5, F.col("o_orderkey").cast("double")).otherwise(F.col("o_totalprice")).alias("score"))
+    return tracks.suppress(rows, 200)
+
+
+#: Numbers of a part by which its court document is made up, the same in both dialects.
+_SHAPE = {
+    "kind": "p_partkey % 5", "pair": "(p_partkey % 13) = 0", "lines": "floor(p_partkey / 5) % 4", "points": "1 + least(floor(p_partkey / 20) % 3, 1)", "side": "floor(p_partkey / 3) % 4", "sized": "(p_partkey % 7) <> 0",
+    "broken": "(p_partkey % 53) = 0", "asked": "(p_partkey % 11) = 0", "same": "(p_partkey % 17) = 0", "ready": "floor(p_partkey / 5) % 4",
+}
+_SHAPES = ", ".join(f"CAST({v} AS INT) AS {k}" for k, v in _SHAPE.items())
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS clip_id, {_SHAPES} FROM part), r AS (SELECT clip_id, kind, CASE WHEN broken = 1 THEN 'unreadable_document'
+    WHEN kind = 2 THEN CASE ready WHEN 0 THEN 'court_polygon_missing' WHEN 1 THEN 'bad_point' END
+    WHEN kind = 3 THEN CASE ready WHEN 0 THEN 'line_points_missing' WHEN 1 THEN 'bad_point' WHEN 2 THEN 'line_points_identical' END
+    WHEN asked = 1 THEN 'unknown_image' WHEN pair = 1 THEN 'index_out_of_range' WHEN kind = 4 THEN 'unsupported_kind' WHEN sized = 0 THEN 'no_frame_size'
+    WHEN kind = 0 THEN CASE WHEN lines <> 2 THEN 'view2_lines_missing' WHEN points <> 2 THEN 'line_needs_two_ends' END
+    ELSE CASE WHEN lines <> 1 THEN 'view3_needs_one_line' WHEN points <> 2 THEN 'line_needs_two_ends' WHEN side > 1 THEN 'view3_needs_a_side' WHEN same = 1 THEN 'line_points_identical' END END AS refused FROM s)
+SELECT clip_id, CASE WHEN refused IS NULL THEN CASE WHEN kind = 3 THEN 'line' ELSE 'polygon' END END AS mode, refused FROM r""")
+def court_refusals(spark, d):
+    """Why each of many made-up configurations is refused, or the mode that it comes to."""
+    s = M.table(spark, d, "part").select(F.col("p_partkey").alias("clip_id"), *[F.expr(f"CAST({v} AS INT)").alias(k) for k, v in _SHAPE.items()])
+    line = F.when(F.col("points") != 2, "[[100, 0]]").when(F.col("same") == 1, "[[100, 50], [100, 50]]").otherwise("[[100, 0], [200, 300]]")
+    lines = F.concat_ws(", ", F.transform(F.expr("if(lines = 0, array(), sequence(1, lines))"), lambda i: F.concat(F.lit('{"name": "l'), i.cast("string"), F.lit('", "points": '), line, F.lit("}"))))
+    side = F.get(F.array(F.lit('"left"'), F.lit('"Right"'), F.lit('"middle"'), F.lit("null")), F.col("side"))
+    view = F.when(F.col("kind") == 0, "view2").when(F.col("kind") == 1, "view3").otherwise("view9")
+    record = F.concat(F.lit('{"image": "a/court.png", "view": "'), view, F.lit('", "view_side": '), side, F.when(F.col("sized") == 1, ', "width": 640, "height": 360').otherwise(""), F.lit(', "lines": ['), lines, F.lit("]}"))
+    polygon = F.when(F.col("ready") == 0, '{"mode": "polygon"}').when(F.col("ready") == 1, '{"mode": "polygon", "court_polygon": [[0, 0], [10], [10, 10]]}').otherwise('{"mode": "polygon", "court_polygon": [[0, 0], [10, 0], [10, 10]]}')
+    ends = lambda rest: F.lit('{"mode": "line", "line_start": [0, 0]' + rest + "}")
+    ready = F.when(F.col("ready") == 0, ends(', "line_end": [9, 9]')).when(F.col("ready") == 1, ends(', "line_end": [9], "inside_point": [1, 2]')).when(F.col("ready") == 2, ends(', "line_end": [0, 0], "inside_point": [1, 2]')).otherwise(ends(', "line_end": [9, 9], "inside_point": [1, 2]'))
+    document = F.when(F.col("broken") == 1, '[{"image": ').when(F.col("kind") == 2, polygon).when(F.col("kind") == 3, ready).otherwise(F.concat(F.lit("["), record, F.when(F.col("pair") == 1, F.concat(F.lit(", "), record)).otherwise(""), F.lit("]")))
+    none = F.lit(None).cast("double")
+    configs = s.select("clip_id", document.alias("document"), none.alias("target_width"), none.alias("target_height"), F.when(F.col("asked") == 1, "b/nowhere.png").alias("config_image"), F.when(F.col("pair") == 1, 5).alias("config_index"))
+    return courts.normalize(configs).select("clip_id", "mode", "refused")
+
+
+_POINTS = "SELECT event_id, CASE WHEN event_id % 19 <> 0 THEN event_id % 101 + 0.25::DOUBLE END AS x, CASE WHEN event_id % 23 <> 0 THEN value END AS y, event_id % 6 AS k FROM events"
+
+
+@query(f"""WITH p AS ({_POINTS}), r AS (SELECT *, CASE WHEN k = 0 THEN 'no_config' WHEN k = 1 THEN 'unsupported_mode' WHEN x IS NULL OR y IS NULL THEN 'coordinates_missing' WHEN k = 2 THEN 'court_polygon_missing' WHEN k = 3 THEN 'line_points_missing' WHEN k = 4 THEN 'line_points_identical' END AS refused FROM p)
+SELECT event_id, CASE WHEN refused IS NULL THEN CASE WHEN abs(x - 50) <= 3 OR x < 50 THEN 'IN' ELSE 'OUT' END END AS decision, refused FROM r""")
+def judge_refusals(spark, d):
+    """Points by six kinds of configurations, five of which can't judge."""
+    points = M.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 19 != 0, F.col("event_id") % 101 + F.lit(0.25)).alias("x"), F.when(F.col("event_id") % 23 != 0, F.col("value")).alias("y"), (F.col("event_id") % 6).alias("clip_id"))
+    at = lambda case, x, y: F.when(case, G.point(x, y))
+    k = F.col("clip_id")
+    settings = points.select("clip_id").distinct().where("clip_id > 0").select(
+        "clip_id", F.when(k == 1, "Polygon").when(k == 2, "polygon").otherwise("line").alias("mode"), F.lit(None).cast(G.RING).alias("court_polygon"), at(k > 3, 50, 0).alias("line_start"),
+        F.when(k == 4, G.point(50, 0)).otherwise(G.point(50, 100)).alias("line_end"), at(k > 3, 10, 50).alias("inside_point"), F.lit(3.0).alias("line_tolerance_px"))
+    return courts.judge(points, settings, refused="refused").select("event_id", "decision", "refused")

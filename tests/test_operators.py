@@ -204,3 +204,118 @@ def test_repeated_jobs_of_an_upsert_give_one_record(spark):
     table = spark.createDataFrame([("r1", "j1", "2026-01-01", "IN")], schema)
     new = spark.createDataFrame([("n1", "j1", "2026-01-02", "OUT"), ("n2", "j1", "2026-01-03", "UNKNOWN"), ("n3", "j2", "2026-01-02", "IN"), ("n3", "j2", "2026-01-02", "IN")], schema)
     assert sorted(tuple(r) for r in records.upsert(table, new).select("id", "job_id", "created_at", "decision").collect()) == [("n3", "j2", "2026-01-02", "IN"), ("r1", "j1", "2026-01-01", "UNKNOWN")]
+
+
+def scored(rows):
+    return [(f"c{c}", f, float(s)) for c, f, s in rows]
+
+
+@pytest.mark.parametrize(("rounds", "block", "gap"), [(3, 4096, 10), (1, 20, 10), (2, 64, 7), (3, 4096, 1), (3, 30, 3), (0, 50, 10), (3, 4096, 0)])
+def test_suppression_in_rounds_equals_taking_by_score(spark, rounds, block, gap):
+    import random
+
+    rng = random.Random(gap)
+    rows = scored([(c, f, rng.randrange(6)) for c in range(12) for f in rng.sample(range(300), rng.randrange(150))])
+    rows += scored([(99, f, f) for f in range(400)] + [(98, f, -f) for f in range(0, 500, 3)] + [(97, f, 1) for f in range(300)] + [(96, -f, f % 7) for f in range(100)])
+    c = spark.createDataFrame([(*r, r[1] * 2.0) for r in rows], "clip_id string, frame_index int, score double, x double").repartition(3)
+    kept = tracks.suppress(c, gap, rounds, block).collect()
+    want = {(k, f) for k in {r[0] for r in rows} for f in greedy([r[1:] for r in rows if r[0] == k], gap)}
+    assert {(r.clip_id, r.frame_index) for r in kept} == want and len(kept) == len(want) and all(r.x == r.frame_index * 2 for r in kept)
+
+
+def test_of_rows_of_one_frame_the_best_counts(spark):
+    c = spark.createDataFrame([("a", 5, 1.0, 9.0), ("a", 5, 2.0, 8.0), ("a", 5, 2.0, 7.0), ("a", 5, 2.0, 7.0), ("a", 40, None, 1.0)], "clip_id string, frame_index int, score double, x double")
+    assert {(r.frame_index, r.x) for r in tracks.suppress(c, 10).collect()} == {(5, 7.0), (40, 1.0)}
+    assert tracks.suppress(c.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "rising"])
+def test_a_dense_stretch_takes_time_in_proportion(spark, kind):
+    import time
+
+    def seconds(n):
+        score = F.rand(3) if kind == "random" else F.col("id").cast("double")
+        dense = spark.range(n).select(F.lit("a").alias("clip_id"), F.col("id").cast("int").alias("frame_index"), score.alias("score"))
+        began = time.perf_counter()
+        assert tracks.suppress(dense, 10).count() > n / 20
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 4 * seconds(50_000) + 2
+
+
+def test_each_refusal_has_a_reason(spark):
+    """A reason for each error that stops a configuration, the first in the order in which a reader would meet them."""
+    line = {"name": "x", "points": [[400, 0], [600, 799]]}
+    view3 = {"image": "b.png", "width": 1000, "height": 800, "view": "view3", "view_side": "left", "lines": [line]}
+    view2 = {"image": "b.png", "width": 1000, "height": 800, "view": "view2", "lines": [line, line]}
+    cases = [
+        (None, None, None, None, "unreadable_document"), ("[{", None, None, None, "unreadable_document"), ([], None, None, None, "no_records"), ([view3], None, "c.png", None, "unknown_image"), ([view3], None, "x/b.png", 9, None),
+        ([view3, {"image": "q"}], 100.0, None, None, "no_frame_size"), ([view3, view3], None, None, 2, "index_out_of_range"), ([view3, view3], None, None, -1, "index_out_of_range"), ([view3, view3], None, None, None, None), (view3, None, None, 7, None),
+        (view3 | {"view": "x"}, None, None, None, "unsupported_kind"), (view3 | {"view": None, "mode": "view3"}, None, None, None, None), (view3 | {"width": None}, None, None, None, "no_frame_size"), (view3 | {"width": 0}, None, None, None, "no_frame_size"),
+        (view3 | {"lines": []}, None, None, None, "view3_needs_one_line"), (view3 | {"lines": [{"name": "x", "points": [[1, 2]]}]}, None, None, None, "line_needs_two_ends"), (view3 | {"lines": [{"name": "x", "points": [[1], [2, 3]]}]}, None, None, None, "line_needs_two_ends"),
+        (view3 | {"view_side": "up"}, None, None, None, "view3_needs_a_side"), (view3 | {"view_side": None}, None, None, None, "view3_needs_a_side"), (view3 | {"view_side": None, "inside_point": [1, 2]}, None, None, None, None), (view3 | {"inside_point": [1]}, None, None, None, "bad_point"),
+        (view3 | {"lines": [{"name": "x", "points": [[5, 5], [5, 5]]}]}, None, None, None, "line_points_identical"), (view3 | {"lines": [{"name": "x", "points": [[-50, 0], [-50, 700]]}], "view_side": "left"}, None, None, None, None),
+        (view3 | {"lines": [{"name": "x", "points": [[-50, 0], [-50, 700]]}], "view_side": "right"}, None, None, None, "polygon_too_small"),
+        (view2, None, None, None, None), (view2 | {"lines": [line]}, None, None, None, "view2_lines_missing"), (view2 | {"lines": [line, {"name": "y"}]}, None, None, None, "line_needs_two_ends"),
+        ({"mode": "polygon"}, None, None, None, "court_polygon_missing"), ({"mode": "polygon", "court_polygon": [[1, 2], [3]]}, None, None, None, "bad_point"), ({"mode": "polygon", "court_polygon": []}, None, None, None, None),
+        ({"mode": "line", "line_start": [1, 2]}, None, None, None, "line_points_missing"), ({"mode": "line", "line_start": [1, 2], "line_end": [1, 2], "inside_point": [3, 4]}, None, None, None, "line_points_identical"),
+    ]
+    rows = [(i, c[0] if c[0] is None or isinstance(c[0], str) else json.dumps(c[0]), c[1], c[1], c[2], c[3]) for i, c in enumerate(cases)]
+    got = courts.normalize(spark.createDataFrame(rows, "clip_id long, document string, target_width double, target_height double, config_image string, config_index int"))
+    found = {r.clip_id: r for r in got.collect()}
+    for i, c in enumerate(cases):
+        assert found[i].refused == c[-1], (i, c, found[i])
+        assert (found[i].mode is None) == (c[-1] is not None)
+
+
+def test_refused_rows_are_set_apart_or_raised(spark):
+    from arcline.operators import refusals
+
+    settings = courts.normalize(configs(spark))
+    good, bad = refusals.apart(settings)
+    assert {r.clip_id for r in good.collect()} == {"a", "b", "c", "d"} and "refused" not in good.columns
+    assert [(r.clip_id, r.refused) for r in bad.collect()] == [("e", "view2_lines_missing")]
+    assert refusals.strict(settings.where("clip_id < 'e'"), "clip_id").count() == 4
+    with pytest.raises(Exception, match="refused e: view2_lines_missing"):
+        refusals.strict(settings, "clip_id").collect()
+
+
+def test_the_judgement_says_what_it_refused(spark):
+    ys = [100, 110, 120, 130, 120, 110, 100]
+    box = "clip_id string, frame_index int, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double"
+    boxes = spark.createDataFrame([(c, i, 0, 0.8, 4.0, y - 2.0, 6.0, y + 2.0) for c in "cez" for i, y in enumerate(ys)], box)
+    clips = spark.createDataFrame([(c, 8, 30.0, 0.0) for c in "cez"], "clip_id string, frames int, fps double, clip_start_sec double")
+    mine = configs(spark).where("clip_id in ('c', 'e')")
+    out = judge_clips(boxes, clips, mine)
+    assert {(r.clip_id, r.stage, r.refused, r.n) for r in out.refused.collect()} == {("e", "config", "view2_lines_missing", 1), ("e", "bounce", "view2_lines_missing", 1)}
+    assert {r.clip_id: r.decision for r in out.judged.collect()} == {"c": "OUT", "e": None, "z": None}
+    with pytest.raises(Exception, match="view2_lines_missing"):
+        judge_clips(boxes, clips, mine, strict=True).judged.collect()
+    assert judge_clips(boxes, clips, mine.where("clip_id = 'c'"), strict=True).judged.count() == 3
+
+
+def test_recordings_and_markers_say_why(spark):
+    infos = spark.createDataFrame([(10, 30.0, 640, 360), (10, 30.0, 0, 360), (10, 30.0, 640, None), (0, 0.0, 640, 360), (None, None, None, None)], "n int, fps double, w int, h int")
+    assert [r[0] for r in infos.select(jobs.recording_refusal(jobs.recording_info(F.col("n"), F.col("fps"), F.col("w"), F.col("h")))).collect()] == [None, "video_size_unreadable", "video_size_unreadable", "no_frames", "video_unreadable"]
+    found = spark.createDataFrame([("tag36h11", [(1,), (2,), (3,)]), ("tag", [(1,), (2,), (3,)]), ("tag36h11", [(1,), (2,)]), ("tag36h11", [(1,), (4,), (3,)]), ("tag16h5", [(1,), (2,), (2,)]), (None, None)], "family string, m array<struct<id:int>>")
+    assert [r[0] for r in found.select(markers.markers_refusal(F.col("m"), F.col("family"), (1, 2))).collect()] == [None, "unknown_family", "too_few_markers", "line_marker_missing", "inside_marker_missing", "unknown_family"]
+
+
+def test_points_are_judged_or_refused_in_sql_too(spark):
+    from arcline.functions import geometry as G
+    from arcline.functions import sql
+
+    sql.register(spark)
+    square = "array(plane_point(0, 0), plane_point(100, 0), plane_point(100, 100), plane_point(0, 100))"
+    rows = ["('polygon', plane_point(50, 50), {s}, null, null, null)", "('polygon', plane_point(102, 50), {s}, null, null, null)", "('line', plane_point(10, 50), null, plane_point(0, 0), plane_point(0, 100), plane_point(-10, 50))", "('line', plane_point(10, 50), null, plane_point(0, 0), plane_point(0, 0), plane_point(-10, 50))",
+            "('line', plane_point(10, 50), null, plane_point(0, 0), null, plane_point(-10, 50))", "('polygon', plane_point(null, 50), {s}, null, null, null)", "('polygon', plane_point(1, 50), null, null, null, null)", "('oval', plane_point(1, 50), {s}, null, null, null)", "(null, plane_point(1, 50), {s}, null, null, null)"]
+    kinds = ("string", G.POINT, G.RING, G.POINT, G.POINT, G.POINT)
+    cast = ", ".join(f"CAST(t.{c} AS {kind}) AS {c}" for c, kind in zip("mprabi", kinds, strict=True))
+    df = spark.sql(" UNION ALL ".join(f"SELECT {k} AS k, {cast} FROM (SELECT {row[1:-1].format(s=square)}) AS t(m, p, r, a, b, i)" for k, row in enumerate(rows)))
+    columns = [F.col(c) for c in "mprabi"]
+    got = df.select(F.expr("judge_point(m, p, r, a, b, i, 3d)").alias("sql"), G.judge_point(*columns).alias("v"), G.judge_refusal(*columns).alias("why"), "k").orderBy("k").collect()
+    assert [r["sql"].refused for r in got] == [None, None, None, "line_points_identical", "line_points_missing", "coordinates_missing", "court_polygon_missing", "unsupported_mode", "unsupported_mode"]
+    for r in got:
+        assert r.why == r["sql"].refused
+        assert tuple(r["sql"])[:4] == (tuple(r.v) if r.v else (None,) * 4)
