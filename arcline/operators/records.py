@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,26 @@ def violations(records: DataFrame) -> DataFrame:
     return records.withColumn("violated", F.filter(F.array(*missing, kind), lambda c: c.isNotNull()))
 
 
+def offences(incoming: DataFrame, table: DataFrame) -> DataFrame:
+    """``incoming`` with ``violated``: what ``violations`` finds, and whether its id is another job's.
+
+    ``id_of_another_job``: the table has the id for another job.  ``id_repeated``: an earlier row of the batch, by (created_at, job_id), has.  A known
+    job that comes in again under its own id or a new one breaks no rule; the table keeps the id that it has.
+    """
+    first = incoming.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("created_at", "job_id"))["job_id"].alias("_first"))
+    held = table.where(F.col("id").isNotNull()).select("id", F.col("job_id").alias("_held"))
+    joined = violations(incoming).join(first, "id", "left").join(held, "id", "left")
+    other = lambda c, rule: F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col("job_id")), F.lit(rule))
+    more = F.filter(F.array(F.when(F.col("_held").isNull(), other("_first", "id_repeated")), other("_held", "id_of_another_job")), lambda c: c.isNotNull())
+    return joined.select(*incoming.columns, F.concat("violated", more).alias("violated"))
+
+
+def latest_by_job(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat a job_id the latest by (created_at, id), nulls first; summed up in part before the shuffle, so a job may repeat often."""
+    best = F.max_by(F.struct(*rows.columns), F.struct("created_at", "id")).alias("_best")
+    return rows.groupBy(F.col("job_id").alias("_job")).agg(best).select("_best.*")
+
+
 def upsert(table: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table after ``incoming``: new jobs are added, known ones get every column but their id and creation time.
 
@@ -33,8 +53,7 @@ def upsert(table: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Returns a new table; write it beside the old one and swap, never over the path that is being read.
     """
-    last = Window.partitionBy("job_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last())
-    incoming = incoming.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
+    incoming = latest_by_job(incoming)
     t, s = table.alias("t"), incoming.alias("s")
     joined = t.join(s, F.col("t.job_id") == F.col("s.job_id"), "full_outer")
     new = F.col("s.job_id").isNotNull()

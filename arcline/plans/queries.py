@@ -604,3 +604,19 @@ def judge_refusals(spark, d):
         "clip_id", F.when(k == 1, "Polygon").when(k == 2, "polygon").otherwise("line").alias("mode"), F.lit(None).cast(G.RING).alias("court_polygon"), at(k > 3, 50, 0).alias("line_start"),
         F.when(k == 4, G.point(50, 0)).otherwise(G.point(50, 100)).alias("line_end"), at(k > 3, 10, 50).alias("inside_point"), F.lit(3.0).alias("line_tolerance_px"))
     return courts.judge(points, settings, refused="refused").select("event_id", "decision", "refused")
+
+
+_BATCH = """SELECT CASE WHEN o_orderkey % 24 < 12 THEN 's' ELSE 'r' END || (o_orderkey - o_orderkey % 8) AS id, 'j' || o_orderkey AS job_id, CASE WHEN o_orderkey % 36 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS created_at, CASE WHEN o_orderkey % 28 = 0 THEN 'mixed' WHEN o_orderkey % 20 <> 0 THEN 'singles' END AS match_type
+    FROM orders WHERE o_orderkey % 4 = 0"""
+
+
+@query(f"""WITH {M.SQL_RECORDS}, b AS ({_BATCH}), f AS (SELECT id, (min({{'c': created_at, 'j': job_id}})).j AS first FROM (SELECT id, coalesce(created_at, '') AS created_at, job_id FROM b) GROUP BY id)
+SELECT b.id, b.job_id, concat_ws(',', CASE WHEN created_at IS NULL THEN 'created_at' END, CASE WHEN match_type IS NULL THEN 'match_type' END, CASE WHEN match_type = 'mixed' THEN 'match_type' END, CASE WHEN held IS NULL AND first <> b.job_id THEN 'id_repeated' END, CASE WHEN held <> b.job_id THEN 'id_of_another_job' END) AS violated
+FROM b LEFT JOIN f USING (id) LEFT JOIN (SELECT id, job_id AS held FROM rec) USING (id)""")
+def record_offences(spark, d):
+    """A batch of records in which some ids are another job's, in the table or in the batch, and some columns are missing or out of range."""
+    key = F.col("o_orderkey")
+    batch = M.table(spark, d, "orders").where(key % 4 == 0).select(
+        F.concat(F.when(key % 24 < 12, "s").otherwise("r"), key - key % 8).alias("id"), F.concat(F.lit("j"), key).alias("job_id"), F.when(key % 36 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("created_at"),
+        F.when(key % 28 == 0, "mixed").when(key % 20 != 0, "singles").alias("match_type"), F.lit("t").alias("recorded_at"), F.lit("IN").alias("decision"), F.lit("{}").alias("job_result_json"))
+    return records.offences(batch, M.records(spark, d)).select("id", "job_id", F.concat_ws(",", "violated").alias("violated"))
