@@ -67,3 +67,13 @@ def first_number(*columns: Column) -> Column:
 def colour(decision: Column) -> Column:
     known = F.create_map(*[x for k, v in COLOURS.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
     return F.coalesce(F.try_element_at(known, F.upper(F.coalesce(decision, F.lit("UNKNOWN")))), F.array(*[F.lit(c) for c in COLOURS["UNKNOWN"]]))
+
+
+def as_json(value: Column) -> Column:
+    """A nested value as JSON with its nulls and empty lists kept and letters beyond ASCII as they are; null for null."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def utc_now() -> Column:
+    """The time as ISO text with microseconds and its offset from UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -17,7 +17,7 @@ _LINE = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(n,
 RECORD = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("image", "mode", "view", "view_side", "layout")], T.StructField("width", T.DoubleType()), T.StructField("height", T.DoubleType()),
     T.StructField("image_shape_hwc", T.ArrayType(T.IntegerType())), T.StructField("lines", T.ArrayType(_LINE)), *[T.StructField(n, _PAIR) for n in ("vertex_point", "court_vertex", "view2_vertex_point", "inside_point", "line_start", "line_end")],
-    T.StructField("roles", T.StructType([T.StructField("inside_marker", T.StructType([T.StructField("center", _PAIR)]))])), T.StructField("court_polygon", T.ArrayType(_PAIR)), T.StructField("line_tolerance_px", T.DoubleType()),
+    T.StructField("roles", T.StructType([T.StructField("inside_marker", T.StructType([T.StructField("center", _PAIR)]))])), T.StructField("court_polygon", T.ArrayType(_PAIR)), T.StructField("view2_line_segments", T.ArrayType(T.ArrayType(_PAIR))), T.StructField("line_tolerance_px", T.DoubleType()),
 ])
 RECORDS = T.ArrayType(RECORD)
 
@@ -157,12 +157,31 @@ def one_line_polygon(r: Column, width: Column, height: Column) -> Column:
     return G.let(ends, lambda e: F.when(e.isNotNull(), G.let(chord(e), shape)))
 
 
+def configured_segments(r: Column) -> Column:
+    """Segments that a configuration brings with it, those of two points, as structs (a, b); empty where it has none."""
+    both = F.filter(F.coalesce(r["view2_line_segments"], F.array().cast("array<array<array<double>>>")), lambda s: F.size(s) == 2)
+    return F.transform(both, lambda s: F.struct(G.point_of(F.get(s, F.lit(0))).alias("a"), G.point_of(F.get(s, F.lit(1))).alias("b")))
+
+
+def scaled_segments(r: Column, width: Column, height: Column) -> Column:
+    """The lines of a record as segments in the target frame."""
+    size = frame_size(r)
+    sx, sy = ratio(width, size["width"]), ratio(height, size["height"])
+    return F.transform(r["lines"], lambda x: G.let(line_ends(x), lambda e: F.struct(G.scaled(e["a"], sx, sy).alias("a"), G.scaled(e["b"], sx, sy).alias("b"))))
+
+
+def corner_segments(polygon: Column) -> Column:
+    """From a two-line record's polygon the segments from its two border ends, its first and last but one, to its corner, its last point."""
+    at = lambda k: F.element_at(polygon, k)
+    return F.array(F.struct(at(1).alias("a"), at(-1).alias("b")), F.struct(at(-2).alias("a"), at(-1).alias("b")))
+
+
 def normalize(configs: DataFrame) -> DataFrame:
     """From (clip_id, document, target_width, target_height, config_image, config_index) to what ``judge`` takes, a row per clip.
 
     A lone polygon or line configuration goes through as it is, never scaled; of records one is chosen and made into a polygon.  Where that fails
     ``mode`` is null and ``refused`` says why: unreadable_document, what ``selection_refusal``, ``record_refusal`` or ``ready_refusal`` give, or
-    polygon_too_small.
+    polygon_too_small.  ``segments`` are the lines to draw: those that the configuration brings, else the record's, else the line that judges.
     """
     once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  worked out once: filters on what follows would repeat it
     parsed = once(configs, "_records", parse_configs(F.col("document")))
@@ -179,9 +198,13 @@ def normalize(configs: DataFrame) -> DataFrame:
     readable = F.try_parse_json("document").isNotNull() & F.col("_records").isNotNull()
     refused = F.when(~readable, "unreadable_document").when(F.col("_ready"), ready_refusal(r)).otherwise(F.coalesce(selection_refusal(F.col("_records"), *asked), record_refusal(r), F.when(F.col("_polygon").isNull(), "polygon_too_small")))
     told = once(shaped, "_refused", refused)
+    own = F.struct(G.point_of(r["line_start"]).alias("a"), G.point_of(r["line_end"]).alias("b"))
+    brought = configured_segments(r)
+    drawn = F.when(view == "view2_lines", corner_segments(F.col("_polygon"))).otherwise(scaled_segments(r, width, height))
+    segments = F.when(~F.col("_ready"), drawn).when(F.size(brought) > 0, brought).when(r["mode"] == "line", F.array(own)).otherwise(brought)
     return told.select(
         "clip_id", F.when(F.col("_refused").isNull(), F.when(F.col("_ready"), r["mode"]).otherwise("polygon")).alias("mode"), F.when(~F.col("_ready"), view).alias("source_mode"), F.col("_polygon").alias("court_polygon"), G.point_of(r["line_start"]).alias("line_start"), G.point_of(r["line_end"]).alias("line_end"),
-        G.point_of(r["inside_point"]).alias("inside_point"), F.coalesce(F.when(F.col("_ready"), r["line_tolerance_px"]), F.lit(G.TOLERANCE)).alias("line_tolerance_px"), F.col("_refused").alias("refused"))
+        G.point_of(r["inside_point"]).alias("inside_point"), F.coalesce(F.when(F.col("_ready"), r["line_tolerance_px"]), F.lit(G.TOLERANCE)).alias("line_tolerance_px"), F.when(F.col("_refused").isNull(), segments).alias("segments"), F.col("_refused").alias("refused"))
 
 
 def minimal_record(r: Column) -> Column:

@@ -116,6 +116,31 @@ def summarise(clips: DataFrame, track: DataFrame, bounces: DataFrame, judged: Da
         F.col("d").alias("primary_decision"), F.when(F.col("has_config"), F.when(decided, "done").otherwise("no_bounce")).alias("inout_status"), issue["failure_type"].alias("failure_type"), issue["failure_reason"].alias("failure_reason"))
 
 
+def merged_artifacts(artifacts: DataFrame) -> DataFrame:
+    """(clip_id, artifacts map) of (clip_id, step, name, url): of equal names the one of the last step counts, rows without a url don't."""
+    last = artifacts.where(F.col("url").isNotNull()).groupBy("clip_id", "name").agg(F.max_by("url", F.struct("step", "url")).alias("url"))
+    return last.groupBy("clip_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "url")))).alias("artifacts"))
+
+
+def results(summary: DataFrame, clips: DataFrame, bounces: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Whole results of jobs: ``summarise`` with its nested parts clip, inout_input, tracking and artifacts.
+
+    ``clips``: clip_id, start_sec, end_sec, fps, width, height, frames_written and, for the paths of what was written, track_csv, bounces_csv and
+    court_config, any null; ``bounces``: as for ``bounce_view``; ``artifacts``: as for ``merged_artifacts``.  A clip's bounces are listed by frame.
+    """
+    listed = bounce_view(bounces)
+    each = F.struct("frame_index", *[c for c in listed.columns if c not in ("clip_id", "frame_index")])
+    per_clip = listed.groupBy("clip_id").agg(F.sort_array(F.collect_list(each)).alias("bounces"))
+    empty = F.array().cast(per_clip.schema["bounces"].dataType)
+    joined = summary.join(clips, "clip_id").join(per_clip, "clip_id", "left").join(merged_artifacts(artifacts), "clip_id", "left").withColumn("bounces", F.coalesce("bounces", empty))
+    tracking = F.struct(F.lit("yolo").alias("model"), "frames", F.col("detected").alias("raw_detected"), F.col("detected").alias("after_outlier"), "detected", "predicted", "isolated", "missing", "bounce_count")
+    clip = F.struct("start_sec", "end_sec", "fps", "width", "height", F.col("frames_written").alias("frame_count"))
+    given = F.struct(F.col("fps").cast("double").alias("fps"), F.col("width").alias("frame_width"), F.col("height").alias("frame_height"), F.col("start_sec").alias("clip_start_sec"), "bounces", "track_csv", "bounces_csv", "court_config")
+    return joined.select(
+        "clip_id", clip.alias("clip"), "result", "failure_type", "failure_reason", F.lit(True).alias("video_readable"), "confidence", "primary_bounce", "bounces", given.alias("inout_input"), F.when(F.col("inout_status").isNotNull(), F.struct("inout_status", "primary_decision")).alias("inout"),
+        tracking.alias("tracking"), F.coalesce("artifacts", F.create_map().cast("map<string,string>")).alias("artifacts"))
+
+
 def frontend_view(jobs: DataFrame) -> DataFrame:
     """Jobs flattened: decision and is_in from the nested primary decision, empty lists and maps instead of nulls."""
     decision = F.upper(F.col("inout.primary_decision.decision"))

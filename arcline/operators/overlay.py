@@ -43,6 +43,17 @@ def draw_plan(frames: DataFrame, judged: DataFrame, reach: int = 4) -> DataFrame
         X.banner(decision, F.col("bounce_frame"), far, F.coalesce("_n", F.lit(0)) > 0).alias("banner"))
 
 
+def with_court(frames: DataFrame, settings: DataFrame) -> DataFrame:
+    """``frames`` with what is drawn of their clip's court (``courts.normalize``): ``polygon`` and ``segments`` in whole pixels; nulls for none.
+
+    One row a clip is joined, worked out before the frames are.
+    """
+    whole = lambda p: F.struct(F.rint(p["x"].cast("float")).cast("int").alias("x"), F.rint(p["y"].cast("float")).cast("int").alias("y"))
+    drawn = settings.where(F.col("mode").isNotNull()).select(
+        "clip_id", F.when(F.col("mode") == "polygon", F.transform("court_polygon", whole)).alias("polygon"), F.transform("segments", lambda s: F.struct(whole(s["a"]).alias("a"), whole(s["b"]).alias("b"))).alias("segments"))
+    return frames.join(drawn, "clip_id", "left")
+
+
 def last_by_frame(track: DataFrame, order: Column) -> DataFrame:
     """Of rows that repeat a frame the last in ``order``."""
     w = Window.partitionBy("clip_id", "frame_index").orderBy(order.desc())

@@ -106,6 +106,22 @@ def to_record(jobs: DataFrame, sessions: DataFrame, requests: DataFrame, record_
     return joined.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in COLUMNS])
 
 
+def with_json(jobs: DataFrame, result: list[str] | None = None) -> DataFrame:
+    """``jobs`` with the three JSON columns of a record: their nested primary_bounce and primary_decision, and the whole row or the ``result`` columns of it.
+
+    Nulls are kept within, and a value that is null has a null column.  Columns that are encoded stay.
+    """
+    named = result or [c for c in jobs.columns if c not in JSON]
+    return jobs.withColumns({"primary_bounce_json": X.as_json(F.col("primary_bounce")), "primary_decision_json": X.as_json(F.col("primary_decision")), "job_result_json": X.as_json(F.struct(*named))})
+
+
+def as_variants(table: DataFrame) -> DataFrame:
+    """The JSON columns as variants, named without their suffix: whatever shape each record's values have.  Text that isn't JSON gives null."""
+    for name in JSON:
+        table = table.withColumn(name.removesuffix("_json"), F.try_parse_json(name)).drop(name)
+    return table
+
+
 def from_json_columns(table: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """JSON text columns read as ``schemas`` (by base name) and named without their suffix."""
     for name, schema in schemas.items():

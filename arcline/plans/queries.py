@@ -620,3 +620,68 @@ def record_offences(spark, d):
         F.concat(F.when(key % 24 < 12, "s").otherwise("r"), key - key % 8).alias("id"), F.concat(F.lit("j"), key).alias("job_id"), F.when(key % 36 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("created_at"),
         F.when(key % 28 == 0, "mixed").when(key % 20 != 0, "singles").alias("match_type"), F.lit("t").alias("recorded_at"), F.lit("IN").alias("decision"), F.lit("{}").alias("job_result_json"))
     return records.offences(batch, M.records(spark, d)).select("id", "job_id", F.concat_ws(",", "violated").alias("violated"))
+
+
+_SEGMENTS = """CASE kind WHEN 0 THEN [[(p + 10) / 2, 0, 350, 200], [0, (p % 300 + 20) / 2, 350, 200]] WHEN 1 THEN [[p / 2, 0, (p + 100) / 2, 359.5]] WHEN 2 THEN [[1, 2, p, 4]] ELSE [[p, 0, p, 100]] END"""
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS clip_id, p_partkey % 4 AS kind, CAST(p_partkey % 600 AS DOUBLE) AS p FROM part), g AS (SELECT clip_id, kind, {_SEGMENTS} AS segments FROM s)
+SELECT clip_id, CAST(i AS INTEGER) AS frame_index, kind <> 3 AS has_polygon, array_to_string(list_transform(segments, lambda x: array_to_string(list_transform(x, lambda v: CAST(CAST(round_even(v, 0) AS INTEGER) AS VARCHAR)), ' ')), ', ') AS segments FROM g, range(2) AS f(i)""")
+def court_segments(spark, d):
+    """The court lines of four kinds of configurations on each frame of their clips, in pixels of half the record's size."""
+    p, kind = (F.col("p_partkey") % 600).cast("string"), F.col("p_partkey") % 4
+    low = (F.col("p_partkey") % 600 % 300 + 20).cast("string")
+    plus = lambda n: (F.col("p_partkey") % 600 + n).cast("string")
+    size = ', "width": 1280, "height": 720, '
+    two = F.concat(F.lit('[{"view": "view2"' + size + '"vertex_point": [700, 400], "lines": [{"name": "top_to_vertex", "points": [['), plus(10), F.lit(', 0], [690, 390]]}, {"name": "side_to_vertex", "points": [[0, '), low, F.lit("], [690, 395]]}]}]"))
+    one = F.concat(F.lit('[{"view": "view3"' + size + '"view_side": "left", "lines": [{"extended_endpoints": [['), p, F.lit(", 0], ["), plus(100), F.lit(", 719]]}]}]"))
+    ring = F.concat(F.lit('{"mode": "polygon", "court_polygon": [[0, 0], [9, 0], [9, 9]], "view2_line_segments": [[[1, 2], ['), p, F.lit(", 4]], [[5, 6]]]}"))
+    line = F.concat(F.lit('{"mode": "line", "inside_point": [-5, 50], "line_start": ['), p, F.lit(', 0], "line_end": ['), p, F.lit(", 100]}"))
+    configs = M.table(spark, d, "part").select(
+        F.col("p_partkey").alias("clip_id"), F.when(kind == 0, two).when(kind == 1, one).when(kind == 2, ring).otherwise(line).alias("document"), F.lit(640.0).alias("target_width"), F.lit(360.0).alias("target_height"), F.lit(None).cast("string").alias("config_image"), F.lit(0).alias("config_index"))
+    frames = configs.select("clip_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("frame_index"))
+    said = F.array_join(F.transform("segments", lambda s: F.concat_ws(" ", s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])), ", ")
+    return overlay.with_court(frames, courts.normalize(configs)).select("clip_id", "frame_index", F.col("polygon").isNotNull().alias("has_polygon"), said.alias("segments"))
+
+
+_BOUNCE_STRUCT = "{'frame_index': CAST(o_orderkey % 500 AS INTEGER), 'x': CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7 + 0.5::DOUBLE END, 'note': CASE WHEN o_orderkey % 2 = 0 THEN 'Łódź \"é\"' END}"
+
+
+@query(f"""WITH o AS (SELECT 'j' || o_orderkey AS job_id, CASE WHEN o_orderkey % 5 <> 0 THEN {_BOUNCE_STRUCT} END AS primary_bounce, CASE WHEN o_orderkey % 4 <> 0 THEN {{'decision': 'IN', 'signed_distance_px': CAST(NULL AS DOUBLE)}} END AS primary_decision,
+    CASE o_orderkey % 3 WHEN 0 THEN CAST([] AS INTEGER[]) WHEN 1 THEN [1, NULL] END AS frames FROM orders)
+SELECT job_id, CAST(to_json(primary_bounce) AS VARCHAR) AS primary_bounce_json, CAST(to_json(primary_decision) AS VARCHAR) AS primary_decision_json, CAST(to_json({{'job_id': job_id, 'primary_bounce': primary_bounce, 'frames': frames}}) AS VARCHAR) AS job_result_json,
+    primary_bounce.frame_index AS frame_index, primary_bounce.note AS note FROM o""")
+def record_json(spark, d):
+    """Nested values with nulls, empty lists and letters beyond ASCII as the JSON of a record, and read back as variants."""
+    k = F.col("o_orderkey")
+    bounce = F.struct((k % 500).cast("int").alias("frame_index"), F.when(k % 3 != 0, k % 7 + F.lit(0.5)).alias("x"), F.when(k % 2 == 0, 'Łódź "é"').alias("note"))
+    made = M.table(spark, d, "orders").select(
+        F.concat(F.lit("j"), k).alias("job_id"), F.when(k % 5 != 0, bounce).alias("primary_bounce"), F.when(k % 4 != 0, F.struct(F.lit("IN").alias("decision"), F.lit(None).cast("double").alias("signed_distance_px"))).alias("primary_decision"),
+        F.when(k % 3 == 0, F.array().cast("array<int>")).when(k % 3 == 1, F.array(F.lit(1), F.lit(None).cast("int"))).alias("frames"))
+    coded = records.with_json(made, ["job_id", "primary_bounce", "frames"]).drop("primary_bounce", "primary_decision", "frames")
+    back = records.as_variants(coded.withColumns({f"_{c}": F.col(c) for c in records.JSON}))
+    return back.select("job_id", *[F.col(f"_{c}").alias(c) for c in records.JSON], F.try_variant_get("primary_bounce", "$.frame_index", "int").alias("frame_index"), F.try_variant_get("primary_bounce", "$.note", "string").alias("note"))
+
+
+@query(f"""WITH RECURSIVE {M.SQL_BOUNCES}, s AS (SELECT clip_id, count(*) AS frames, count(x) AS detected FROM ev GROUP BY clip_id), n AS (SELECT clip_id, count(*) AS n, min(frame_index) AS first FROM b GROUP BY clip_id)
+SELECT s.clip_id, s.clip_id % 50 + 5.0::DOUBLE AS end_sec, CAST(frames AS INTEGER) AS frame_count, frames - detected AS missing, CAST(coalesce(n, 0) AS INTEGER) AS n_bounces, first AS first_frame, {sql_round('first / 30::DOUBLE + s.clip_id % 50', 4)} AS first_sec,
+    CASE WHEN s.clip_id % 2 = 0 THEN 'court' || s.clip_id || '.json' END AS court_config, CASE WHEN s.clip_id % 2 = 0 THEN CASE WHEN n IS NULL THEN 'no_bounce' ELSE 'done' END END AS inout_status,
+    '{{"clip":"' || CASE WHEN s.clip_id % 5 = 0 THEN '/files/again' ELSE '/files/c' END || s.clip_id || '"' || CASE WHEN s.clip_id % 2 = 0 THEN ',"inout_csv":"/files/i' || s.clip_id || '"' ELSE '' END || ',"track_csv":"/files/t' || s.clip_id || '"}}' AS artifacts
+FROM s LEFT JOIN n USING (clip_id)""")
+def job_result(spark, d):
+    """Whole results of jobs with their nested parts; artifacts of a later step replace those of the same name."""
+    base = M.track(spark, d)
+    track, bounces, c = base.withColumn("status", F.when(F.col("x").isNotNull(), "detected").otherwise("missing")), tracks.turning_points(base), F.col("clip_id")
+    own = base.groupBy("clip_id").agg(F.count("*").cast("int").alias("frames_written"))
+    clips = own.select("clip_id", (c % 50).cast("double").alias("start_sec"), (c % 50 + 5).cast("double").alias("end_sec"), F.lit(30.0).alias("fps"), F.lit(640).alias("width"), F.lit(360).alias("height"), "frames_written",
+                       F.lit("track.csv").alias("track_csv"), F.lit("bounces.csv").alias("bounces_csv"), F.when(c % 2 == 0, F.concat(F.lit("court"), c, F.lit(".json"))).alias("court_config"))
+    judged = courts.judge(bounces, own.where(c % 2 == 0).select("clip_id", *_polygon_court()))
+    summary = jobs.summarise(own.select("clip_id", (c % 2 == 0).alias("has_config")), track, bounces, judged)
+    url = lambda name, case=None: F.concat(F.lit(f"/files/{name}"), c) if case is None else F.when(case, F.concat(F.lit(f"/files/{name}"), c))
+    steps = [(0, "clip", url("c")), (0, "track_csv", url("t")), (0, "result_video", F.lit(None).cast("string")), (1, "inout_csv", url("i", c % 2 == 0)), (1, "clip", url("again", c % 5 == 0))]
+    artifacts = own.select("clip_id", F.inline(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(name).alias("name"), at.alias("url")) for step, name, at in steps])))
+    first = F.get("bounces", F.lit(0))
+    made = jobs.results(summary, clips, bounces.join(clips.select("clip_id", F.col("start_sec").alias("clip_start_sec")), "clip_id"), artifacts)
+    return made.select(
+        "clip_id", "clip.end_sec", "clip.frame_count", "tracking.missing", F.size("inout_input.bounces").alias("n_bounces"), first["frame_index"].alias("first_frame"), rounded(first["recording_time_sec"], 4).alias("first_sec"), "inout_input.court_config", "inout.inout_status",
+        F.to_json("artifacts").alias("artifacts"))

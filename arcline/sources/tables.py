@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +61,7 @@ def load_track(rows: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files as (path, modified, document)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("document"))
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +75,34 @@ def read_jobs(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return jobs.where(F.col("job").isNotNull() & F.col("job.job_id").isNotNull()).select("job.*", "modified")
 
 
+def job_documents(spark: SparkSession, root: str, session_id: str | None = None, job_id: str | None = None) -> DataFrame:
+    """(session_id, job_id, modified, document) of ``root``/<session>/jobs/<job>/job.json; with a session or job only its folders are listed and opened."""
+    plain = lambda part: re.sub(r"([*?\[\]{}\\\\])", r"\\\1", part) if part is not None else "*"
+    found = read_documents(spark, f"{root.rstrip('/')}/{plain(session_id)}/jobs/{plain(job_id)}/job.json")
+    part = lambda k: F.url_decode(F.element_at(F.split("path", "/"), k))
+    return found.select(part(-4).alias("session_id"), part(-2).alias("job_id"), "modified", "document")
+
+
+def find_job(spark: SparkSession, root: str, job_id: str) -> DataFrame:
+    """The document of a job whose session isn't known; no row if there is none."""
+    try:
+        return job_documents(spark, root, job_id=job_id).limit(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "session_id string, job_id string, modified timestamp, document string")
+
+
+def write_jobs(jobs: DataFrame, root: str) -> None:
+    """Jobs as JSON lines in a folder for each session, nulls kept; only the sessions that ``jobs`` has are replaced."""
+    jobs.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("session_id").json(root)
+
+
+def read_jobs_by_session(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What ``write_jobs`` wrote: session_id is a partition, so a filter on it opens that session's files alone."""
+    return spark.read.schema(f"{schema}, session_id string").json(root)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
