@@ -17,13 +17,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcline.llm.common import read, stage
 
 RESOLUTIONS = (4, 8, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+_LAST = (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -60,12 +61,11 @@ def _survivors(q: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> np.nd
         bound = _features(q, r) @ _features(c, r).T
         bound[~alive] = -np.inf
         if least is None:
-            if c.shape[0] <= 4 * k:
-                return alive
-            seed = np.argpartition(-bound, 3 * k, axis=1)[:, : 3 * k]
+            n = min(3 * k, c.shape[0])
+            seed = np.argpartition(-bound, n - 1, axis=1)[:, :n]
             score = np.einsum("id,ijd->ij", q, c[seed])
             score[~np.take_along_axis(other, seed, axis=1)] = -np.inf
-            least = np.partition(score, -k, axis=1)[:, -k][:, None]
+            least = np.partition(score, -k, axis=1)[:, -k][:, None] if n >= k else np.full((len(q), 1), -np.inf)
         alive &= bound >= least - slack
         if alive.mean() < 1 / 64:
             break
@@ -88,58 +88,79 @@ def _scores(q: np.ndarray, c: np.ndarray, alive: np.ndarray) -> np.ndarray:
 
 def _block(k: int):
     def best(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="Int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="int64")})
         if not len(queries) or not len(candidates):
             return empty
-        q_id, c_id = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+        q_row, q_id = queries["_row"].to_numpy(), queries["vec_id"].to_numpy(dtype=object)
+        c_id = candidates["vec_id"].astype("Int64")
+        place = c_id.fillna(_LAST).to_numpy(np.int64)  # rows without a vec_id lose ties
         q, c = np.stack(queries["v"].to_numpy()), np.stack(candidates["v"].to_numpy())
-        other = q_id[:, None] != c_id[None, :]
+        other = queries["_own"].to_numpy()[:, None] != candidates["_own"].to_numpy()[None, :]
         if q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) >= 2.0**53:  # beyond what doubles hold exactly
             big = q.astype(object) @ c.astype(object).T
-            rows = [(int(q_id[i]), int(v), int(-s)) for i in range(len(q)) for s, v in sorted((-big[i, j], c_id[j]) for j in np.flatnonzero(other[i]))[:k]]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]) if rows else empty
+            rows = [(i, j, int(-s)) for i in range(len(q)) for s, _, j in sorted((-big[i, j], place[j], j) for j in np.flatnonzero(other[i]))[:k]]
+            i, j, value = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+            return _found(q_row[i], q_id[i], c_id, j, value)
         q, c = q.astype(np.float64), c.astype(np.float64)
         score = _scores(q, c, _survivors(q, c, other, k))
         last = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(q), 1), -np.inf)
         i, j = np.nonzero((score >= last) & (score > -np.inf))
         value = score[i, j]
-        order = np.lexsort((c_id[j], -value, i))
+        order = np.lexsort((place[j], -value, i))
         i, j, value = i[order], j[order], value[order]
         first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return pd.DataFrame({"query_id": q_id[i[first]], "vec_id": c_id[j[first]], "score": value[first].astype(np.int64)})
+        return _found(q_row[i[first]], q_id[i[first]], c_id, j[first], value[first].astype(np.int64))
 
     return best
 
 
+def _found(query: np.ndarray, query_id: np.ndarray, ids: pd.Series, at: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query": query, "query_id": pd.array(query_id, dtype="Int64"), "vec_id": ids.iloc[at].array, "score": score})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """The ``k`` rows of ``vectors`` (vec_id, v) of highest inner product for each row of ``queries`` (vec_id, v), its own vec_id left out.
+    """The ``k`` rows of ``vectors`` (vec_id, v) of highest inner product for each row of ``queries`` (vec_id, v), rows of its own vec_id left out.
 
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, and a query with fewer candidates gets all.  Only
-    vectors as long as the query are its candidates.  Rows without a vec_id take no part; rows that repeat a vec_id count once,
-    the greatest vector of them standing.  Other columns, whatever their names, are not read and not returned.  Empty tables give no rows.
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, rows without one last, and a query with fewer candidates gets all.
+    Rows that repeat a vec_id are candidates each, and queries each.  Only vectors as long as the query are its candidates.  Other columns, whatever
+    their names, are not read and not returned.  Empty tables give no rows.
     """
-    one = lambda df: df.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("_n", F.size("v"))
-    vectors, queries = stage(one(vectors), "vectors"), stage(one(queries), "queries")
+    by_id = lambda df, side: df.select("vec_id", "v", F.coalesce("vec_id", F.lit(side)).alias("_own"), F.lit(True).alias("_asks"))
+    none, nobody = -(1 << 62), -(1 << 62) - 1  # a query and a candidate without a vec_id are not one row
+    return _searched(stage(_numbered(by_id(vectors, none)), "vectors"), stage(_numbered(by_id(queries, nobody)), "queries"), k, query_block, candidate_block)
+
+
+def search_within(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """As ``search``, for the rows of ``vectors`` that ``is_query`` names, against every row but the query's own, even those of its vec_id."""
+    rows = stage(_numbered(vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("_asks"))).withColumn("_own", F.col("_row")), "vectors")
+    return _searched(rows, rows.where("_asks"), k, query_block, candidate_block)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_row": F.monotonically_increasing_id(), "_n": F.size("v")})
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, k: int, query_block: int, candidate_block: int) -> DataFrame:
     n_v, n_q = max(1, vectors.count()), max(1, queries.count())
     rows, columns = math.ceil(n_q / query_block), math.ceil(n_v / candidate_block)
-    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    left = queries.select("vec_id", "v", "_n", block(rows, 5).alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
-    right = vectors.select("vec_id", "v", "_n", block(columns, 6).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n)).cast("int")
+    kept = ["_row", "_own", "vec_id", "v", "_n"]
+    left = queries.select(*kept, block(rows, 5).alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
+    right = vectors.select(*kept, block(columns, 6).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
     keys = ["_n", "_r", "_c"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(k), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(k), "query long, query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
-    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+    return search_within(integer_vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
 OP3_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.row <> c.row WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 20
 """

@@ -204,6 +204,21 @@ def test_topk_is_exact(spark, dim, scale):
     assert set(got) == set(range(0, 260, 20))
 
 
+@pytest.mark.parametrize("k", [3, 20])
+def test_rows_that_repeat_an_id_are_candidates_each(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice([20, 40, 1, 2, 3, 4, None]), [float(rng.randrange(-3, 4)) for _ in range(20)]) for _ in range(60)]
+    df = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"_row": F.lit(1), "_own": F.lit(2), "v": F.lit("clash")}))
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            best = sorted((-64 * 64 * sum(a * b for a, b in zip(x, y, strict=True)), math.inf if c is None else c) for j, (c, y) in enumerate(rows) if j != i)[:k]
+            want += [(q, n + 1, None if c == math.inf else c, -s) for n, (s, c) in enumerate(best)]
+    for blocks in ((1024, 4096), (4, 7)):
+        got = topk.search_within(df, F.col("vec_id") % 20 == 0, k, *blocks).collect()
+        assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, ((q, n, c, int(s)) for q, n, c, s in want)))
+
+
 def test_topk_of_no_rows(spark):
     df = topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.search(df, df).count() == 0
