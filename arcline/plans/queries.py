@@ -517,15 +517,18 @@ _RESULT = """CASE o_orderkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'OUT' WHEN 2 THEN
 CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS INTEGER) AS n_decisions, CAST(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_artifacts FROM orders""")
 def frontend_result(spark, d):
     """Jobs with and without bounces, decisions and artifacts, flattened for clients."""
+    seen = jobs.frontend_view(_frontend_jobs(spark, d))
+    return seen.select("job_id", "decision", "is_in", F.size("bounces").alias("n_bounces"), F.size("decisions").alias("n_decisions"), F.size("artifacts").alias("n_artifacts"))
+
+
+def _frontend_jobs(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     decision = F.struct(F.expr(_RESULT).alias("decision"), F.lit("why").alias("decision_reason"))
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    made = M.table(spark, d, "orders").select(
+    return M.table(spark, d, "orders").select(
         k.alias("job_id"), F.col("o_custkey").alias("session_id"), *none("status", "result", "failure_type", "failure_reason", "video_readable", "recording_accessible", "timing", "primary_bounce", "error"), F.lit(0.5).alias("confidence"),
         F.when(k % 5 != 0, F.array(F.lit(1.0), F.lit(2.0))).alias("bounces"), F.when(k % 4 != 3, F.struct(decision.alias("primary_decision"), F.array(decision).alias("decisions"))).alias("inout"),
         F.when(k % 6 != 0, F.create_map(F.lit("clip"), F.lit("/files/clip"))).alias("artifacts"))
-    seen = jobs.frontend_view(made)
-    return seen.select("job_id", "decision", "is_in", F.size("bounces").alias("n_bounces"), F.size("decisions").alias("n_decisions"), F.size("artifacts").alias("n_artifacts"))
 
 
 @query(f"""WITH o AS (SELECT *, {_RESULT} AS decision, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), r AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN day || 'T09:15:00' WHEN o_orderkey % 3 = 1 THEN day || 'T00:00:00' WHEN o_custkey % 2 = 0 THEN '2020-02-02T02:02:02' ELSE '2030-01-01T00:00:00' END AS stamp FROM o WHERE o_orderstatus = 'F')
@@ -685,3 +688,44 @@ def job_result(spark, d):
     return made.select(
         "clip_id", "clip.end_sec", "clip.frame_count", "tracking.missing", F.size("inout_input.bounces").alias("n_bounces"), first["frame_index"].alias("first_frame"), rounded(first["recording_time_sec"], 4).alias("first_sec"), "inout_input.court_config", "inout.inout_status",
         F.to_json("artifacts").alias("artifacts"))
+
+
+@query(f"""SELECT o_orderkey AS job_id, o_custkey AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN '[]' ELSE '[1.0,2.0]' END AS bounces, CASE WHEN o_orderkey % 4 = 3 THEN '[]' ELSE '[{{"decision":' || coalesce('"' || {_RESULT} || '"', 'null') || ',"decision_reason":"why"}}]' END AS decisions,
+CASE WHEN o_orderkey % 4 <> 3 THEN 'why' END AS decision_reason, CASE WHEN o_orderkey % 6 = 0 THEN '{{}}' ELSE '{{"clip":"/files/clip"}}' END AS artifacts, 0.5::DOUBLE AS confidence FROM orders""")
+def frontend_content(spark, d):
+    """What clients read of jobs: lists and maps with all that is in them, empty where the job has none."""
+    seen = jobs.frontend_view(_frontend_jobs(spark, d))
+    return seen.select("job_id", "session_id", X.as_json(F.col("bounces")).alias("bounces"), X.as_json(F.col("decisions")).alias("decisions"), "primary_decision.decision_reason", X.as_json(F.col("artifacts")).alias("artifacts"), "confidence")
+
+
+def _border(edge: str, along: str) -> str:
+    """A point on one of the four edges of a frame of 1000 by 800, and how far it is along the border, clockwise from the left upper corner."""
+    x, y = f"CAST(50 + {along} % 900 AS DOUBLE)", f"CAST(50 + {along} % 700 AS DOUBLE)"
+    return f"""CASE {edge} WHEN 0 THEN {{'x': {x}, 'y': 0::DOUBLE, 'at': {x}}} WHEN 1 THEN {{'x': 999::DOUBLE, 'y': {y}, 'at': 999 + {y}}} WHEN 2 THEN {{'x': {x}, 'y': 799::DOUBLE, 'at': 2797 - {x}}} ELSE {{'x': 0::DOUBLE, 'y': {y}, 'at': 3596 - {y}}} END"""
+
+
+_FRAME = "[{'x': 0::DOUBLE, 'y': 0::DOUBLE, 'at': 0::DOUBLE}, {'x': 999, 'y': 0, 'at': 999}, {'x': 999, 'y': 799, 'at': 1798}, {'x': 0, 'y': 799, 'at': 2797}]"
+_PASSED = "list_filter(frame, lambda q: (q.at > {s}.at AND q.at < {e}.at + CASE WHEN {e}.at < {s}.at THEN 3596 ELSE 0 END) OR (q.at + 3596 > {s}.at AND q.at + 3596 < {e}.at + CASE WHEN {e}.at < {s}.at THEN 3596 ELSE 0 END))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_FRAME} AS frame, {_border('p_partkey % 4', '(p_partkey * 7)')} AS s, {_border('floor(p_partkey / 4) % 4', '(p_partkey * 19 + 3)')} AS e FROM part),
+a AS (SELECT p_partkey, list_concat(list_concat([s], {_PASSED.format(s='s', e='e')}), [e]) AS one, list_reverse(list_concat(list_concat([e], {_PASSED.format(s='e', e='s')}), [s])) AS two FROM p),
+r AS (SELECT p_partkey, list_append(list_transform(CASE WHEN list_sum(list_transform(one, lambda q: q.y)) / len(one) <= list_sum(list_transform(two, lambda q: q.y)) / len(two) THEN one ELSE two END, lambda q: {{'x': q.x, 'y': q.y}}), {{'x': 500::DOUBLE, 'y': 400::DOUBLE}}) AS ring FROM a)
+SELECT p_partkey, CAST(len(ring) AS INTEGER) AS n_vertices, {sql_round('abs(list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y))) / 2', 1)} AS area,
+    array_to_string(list_transform(ring, lambda q: CAST(CAST(q.x AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(q.y AS INTEGER) AS VARCHAR)), ', ') AS ring FROM r""")
+def view2_layouts(spark, d):
+    """Two-line records whose border ends lie on any two of the frame's edges, one edge twice too; arcs that pass the left upper corner among them."""
+    k = F.col("p_partkey")
+
+    def border(edge: Column, along: Column) -> Column:
+        x, y = (50 + along % 900).cast("double"), (50 + along % 700).cast("double")
+        at = lambda a, b: F.array(a, b)
+        return F.when(edge == 0, at(x, F.lit(0.0))).when(edge == 1, at(F.lit(999.0), y)).when(edge == 2, at(x, F.lit(799.0))).otherwise(at(F.lit(0.0), y))
+
+    none = F.lit(None).cast("array<array<double>>")
+    inner = F.array(F.lit(480.0), F.lit(390.0))
+    line = lambda name, end: F.struct(F.lit(name).alias("name"), F.array(inner, end).alias("points"), none.alias("extended_endpoints"), none.alias("segment_endpoints"))
+    r = _record(width=F.lit(1000.0), height=F.lit(800.0), vertex_point=F.array(F.lit(500.0), F.lit(400.0)), lines=F.array(line("side_to_vertex", border(F.floor(k / 4) % 4, k * 19 + 3)), line("top_to_vertex", border(k % 4, k * 7))))
+    made = M.table(spark, d, "part").withColumn("r", r).withColumn("ring", courts.two_line_polygon(F.col("r"), F.lit(1000.0), F.lit(800.0))["polygon"])
+    said = F.array_join(F.transform("ring", lambda q: F.concat_ws(" ", q["x"].cast("int"), q["y"].cast("int"))), ", ")
+    return made.select("p_partkey", F.size("ring").alias("n_vertices"), rounded(G.ring_area(F.col("ring")), 1).alias("area"), said.alias("ring"))
