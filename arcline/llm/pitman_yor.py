@@ -222,12 +222,10 @@ def pair_requests(packed: DataFrame, counted: DataFrame, class_words: np.ndarray
         total = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has a token at least, its end
         base = np.log10((c + 1) / (n_train + n_types + 1))
         rows = [(chunk, -1, _pack((ids, train, lengths, total((c > 0).astype(np.int64)), total(base), total(rare), place[back])))]
-        edges = np.searchsorted(cell[order], np.arange(g * g + 1))
+        held, begin = np.unique(cell[order], return_index=True)  # of all cells, whose number grows with the corpus, those that this chunk has pairs of
         kind = np.uint32 if counts.max(initial=0) < 2**32 else np.uint64
-        for b in range(g * g):
-            at = order[edges[b] : edges[b + 1]]
-            if len(at):
-                rows.append((chunk, b, _pack((np.diff(every[at], prepend=0), counts[at].astype(kind)))))
+        for b, at in zip(held, np.split(order, begin[1:]), strict=True):
+            rows.append((chunk, int(b), _pack((np.diff(every[at], prepend=0), counts[at].astype(kind)))))
         return pd.DataFrame(rows, columns=["chunk", "cell", "body"])
 
     left = packed.select("chunk", F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("begin"), "body")
