@@ -12,6 +12,7 @@ from arcline.functions import text as X
 from arcline.functions.numeric import rounded
 from arcline.operators import courts, jobs, markers, overlay, records, tracks
 from arcline.plans import mapping as M
+from arcline.plans.judgement import judge_clips
 from arcline.plans.mapping import sql_judge, sql_round
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -729,3 +730,29 @@ def view2_layouts(spark, d):
     made = M.table(spark, d, "part").withColumn("r", r).withColumn("ring", courts.two_line_polygon(F.col("r"), F.lit(1000.0), F.lit(800.0))["polygon"])
     said = F.array_join(F.transform("ring", lambda q: F.concat_ws(" ", q["x"].cast("int"), q["y"].cast("int"))), ", ")
     return made.select("p_partkey", F.size("ring").alias("n_vertices"), rounded(G.ring_area(F.col("ring")), 1).alias("area"), said.alias("ring"))
+
+
+_AFTER_TRACK = M.SQL_BOUNCES.removeprefix(M.SQL_TRACK)
+
+
+@query(f"""WITH RECURSIVE {_SPINE.removeprefix('WITH ')}, ev AS (SELECT clip_id, frame_index, x, y FROM tr){_AFTER_TRACK}, {_PRIMARY}, {M.SQL_COURT},
+{sql_judge(f"SELECT clip_id * 1000000 + frame_index AS key, {sql_round('x', 2)} AS x, {sql_round('y', 2)} AS y FROM b WHERE clip_id % 2 = 0")},
+verdict AS (SELECT key // 1000000 AS clip_id, CAST(key % 1000000 AS INTEGER) AS frame_index, {_VERDICT} FROM far), decided AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS decision_count FROM verdict QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) = 1),
+held AS (SELECT clip_id, count(*) AS frames, count(x) AS detected FROM tr GROUP BY clip_id)
+SELECT held.clip_id, frames, detected, coalesce(f.n, 0) AS bounce_count, f.frame_index AS primary_frame, {sql_round('coalesce(least(greatest(f.score / 150, 0), 1), 0)', 6)} AS confidence, decided.frame_index AS decided_frame, decision, decision_reason, boundary_distance_px,
+    CASE WHEN held.clip_id % 2 = 0 THEN CASE WHEN decision IS NULL THEN 'no_bounce' ELSE 'done' END END AS inout_status,
+    CASE WHEN f.n IS NULL THEN 'detection_unavailable' WHEN held.clip_id % 2 = 1 THEN 'line_config_unavailable' END AS failure_type, CASE WHEN held.clip_id % 10 = 3 THEN 'unreadable_document' END AS refused
+FROM held LEFT JOIN f ON f.clip_id = held.clip_id AND f.k = 1 LEFT JOIN decided ON decided.clip_id = held.clip_id""")
+def judged_clips(spark, d):
+    """The whole plan from boxes to summaries: even clips have a court, of the others some have a document that can't be read."""
+    c = F.col("clip_id")
+    clips = M.clips(spark, d).withColumn("clip_start_sec", F.lit(0.0))
+    court = '{"mode": "polygon", "court_polygon": [' + ", ".join(f"[{x}, {y}]" for x, y in M.COURT) + '], "line_tolerance_px": 3}'
+    none = F.lit(None).cast("double")
+    configs = clips.where((c % 2 == 0) | (c % 10 == 3)).select("clip_id", F.when(c % 2 == 0, court).otherwise('{"mode": ').alias("document"), none.alias("target_width"), none.alias("target_height"), F.lit(None).cast("string").alias("config_image"), F.lit(0).alias("config_index"))
+    made = judge_clips(M.detections(spark, d), clips, configs)
+    refused = made.refused.where("stage = 'config'").select("clip_id", "refused")
+    joined = made.summary.join(refused, "clip_id", "left")
+    return _rounded(joined.select(
+        "clip_id", "frames", "detected", "bounce_count", F.col("primary_bounce.frame_index").alias("primary_frame"), "confidence", F.col("primary_decision.frame_index").alias("decided_frame"), "primary_decision.decision", "primary_decision.decision_reason",
+        "primary_decision.boundary_distance_px", "inout_status", "failure_type", "refused"), 6, "confidence")
