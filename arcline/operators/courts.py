@@ -71,7 +71,7 @@ def record_refusal(r: Column) -> Column:
     """Why a line record makes no polygon, but for polygons that turn out too small."""
     lines, side = r["lines"], F.lower(r["view_side"])
     two, one = (r["view"] == "view2") | (r["mode"] == "view2"), (r["view"] == "view3") | (r["mode"] == "view3")
-    no_ends = lambda line: line_ends(line)["a"].isNull() | line_ends(line)["b"].isNull() | line_ends(line).isNull()
+    no_ends = lambda line: G.let(line_ends(line), lambda e: e["a"].isNull() | e["b"].isNull())
     top, low = _named(lines, "top_to_vertex", 0), _named(lines, "side_to_vertex", 1)
     inside = F.coalesce(r["inside_point"], r["roles"]["inside_marker"]["center"])
     only = F.get(lines, F.lit(0))
@@ -81,7 +81,7 @@ def record_refusal(r: Column) -> Column:
         (is_two & (top.isNull() | low.isNull()), "view2_lines_missing"), (is_two & (no_ends(top) | no_ends(low)), "line_needs_two_ends"),
         (is_one & (F.coalesce(F.size(lines), F.lit(0)) != 1), "view3_needs_one_line"), (is_one & no_ends(only), "line_needs_two_ends"),
         (is_one & inside.isNotNull() & (F.size(inside) != 2), "bad_point"),
-        (is_one & inside.isNull() & ~F.coalesce(side.isin("left", "right"), F.lit(False)), "view3_needs_a_side"), (is_one & (line_ends(only)["a"] == line_ends(only)["b"]), "line_points_identical"))
+        (is_one & inside.isNull() & ~F.coalesce(side.isin("left", "right"), F.lit(False)), "view3_needs_a_side"), (is_one & G.let(line_ends(only), lambda e: e["a"] == e["b"]), "line_points_identical"))
 
 
 def ready_refusal(r: Column) -> Column:
