@@ -11,11 +11,15 @@
 
    so with gap(a) = (up + down) * |d(a)| - (down - up) * |a| two classes are linked exactly if gap(a) + gap(b) <= 2 * (up + down) * |d(a) & d(b)|.
 4. Pairs with gap(a) + gap(b) <= 0 are linked whatever they share: they are counted by running sums over the cluster's gaps, without a
-   pair.  Others have to share differences: within a block they are counted at once; across blocks only the differences of classes that can have such
-   a partner travel, to strips.  A strip holds one block and streams the others past it, and gives a row for each of its classes.
-5. Blocks give trees, and only links between different trees are passed on; their components are the final classes.
-
-Rows and sets that are shuffled therefore grow with the cluster; only differences of classes far from the centre go to several strips.
+   pair.  Others have to share differences, and by the smallest gap that a partner can have at least ``need`` of them: within a block they are counted
+   at once; across blocks only the differences of classes that have as many travel.
+5. In a large cluster a class goes where its rarest differences lead it: of m that others have too, one of the first m - need + 1 is the first that it shares
+   with a partner.  A key that too many classes have is refined by the next shared one, among the first m - need + 2, and so on, while fewer bytes
+   travel so.  A pair counts under the first differences that both have, so once.  Bands of gaps meet each other one by one, for the need of a pair hangs on both
+   gaps.  What stays too large is dealt to strips: a strip holds one part and streams the others past it.
+6. Blocks give trees, and only links between different trees are passed on; their components are the final classes.
+
+Rows and sets that are shuffled therefore grow with the cluster, but for keys that no refinement makes small.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.llm.common import BINARY, LONG, Words, constants, key_filter, list_array, read, splitmix, stage, struct, text_slices, tidy, window_hashes, with_maybe
+from arcline.llm.common import BINARY, LONG, Words, constants, key_filter, list_array, looked_up, read, splitmix, stage, struct, text_slices, tidy, window_hashes, with_maybe
 from arcline.llm.components import components
 
 NGRAM, SIMILARITY, RECALL = 5, (4, 5), 0.995
 #: A block has about so many classes, and so many bytes of n-grams besides one set, at most.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Keys have so many shared differences at most, and a row of them is about so many bytes.
+LEVELS, KEY_BYTES = 8, 64
 
 
 def bands_and_rows(similarity: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -171,12 +177,12 @@ def _block(similarity: tuple[int, int]):
         counted = linked if one else linked & (both > 0)  # what running sums over the cluster count is left to them
         return pd.DataFrame({
             "class_key": keys, "component": pdf["component"], "_blocks": pdf["_blocks"], "own_block": pdf["own_block"], "copies": pdf["copies"], "gap": gap, "root": keys[_trees(linked)],
-            "links": counted @ pdf["copies"].to_numpy(), "apart": [None if one else d.tobytes() for d in apart]})
+            "links": counted @ pdf["copies"].to_numpy(), "apart": [None if one else d.view(np.int64) for d in apart]})
 
     return run
 
 
-_MEMBER = {"class_key": "binary", "component": "binary", "_blocks": "int", "own_block": "int", "copies": "long", "gap": "long", "root": "binary", "links": "long", "apart": "binary"}
+_MEMBER = {"class_key": "binary", "component": "binary", "_blocks": "int", "own_block": "int", "copies": "long", "gap": "long", "root": "binary", "links": "long", "apart": "array<long>"}
 
 
 def _trees(linked: np.ndarray) -> np.ndarray:
@@ -192,68 +198,82 @@ def _trees(linked: np.ndarray) -> np.ndarray:
 
 
 def _strips(similarity: tuple[int, int]):
-    """Streams (component, strip, other, class_key, own_block, copies, gap, root, apart), sorted by the first three: a strip's own classes, then all others.
+    """Streams what ``_dealt`` gives, sorted by key, strip, part and other: the classes that a strip holds, then the others of its part.
 
-    Gives (a, b, links): the links of each of a strip's classes a, b null; and links between trees a and b, a forest of them for each strip.
+    Gives (a, b, links): the links of classes a, b null; and links between trees a and b, a forest of them for each strip.
     """
     up, down = similarity
+    at_a_time = ["key", "strip", "part"]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pd.DataFrame]]:
         for batch in batches:
             pdf = batch.to_pandas()
-            for key, part in pdf.groupby(["component", "strip", "other"], sort=False):
-                for lo in range(0, len(part), 1024):
-                    yield key, part.iloc[lo : lo + 1024]
+            for key, part in pdf.groupby([*at_a_time, "other"], sort=False):
+                yield key, part.drop_duplicates("class_key")
+
+    def links_of(classes: pd.DataFrame, links: np.ndarray, ties: list[tuple[bytes, bytes]] = ()) -> pa.RecordBatch:  # type: ignore[assignment]
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([
+            pa.array([*classes["class_key"].iloc[some], *(k for k, _ in ties)], pa.binary()), pa.array([None] * len(some) + [v for _, v in ties], pa.binary()),
+            pa.array([*links[some], *[0] * len(ties)], pa.int64())], names=["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, state = None, [], None
 
-        def settled() -> Iterator[pa.RecordBatch]:
-            if state is not None:
-                own, links, forest = state[0], state[2], state[3]
-                ties = [(k, v) for k, v in forest.items() if k != v]
-                yield pa.RecordBatch.from_arrays([pa.array([*own["class_key"], *(k for k, _ in ties)], pa.binary()), pa.array([None] * len(own) + [v for _, v in ties], pa.binary()), pa.array([*links, *[0] * len(ties)], pa.int64())], names=["a", "b", "links"])
-
         def opened() -> tuple:
             own = pd.concat(held).drop_duplicates("class_key").reset_index(drop=True)
-            return own, _Sorted([np.frombuffer(x, np.uint64) for x in own["apart"]]), np.zeros(len(own), np.int64), {}
-
-        for (component, strip, other), part in rows_of(batches):
-            if (component, strip) != at:
-                if held:  # a strip that no other class has met
-                    state = opened()
-                    for k in held:
-                        _meet(state, k, up, down)
-                yield from settled()
-                at, held, state = (component, strip), [], None
+            state = own, *_lists(own), np.zeros(len(own), np.int64), {}
+            if own["same"].iloc[0]:
+                for part in held:
+                    _meet(state, part, up, down)
+            return state
+
+        def settled() -> pa.RecordBatch:
+            own, _, _, links, forest = state
+            return links_of(own, links, [(k, v) for k, v in forest.items() if k != v])
+
+        for (*key, other), part in rows_of(batches):
+            if key != at:
+                if held:
+                    state = state or opened()
+                    yield settled()
+                at, held, state = key, [], None
             if not other:
                 held.append(part)
-                continue
-            if state is None:
-                state = opened()
-                for k in held:
-                    _meet(state, k, up, down)
-                held = []
-            _meet(state, part, up, down)
+            elif held:
+                state = state or opened()
+                theirs = _meet(state, part, up, down)
+                if not part["same"].iloc[0]:
+                    yield links_of(part, theirs)
         if held:
-            state = opened()
-            for k in held:
-                _meet(state, k, up, down)
-        yield from settled()
+            state = state or opened()
+            yield settled()
 
     return run
 
 
-def _meet(state: tuple, part: pd.DataFrame, up: int, down: int) -> None:
-    """Count the links of a strip's classes with those of ``part`` that neither blocks nor running sums have counted."""
-    own, held, links, forest = state
-    part = part.drop_duplicates("class_key")
-    both = own["gap"].to_numpy()[:, None] + part["gap"].to_numpy()[None, :]
-    linked = (both > 0) & (own["own_block"].to_numpy()[:, None] != part["own_block"].to_numpy()[None, :])
-    linked &= both <= 2 * (up + down) * _shared(held, _Sorted([np.frombuffer(x, np.uint64) for x in part["apart"]]))
+def _lists(part: pd.DataFrame) -> tuple[_Sorted, _Sorted]:
+    """The classes' differences, and those of them up to the last of the key."""
+    return _Sorted([np.asarray(d) for d in part["d"]]), _Sorted([np.asarray(d[: k + 1]) for d, k in zip(part["d"], part["cut"], strict=True)])
+
+
+def _meet(state: tuple, part: pd.DataFrame, up: int, down: int) -> np.ndarray:
+    """Count the links of a strip's classes with those of ``part`` that neither blocks, running sums nor other keys have counted; and give those of ``part``."""
+    own, held, heads, links, forest = state
+    left, right = own["gap"].to_numpy()[:, None], part["gap"].to_numpy()[None, :]
+    every, upto = _lists(part)
+    shared = _shared(held, every)
+    linked = (left + right > 0) & (own["own_block"].to_numpy()[:, None] != part["own_block"].to_numpy()[None, :]) & (left + right <= 2 * (up + down) * shared)
+    level = part["level"].iloc[0]
+    if level:
+        linked &= _shared(heads, upto) == level
+    if part["alone"].iloc[0]:
+        linked &= shared == level
     links += linked @ part["copies"].to_numpy()
-    left, right = own["root"].to_numpy(), part["root"].to_numpy()
-    (a, a_of), (b, b_of) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+    theirs = own["copies"].to_numpy() @ linked
+    if part["same"].iloc[0]:
+        linked &= left >= right  # the other strip has the rest
+    (a, a_of), (b, b_of) = np.unique(own["root"].to_numpy(), return_inverse=True), np.unique(part["root"].to_numpy(), return_inverse=True)
 
     def top(x: bytes) -> bytes:
         while forest.setdefault(x, x) != x:
@@ -261,10 +281,11 @@ def _meet(state: tuple, part: pd.DataFrame, up: int, down: int) -> None:
             x = forest[x]
         return x
 
-    i, j = np.nonzero(linked & (own["gap"].to_numpy()[:, None] >= part["gap"].to_numpy()[None, :]))  # the other strip has the rest
+    i, j = np.nonzero(linked)
     for code in np.unique(a_of.ravel()[i] * len(b) + b_of.ravel()[j]):
         x, y = sorted((top(a[code // len(b)]), top(b[code % len(b)])))
         forest[y] = x
+    return theirs
 
 
 @tidy
@@ -320,29 +341,121 @@ def join(docs: DataFrame, *, text: str = "text", ngram: int = NGRAM, similarity:
 
 def _across(members: DataFrame, similarity: tuple[int, int], block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(class_key, links) of the classes of clusters of several blocks, and links between their trees (a, b)."""
-    up, down = similarity
+    unit = 2 * sum(similarity)
     by_gap = stage(members.groupBy("component", "gap").agg(F.sum("copies").alias("n")), "gaps")  # as many rows as there are gaps, not classes
     asked = by_gap.select("component", F.col("gap").alias("at"), "n", F.lit(0).alias("asks")).union(by_gap.select("component", -F.col("gap"), F.lit(0).cast("long"), F.lit(1)))
     upto = Window.partitionBy("component").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    sums = stage(asked.withColumn("sure", F.sum("n").over(upto)).where("asks = 1").select("component", (-F.col("at")).alias("gap"), "sure"), "sure")
-    ends = stage(members.groupBy("component").agg(F.max("gap").alias("_most"), F.min(F.struct("gap", "class_key", "root")).alias("_best")), "ends")
+    above = Window.partitionBy("component").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    least = lambda c: F.last(F.when((F.col("asks") == 0) & c, F.col("at")), ignorenulls=True).over(above)
+    sums = asked.withColumn("sure", F.sum("n").over(upto)).withColumn("far", least(F.col("at") > 0)).withColumn("near", least(F.col("at") <= 0))
+    sums = stage(sums.where("asks = 1").select("component", (-F.col("at")).alias("gap"), "sure", "far", "near"), "sure")
+    best = stage(members.groupBy("component").agg(F.min(F.struct("gap", "class_key", "root")).alias("_best")), "ends")
 
-    placed = members.join(ends, "component")
+    placed = members.join(best, "component")
     hung = placed.where(F.col("gap") + F.col("_best.gap") <= 0).select(F.col("root").alias("a"), F.col("_best.root").alias("b")).where("a <> b").distinct()
-    some = placed.where((F.col("gap") > -F.col("_most")) & (F.length("apart") > 0)).withColumn("root", F.when(F.col("gap") + F.col("_best.gap") <= 0, F.col("_best.root")).otherwise(F.col("root")))
-    some = some.drop("_most", "_best", "_blocks", "links")
-    some = stage(some, "apart")
-    strips = some.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / (4 * block)), F.ceil(F.sum(F.length("apart")) / block_bytes)).cast("int").alias("_strips"))
-    dealt = some.join(stage(strips, "strips"), "component").withColumn("_own", F.pmod(F.xxhash64(F.lit(3), "class_key"), F.col("_strips")))
-    dealt = dealt.select("component", F.explode(F.sequence(F.lit(0), F.col("_strips") - 1)).alias("strip"), "_own", "class_key", "own_block", "copies", "gap", "root", "apart")
-    dealt = dealt.withColumn("other", (F.col("strip") != F.col("_own")).cast("int")).drop("_own").repartition("component", "strip").sortWithinPartitions("component", "strip", "other")
-    found = stage(dealt.mapInArrow(_strips(similarity), "a binary, b binary, links long"), "found")
+    some = placed.withColumn("root", F.when(F.col("gap") + F.col("_best.gap") <= 0, F.col("_best.root")).otherwise(F.col("root"))).join(sums, ["component", "gap"])
+    some = some.where(F.ceil((F.col("gap") + F.least("far", "near")) / unit) <= F.size("apart"))  # those that can share as much as a partner needs
+    some = stage(some.select("component", "class_key", "own_block", "copies", "gap", "root", "apart", "far", "near"), "apart")
+    found = _dealt(some, unit, block, block_bytes).mapInArrow(_strips(similarity), "a binary, b binary, links long")
+    found = stage(found.groupBy("a", "b").agg(F.sum("links").alias("links")), "found")
 
     sure = members.join(sums, ["component", "gap"]).select("class_key", (F.col("links") + F.col("sure") - F.when(F.col("gap") <= 0, F.col("copies")).otherwise(0)).alias("links"))
     links = sure.union(found.where("b is null").select(F.col("a").alias("class_key"), "links")).groupBy("class_key").agg(F.sum("links").alias("links"))
     return links, hung.union(found.where("b is not null").select("a", "b"))
 
 
+def _dealt(some: DataFrame, unit: int, block: int, block_bytes: int) -> DataFrame:
+    """Classes by key, strip and part, each with the differences that it may share; a small cluster has one key, a large one those of ``_keys``."""
+    sizes = some.groupBy("component").agg(F.count("*").alias("n"), F.sum(8 * F.size("apart")).alias("bytes"))
+    sizes = stage(sizes.select("component", ((F.col("n") <= 4 * block) & (F.col("bytes") <= block_bytes)).alias("_small")), "strips")
+    what = ["class_key", "own_block", "copies", "gap", "root", "d", "key", "same", "level", "cut", "alone", "holds", "strips", "parts"]
+    small = some.join(sizes.where("_small"), "component").withColumnRenamed("apart", "d").withColumn("key", F.xxhash64("component"))
+    small = small.selectExpr(*what[:7], "true AS same", "0 AS level", "-1 AS cut", "false AS alone", "true AS holds", "1 AS strips", "1 AS parts")
+    dealt = small
+    large = sizes.where("NOT _small")
+    if large.limit(1).count():
+        wide = stage(some.join(large.drop("_small"), "component"), "wide")
+        keys, lists = _keys(wide, unit, block, block_bytes)
+        dealt = small.union(keys.join(lists, "class_key").join(wide.select("class_key", "own_block", "copies", "gap", "root"), "class_key").select(*what))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(3), "class_key"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.withColumn("_own", own("strips")).withColumn("strip", F.explode(F.when(F.col("same") | ~F.col("holds"), every("strips")).otherwise(F.array("_own"))))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("holds"), every("parts")).otherwise(F.array(own("parts")))))
+    dealt = dealt.withColumn("other", (~F.col("holds") | (F.col("strip") != F.col("_own"))).cast("int")).drop("_own", "strips", "parts", "holds")
+    order = ["key", "strip", "part"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "other")
+
+
+def _band(gap: Column) -> Column:
+    """0 for gaps up to 0, then two bands for each doubling from 32 on."""
+    return F.when(gap <= 0, 0).otherwise(1 + F.floor(2 * F.log2(F.greatest(gap, F.lit(32)) / 32))).cast("int")
+
+
+def _keys(some: DataFrame, unit: int, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each key of each class of large clusters, and (class_key, d), a class's differences that others have too, rare ones first.
+
+    A key is two bands of gaps and the first ``level`` differences that its classes may share, the last at ``cut`` in d; ``alone``: those that share no other.
+    In a key of one band (``same``) all meet all; of two bands one, ``holds``, is held in strips and the other streamed past it in parts.
+    """
+    held = stage(some.select("component", "class_key", (F.col("gap") > 0).alias("_far"), F.explode("apart").alias("e")), "elements")
+    common = held.groupBy("component", "e").agg(F.count("*").alias("n"), F.max("_far").alias("_any")).where("n > 1 AND _any").select("component", "e", "n")
+    met = looked_up(held.select("component", "class_key", "e"), stage(common, "common"), ["component", "e"])
+    rarest = F.transform(F.sort_array(F.collect_list(F.struct("n", "e"))), lambda x: x["e"])
+    lists = stage(met.groupBy("class_key").agg(rarest.alias("d")), "lists")
+
+    own = stage(some.select("component", "class_key", "gap", "near", _band(F.col("gap")).alias("band")), "bands")
+    bands = own.groupBy("component", "band").agg(F.min("gap").alias("least"), F.max("gap").alias("most"))
+    bands = stage(bands.groupBy("component").agg(F.collect_list(F.struct("band", "least", "most")).alias("bands")), "bands")  # some tens at most
+    partner = lambda x: F.when(x["band"] == 0, F.col("near")).otherwise(F.greatest(x["least"], 1 - F.col("gap")))
+    kinds = F.transform(F.filter("bands", lambda x: (x["band"] + F.col("band") > 0) & (x["most"] > -F.col("gap"))), lambda x: F.struct(x["band"].alias("with"), partner(x).alias("partner")))
+    keys = looked_up(own, bands, ["component"]).select("component", "class_key", "gap", "band", F.inline(kinds)).join(lists.select("class_key", F.size("d").alias("m")), "class_key")
+    keys = keys.where("partner IS NOT NULL").select(
+        "class_key", (F.col("band") == F.col("with")).alias("same"), (F.col("band") > F.col("with")).alias("high"), "m", F.ceil((F.col("gap") + F.col("partner")) / unit).cast("int").alias("need"),
+        F.xxhash64("component", F.least("band", "with"), F.greatest("band", "with")).alias("key"), F.lit(0).alias("level"), F.lit(-1).alias("cut"), F.lit(False).alias("alone")).where("need <= m")
+    settled, columns = [], keys.columns
+    plan = ["key", "low_holds", "strips", "parts"]
+    for level in range(LEVELS + 1):
+        keys = stage(keys, "keys")
+        span = F.greatest(F.lit(0), F.least(F.col("m"), F.col("m") - F.col("need") + level + 1) - F.col("cut") - 1)
+        lone = F.col("need") <= level
+        totals = stage(_totals(keys.withColumn("_rows", span + lone.cast("int")), block, block_bytes), "totals")
+        more = (F.col("strips") > 1) & ~F.col("alone") & (KEY_BYTES * F.col("new_rows") < F.col("cost"))
+        wide = stage(totals.where(more & F.lit(level < LEVELS)).select(F.col("key").alias("parent"), F.col("cost").alias("_cost")), "refinable")
+        if not wide.limit(1).count():
+            settled.append(keys.join(totals.select(*plan), "key"))
+            break
+        one = lambda key, cut, level, alone: F.struct(key.alias("key"), cut.cast("int").alias("cut"), F.lit(level).alias("level"), F.lit(alone).alias("alone"))
+        new = F.transform(F.slice("d", F.col("cut") + 2, span), lambda e, i: one(F.xxhash64("parent", e), F.col("cut") + 1 + i, level + 1, False))  # noqa: B023
+        last = F.filter(F.array(one(F.xxhash64("parent", F.lit("alone")), F.col("cut"), level, True)), lambda _: F.col("need") <= level)  # noqa: B023
+        children = keys.drop("level", "alone").withColumnRenamed("key", "parent").join(wide.select("parent"), "parent").join(lists, "class_key")
+        children = children.withColumn("_new", F.concat(new, last)).drop("cut", "d")
+        children = stage(children.select("class_key", "same", "high", "m", "need", "parent", F.inline("_new")), "children")
+        met_by = stage(_totals(children.withColumn("_rows", F.lit(0)), block, block_bytes, "parent"), "totals")
+        costs = wide.join(met_by.groupBy("parent").agg(F.sum("cost").alias("_new")), "parent", "left")
+        better = stage(costs.where(F.coalesce("_new", F.lit(0)) < F.col("_cost")).select("parent"), "better")
+        settled.append(keys.join(totals.select(*plan), "key").join(better.withColumnRenamed("parent", "key"), "key", "left_anti"))
+        keys = children.join(met_by.select("key"), "key").join(better, "parent").select(*columns)
+    out = settled[0]
+    for rest in settled[1:]:
+        out = out.unionByName(rest)
+    out = out.withColumn("holds", F.col("same") | (F.col("high") != F.col("low_holds")))
+    return stage(out.select("class_key", "key", "same", "level", "cut", "alone", "holds", "strips", "parts"), "settled"), lists
+
+
+def _totals(keys: DataFrame, block: int, block_bytes: int, *also: str) -> DataFrame:
+    """How each key (of a parent) that a pair can meet under is dealt, the bytes that travel so, and the rows that its refinement has."""
+    side = lambda high: (F.sum(F.when(F.col("high") == high, 1).otherwise(0)), F.sum(F.when(F.col("high") == high, 8 * F.col("m")).otherwise(0)))
+    (low, low_bytes), (high, high_bytes) = side(False), side(True)
+    one = keys.groupBy("key", *also, "same", "alone").agg(low.alias("_low"), high.alias("_high"), low_bytes.alias("_low_bytes"), high_bytes.alias("_high_bytes"), F.sum("_rows").alias("new_rows"))
+    one = one.where("CASE WHEN same THEN _low > 1 ELSE _low > 0 AND _high > 0 END").withColumn("low_holds", F.col("same") | (F.col("_low_bytes") <= F.col("_high_bytes")))
+    of = lambda x, y: F.when(F.col("low_holds"), F.col(x)).otherwise(F.col(y))
+    one = one.withColumn("_held", of("_low", "_high")).withColumn("_held_bytes", of("_low_bytes", "_high_bytes")).withColumn("_past", of("_high", "_low")).withColumn("_past_bytes", of("_high_bytes", "_low_bytes"))
+    size = lambda n, b, times: F.greatest(F.lit(1), F.ceil(F.col(n) / (4 * block * times)), F.ceil(F.col(b) / (block_bytes * times))).cast("int")
+    one = one.withColumn("strips", size("_held", "_held_bytes", 1)).withColumn("parts", F.when(F.col("same"), 1).otherwise(size("_past", "_past_bytes", 8)))
+    cost = F.when(F.col("same"), F.col("_held_bytes") * F.col("strips")).otherwise(F.col("_held_bytes") * F.col("parts") + F.col("_past_bytes") * F.col("strips"))
+    return one.select("key", *also, "alone", "new_rows", "low_holds", "strips", "parts", cost.alias("cost"))
+
+
 def _full_sets(docs: DataFrame, placed: DataFrame, text: str, ngram: int) -> DataFrame:
     """``placed`` classes with the n-gram set of one document of each; of rows that share its doc_id those of its text count."""
     d = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"))
