@@ -727,74 +727,6 @@ def test_near_groups_give_rows_in_proportion(spark, monkeypatch):
         assert small[label] > 0 and large[label] < 2.6 * small[label], label
 
 
-def dealt_and_checked(spark, monkeypatch, texts, block):
-    """Rows that go to strips for a cluster of ``texts``; classes and links are compared with brute force."""
-    seen = Counter()
-    plain = jaccard._dealt
-
-    def counting(*args):
-        out = plain(*args)
-        seen["dealt"], seen["levels"] = out.count(), out.agg(F.max("level")).first()[0] or 0
-        return out
-
-    with monkeypatch.context() as m:
-        m.setattr(jaccard, "_dealt", counting)
-        rows = {r.doc_id: r for r in jaccard.join(docs_of(spark, texts), block=block).collect()}
-    ids = {}
-    sets = [{ids.setdefault(g, len(ids)) for g in shingles(t)} for t in texts]
-    holds = np.zeros((len(texts), len(ids)), np.float32)
-    for i, x in enumerate(sets):
-        holds[i, list(x)] = 1
-    both, size = holds @ holds.T, holds.sum(axis=1)
-    linked = 9 * both >= 4 * (size[:, None] + size[None, :])
-    root = np.arange(len(texts))
-    while True:
-        low = np.where(linked, root[None, :], len(texts)).min(axis=1)
-        if (low == root).all():
-            break
-        root = low
-    wrong = [r for r in rows.values() if r.n_links != linked[r.doc_id].sum() - 1 or r.class_id != root[r.doc_id]]
-    return seen, wrong
-
-
-def scattered(n, changes, seed=3, length=150):
-    rng = random.Random(seed)
-    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
-    texts = []
-    for k in range(n):
-        w = list(base)
-        for _ in range(changes(rng)):
-            w[rng.randrange(length)] = f"c{k}x{rng.randrange(40)}"
-        texts.append(" ".join(w))
-    return base, texts
-
-
-def test_scattered_groups_are_dealt_in_proportion(spark, monkeypatch):
-    """Variants far from their centre, most of them linked with a few only: rows grow with their number, and no link is lost."""
-    seen = []
-    for n in (400, 800):
-        base, texts = scattered(n, lambda rng: 3 + rng.randrange(2))
-        # variants of one word tie the others together
-        texts += [" ".join(base[:i] + [f"one{i}"] + base[i + 1 :]) for i in range(0, 150, 10)]
-        got, wrong = dealt_and_checked(spark, monkeypatch, texts, 16)
-        assert not wrong
-        seen.append(got)
-    assert seen[0]["levels"] > 0
-    assert seen[1]["dealt"] < 2.6 * seen[0]["dealt"], seen
-
-
-def test_an_outlier_opens_no_strips(spark, monkeypatch):
-    """A few odd texts in a tight cluster: only classes that can share enough with them travel."""
-    seen = []
-    for n in (300, 600):
-        base, texts = scattered(n, lambda rng: 1)
-        texts += [" ".join(base[:75] + [f"odd{k}x{i}" for i in range(8 + k)] + base[75:]) for k in range(4)]
-        got, wrong = dealt_and_checked(spark, monkeypatch, texts, 16)
-        assert not wrong
-        seen.append(got["dealt"])
-    assert seen[1] < 2.6 * max(seen[0], 20), seen
-
-
 def test_intersections_of_any_share(spark):
     rng = np.random.default_rng(5)
     a = [np.unique(rng.choice(m, rng.integers(0, 40)).astype(np.uint64)) for m in [10, 50, 1000, 5000] * 20]
