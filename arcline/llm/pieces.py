@@ -10,7 +10,8 @@ left token grows through its right spine and the left edge of the right token th
 these pieces face each other, the vocabulary merges them before either of them grows.
 
 Where every token is space marks with letters alone, or with other characters alone, after them, merges never cross the edges of such runs, and
-texts are cut there; equal cuts are encoded once a task, within a bound.
+texts are cut there; equal words are encoded once a task, within a bound.  Short cuts that are new to a task are merged side by side: each round
+makes the best merge of every cut, all rounds of numpy calls over what is left of them.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from arcline.llm.common import INT, STRING, carried, list_array, read, struct
 MARK = "▁"
 #: A task remembers the ids of so many words and cuts of at most so many characters, of twice as many at times, and so many pairs of tokens.
 REMEMBERED, SHORT, PAIRS = 1 << 17, 48, 1 << 19
-#: Characters, or ids, of a text that are worked on at a time, and bytes of ids that go out at a time.
-RUN, OUT_BYTES = 1 << 18, 1 << 22
+#: Characters, or ids, of a text that are worked on at a time, characters of texts whose words are looked up together, and cuts that merge side by side.
+RUN, TOGETHER, ABREAST = 1 << 18, 1 << 20, 1 << 15
 NEVER = 1 << 62
 
 codecs.register_error("arcline.each", lambda e: ("�", e.start + 1))
@@ -102,6 +103,9 @@ class Pieces:
         at = {name: k for k, name in enumerate(self.names)}
         self.ids = [ids.get(name, -1) for name in self.names]
         self.joins = {at[a] * len(at) + at[b]: rank[name] for name, (a, b) in parts.items()}
+        split = [(at[name[:i]], at[name[i:]], at[name], rank[name]) for name in parts for i in range(1, len(name)) if name[:i] in at and name[i:] in at]
+        #: Every two tokens that make up a third, that one, and its rank.
+        self.pairs = tuple(np.array(split, np.int32).reshape(-1, 4).T.copy())
         self.right: list[list[tuple[int, int]]] = []
         self.left: list[list[tuple[int, int]]] = []
         for k, name in enumerate(self.names):
@@ -110,23 +114,97 @@ class Pieces:
                 spines.append([*inner[:-1], (inner[-1][0], rank[name]), (k, NEVER)] if inner else [(k, NEVER)])
 
 
-class _Known(dict):
-    """What ``make`` gives for short keys.  When it is full it becomes the older half, from which what is met again comes back."""
+class _Known:
+    """What ``make`` gives for many keys at once.  When it is full it becomes the older half, from which what is met again comes back."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make, self.newer, self.older, self.long = make, {}, {}, []
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all ``keys``, until the next call."""
+        for key in self.long:
+            del self.newer[key]
+        if len(self.newer) >= REMEMBERED:
+            self.newer, self.older = {}, self.newer
+        missing = keys - self.newer.keys()
+        again = missing & self.older.keys()
+        self.newer.update((key, self.older[key]) for key in again)
+        fresh = list(missing - again)
+        self.newer.update(zip(fresh, self.make(fresh), strict=True))
+        self.long = [key for key in fresh if len(key) > SHORT]
+        return self.newer
+
+
+class Merges:
+    """Merging of many short cuts side by side, always the best pair of each and the leftmost of several."""
+
+    NONE = 1 << 30
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.base = len(pieces.names) + 1
+        self.ids = np.array([*pieces.ids, -1], np.int32)
+        self.symbol = np.full(0x110000, self.base - 1, np.int32)  # characters that no token has never merge
+        for k, name in enumerate(pieces.names):
+            if len(name) == 1:
+                self.symbol[ord(name)] = k
+        a, b, name, rank = pieces.pairs
+        keys = a.astype(np.int64) * self.base + b
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        at, left = self._hash(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.slots[at[left]] < 0]
+            self.slots[at[free]] = keys[free]
+            left = left[self.slots[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+        self.rank, self.name = np.full(len(self.slots), self.NONE, np.int64), np.zeros(len(self.slots), np.int32)
+        self.rank[at], self.name[at] = rank, name
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where each pair stands in the table, or an empty place."""
+        keys = a.astype(np.int64) * self.base + b
+        at = self._hash(keys)
+        there = self.slots[at]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            there = self.slots[at[left]]
+            left = left[(there != keys[left]) & (there >= 0)]
+        return at
+
+    def merged(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``cuts``, none of them empty, one after another, and how many each has; -1 for a character without an id."""
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        symbols = self.symbol[np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(cuts)), counts)
+        slot = np.append(self._slot(symbols[:-1], symbols[1:]), 0)
+        rank = self.rank[slot]
+        rank[np.cumsum(counts) - 1] = self.NONE
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), starts)
+            open_ = best < self.NONE << 32
+            at = best[open_] & 0xFFFFFFFF
+            symbols[at] = self.name[slot[at]]
+            keep = np.repeat(open_, np.diff(np.append(starts, len(symbols))))
+            if not open_.all():
+                done.append((owner[~keep], symbols[~keep]))
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
+            symbols, owner, slot, rank = symbols[keep], owner[keep], slot[keep], rank[keep]
+            touched = np.concatenate([at, at[at > 0] - 1])
+            touched = touched[touched + 1 < len(symbols)]
+            touched = touched[owner[touched] == owner[touched + 1]]
+            slot[touched] = self._slot(symbols[touched], symbols[touched + 1])
+            rank[touched] = self.rank[slot[touched]]
+            rank[np.append(owner[1:] != owner[:-1], True)[: len(rank)]] = self.NONE  # the last of a cut has no pair
+        owners, found = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owners, kind="stable")
+        return self.ids[found[order]], np.bincount(owners, minlength=len(cuts))
 
 
 class Encoder:
@@ -140,8 +218,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.length = [len(name) for name in pieces.names]
         self.pairs: dict[int, bool] = {}
-        self.cuts = _Known(lambda cut: array.array("i", self.cut(cut)).tobytes())
-        self.words = _Known(lambda word: self.pieced(MARK + word))
+        self.merges = Merges(pieces)
+        self.cuts, self.words = _Known(self.of_cuts), _Known(self.of_words)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge joins the edges of two tokens while they grow.  Of merges of one rank the leftmost comes first."""
@@ -187,21 +265,64 @@ class Encoder:
         out.reverse()
         return out
 
-    def pieced(self, text: str) -> bytes:
-        return b"".join(map(self.cuts.__getitem__, self.pieces.pattern.findall(text)))
+    def of_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of each cut as 32-bit numbers: short ones side by side, long ones and those with characters to spell in bytes by themselves."""
+        out: list[bytes | None] = [None] * len(cuts)
+        short = [k for k, cut in enumerate(cuts) if len(cut) <= SHORT]
+        for b in range(0, len(short), ABREAST):
+            some = short[b : b + ABREAST]
+            ids, counts = self.merges.merged([cuts[k] for k in some])
+            ends = np.cumsum(counts)
+            spelt = set(np.searchsorted(ends, np.flatnonzero(ids < 0), "right").tolist())
+            data, begin = ids.tobytes(), 0
+            for i, (k, end) in enumerate(zip(some, (4 * ends).tolist(), strict=True)):
+                if i not in spelt:
+                    out[k] = data[begin:end]
+                begin = end
+        return [array.array("i", self.cut(cut)).tobytes() if found is None else found for cut, found in zip(cuts, out, strict=True)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a mark before it; words have no marks, and one may be empty."""
+        if "" in words:
+            k = words.index("")
+            return [*self.of_words(words[:k]), *self.of_cuts([MARK]), *self.of_words(words[k + 1 :])]
+        if not words:
+            return []
+        cuts = self.pieces.pattern.findall(MARK + MARK.join(words))
+        starts = [k for k, cut in enumerate(cuts) if cut[0] == MARK]
+        distinct = list(dict.fromkeys(cuts))
+        known = dict(zip(distinct, self.of_cuts(distinct), strict=True))
+        parts = [known[cut] for cut in cuts]
+        return [parts[b] if e - b == 1 else b"".join(parts[b:e]) for b, e in zip(starts, [*starts[1:], len(cuts)], strict=True)]
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit numbers."""
-        normal = self.library.normalize(text)
-        if not self.pieces.runs:
-            return self.pieced(normal)
-        out = []
-        for run in _runs(normal):
-            if MARK * 2 in run or not run.startswith(MARK):
-                out.append(self.pieced(run))
-            else:
-                out += map(self.words.__getitem__, run[1:].split(MARK))
-        return b"".join(out)
+        return self.texts([text])[0]
+
+    def texts(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each whole text as 32-bit numbers; words and cuts that are new are worked out together."""
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, _Known, list[str]]] = []
+
+        def settle() -> None:
+            known = {memory: memory.of(set().union(*(keys for _, m, keys in waiting if m is memory))) for memory in (self.cuts, self.words)}
+            for k, memory, keys in waiting:
+                out[k].append(b"".join(map(known[memory].__getitem__, keys)))
+            waiting.clear()
+
+        held = 0
+        for text in texts:
+            out.append([])
+            normal = self.library.normalize(text)
+            for run in _runs(normal) if self.pieces.runs else [normal]:
+                plain = self.pieces.runs and run.startswith(MARK) and MARK * 2 not in run
+                waiting.append((len(out) - 1, *((self.words, run[1:].split(MARK)) if plain else (self.cuts, self.pieces.pattern.findall(run)))))
+                held += len(run)
+                if held > TOGETHER:
+                    settle()
+                    held = 0
+        settle()
+        return [b"".join(x) for x in out]
 
 
 EDGE = re.compile(f"[^{MARK}](?={MARK})")
@@ -255,15 +376,16 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
         encoder = Encoder(shared.value)
         stop = np.array([shared.value.end], np.int32).tobytes() if end else b""
         for batch in batches:
-            out, held, lo = [], 0, 0
+            texts, held, lo = [], 0, 0
             column = batch.column(0).cast(pa.large_binary())
             for k in range(batch.num_rows):
-                out.append(encoder.text((column[k].as_py() or b"").decode("utf-8", "replace")) + stop)
-                held += len(out[-1])
-                if held > OUT_BYTES or k == batch.num_rows - 1:
+                texts.append((column[k].as_py() or b"").decode("utf-8", "replace"))
+                held += len(texts[-1])
+                if held > TOGETHER or k == batch.num_rows - 1:
+                    out = [x + stop for x in encoder.texts(texts)]
                     counts = np.array([len(x) // 4 for x in out])
                     yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(lo, len(out)) for i in range(len(kept))), list_array(pa.array(np.frombuffer(b"".join(out), np.int32)), counts)], names=schema.fieldNames())
-                    out, held, lo = [], 0, k + 1
+                    texts, held, lo = [], 0, k + 1
 
     return docs.select(F.col(text).alias(_fresh("_text", kept)), *kept).mapInArrow(run, schema)
 

@@ -44,6 +44,21 @@ def test_memories_that_run_full_change_nothing(model, monkeypatch):
         assert pieces.text_of(model, np.array(ids, np.int32)) == library.decode(ids)
 
 
+def test_new_words_are_merged_side_by_side(model, monkeypatch):
+    """Short words that a task hasn't met take no walk of their own, however many slices and groups they fall into."""
+    walked = []
+    cut = pieces.Encoder.cut
+    monkeypatch.setattr(pieces.Encoder, "cut", lambda self, text: walked.append(text) or cut(self, text))
+    monkeypatch.setattr(pieces, "ABREAST", 700, raising=False)
+    monkeypatch.setattr(pieces, "TOGETHER", 5000, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("aaabcdeeinorst0019.-'") for _ in range(rng.randrange(1, 20))) for _ in range(rng.randrange(300))) for _ in range(40)]
+    encoder, library = pieces.Encoder(model), model.library()
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in map(encoder.text, texts)] == library.encode(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in encoder.texts(texts + ODD[1:])] == library.encode(texts + ODD[1:])
+    assert all(len(text) > pieces.SHORT or any(library.piece_to_id(c) == library.unk_id() for c in text) for text in walked)
+
+
 def test_any_ids_are_decoded_as_the_library_does(model):
     rng, library = random.Random(3), model.library()
     for _ in range(4000):
