@@ -223,17 +223,18 @@ def frame_chord(a: Column, b: Column, width: Column, height: Column) -> Column:
 
 def clip_to_side(r: Column, a: Column, b: Column, positive: Column) -> Column:
     """What of a ring lies on one side of the line a b, points nearer than 1e-4 to the one before dropped."""
-    side = lambda p: signed_distance(p, a, b)
-    keep = lambda p: F.when(positive, side(p) >= -ON_SIDE).otherwise(side(p) <= ON_SIDE)
+    sided = F.transform(r, lambda p: F.struct(p.alias("p"), signed_distance(p, a, b).alias("side")))
+    keep = lambda e: F.when(positive, e["side"] >= -ON_SIDE).otherwise(e["side"] <= ON_SIDE)
 
-    def cut(p: Column, q: Column) -> Column:
-        denom = side(p) - side(q)
-        t = F.try_divide(side(p), denom)
-        return F.when(F.abs(denom) < PARALLEL, q).otherwise(point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
+    def cut(e: Column, f: Column) -> Column:
+        p, q, denom = e["p"], f["p"], e["side"] - f["side"]
+        along = let(F.try_divide(e["side"], denom), lambda t: point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
+        return F.when(F.abs(denom) < PARALLEL, q).otherwise(along)
 
-    before = F.concat(F.slice(r, -1, 1), F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))))
     none = F.array().cast(RING)
-    parts = F.zip_with(before, r, lambda p, q: F.when(keep(q), F.when(keep(p), F.array(q)).otherwise(F.array(cut(p, q), q))).otherwise(F.when(keep(p), F.array(cut(p, q))).otherwise(none)))
+    before = lambda v: F.concat(F.slice(v, -1, 1), F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))))
+    part = lambda e, f: F.when(keep(f), F.when(keep(e), F.array(f["p"])).otherwise(F.array(cut(e, f), f["p"]))).otherwise(F.when(keep(e), F.array(cut(e, f))).otherwise(none))
+    parts = let(sided, lambda v: F.zip_with(before(v), v, part))
     apart = F.aggregate(F.flatten(parts), none, lambda kept, p: F.when((F.size(kept) == 0) | (distance(p, F.element_at(kept, -1)) > SAME_POINT), F.concat(kept, F.array(p))).otherwise(kept))
     closed = lambda v: (F.size(v) > 1) & (distance(F.get(v, F.lit(0)), F.get(v, F.size(v) - 1)) < SAME_POINT)
     return let(apart, lambda v: F.when(closed(v), F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0)))).otherwise(v))

@@ -36,8 +36,7 @@ def frame_size(r: Column) -> Column:
 def closest_by_size(records: Column, width: Column, height: Column) -> Column:
     """The record nearest to a size, aspect first; the first on a tie."""
     def far(r: Column) -> Column:
-        s = frame_size(r)
-        return F.abs(ratio(s["width"], s["height"]) - ratio(width, height)) * 1000 + F.abs(s["width"] - width) + F.abs(s["height"] - height)
+        return G.let(frame_size(r), lambda s: F.abs(ratio(s["width"], s["height"]) - ratio(width, height)) * 1000 + F.abs(s["width"] - width) + F.abs(s["height"] - height))
 
     return G.first_best(records, far)
 
@@ -52,8 +51,7 @@ def select_record(records: Column, image: Column, width: Column, height: Column,
 
 
 def _sized(r: Column) -> Column:
-    s = frame_size(r)
-    return F.coalesce((s["width"] > 0) & (s["height"] > 0), F.lit(False))
+    return F.coalesce(G.let(frame_size(r), lambda s: (s["width"] > 0) & (s["height"] > 0)), F.lit(False))
 
 
 def selection_refusal(records: Column, image: Column, width: Column, height: Column, index: Column) -> Column:
@@ -71,15 +69,15 @@ def record_refusal(r: Column) -> Column:
     """Why a line record makes no polygon, but for polygons that turn out too small."""
     lines, side = r["lines"], F.lower(r["view_side"])
     two, one = (r["view"] == "view2") | (r["mode"] == "view2"), (r["view"] == "view3") | (r["mode"] == "view3")
-    no_ends = lambda line: G.let(line_ends(line), lambda e: e["a"].isNull() | e["b"].isNull())
-    top, low = _named(lines, "top_to_vertex", 0), _named(lines, "side_to_vertex", 1)
+    lacks = lambda e: e["a"].isNull() | e["b"].isNull()
+    missing = lambda v: first_of((v["top"].isNull() | v["side"].isNull(), "view2_lines_missing"), (G.let(line_ends(v["top"]), lacks) | G.let(line_ends(v["side"]), lacks), "line_needs_two_ends"))
     inside = F.coalesce(r["inside_point"], r["roles"]["inside_marker"]["center"])
     only = F.get(lines, F.lit(0))
     is_two, is_one = F.coalesce(two, F.lit(False)), F.coalesce(one, F.lit(False)) & ~F.coalesce(two, F.lit(False))
     return first_of(
         (~is_two & ~is_one, "unsupported_kind"), (~_sized(r), "no_frame_size"),
-        (is_two & (top.isNull() | low.isNull()), "view2_lines_missing"), (is_two & (no_ends(top) | no_ends(low)), "line_needs_two_ends"),
-        (is_one & (F.coalesce(F.size(lines), F.lit(0)) != 1), "view3_needs_one_line"), (is_one & no_ends(only), "line_needs_two_ends"),
+        (is_two, G.let(_two_lines(lines), missing)),
+        (is_one & (F.coalesce(F.size(lines), F.lit(0)) != 1), "view3_needs_one_line"), (is_one & G.let(line_ends(only), lacks), "line_needs_two_ends"),
         (is_one & inside.isNotNull() & (F.size(inside) != 2), "bad_point"),
         (is_one & inside.isNull() & ~F.coalesce(side.isin("left", "right"), F.lit(False)), "view3_needs_a_side"), (is_one & G.let(line_ends(only), lambda e: e["a"] == e["b"]), "line_points_identical"))
 
@@ -97,14 +95,25 @@ def ready_refusal(r: Column) -> Column:
 def line_ends(line: Column) -> Column:
     """struct(a, b): the first of a line's lists of ends that is not empty."""
     some = lambda c: F.when(F.size(c) > 0, c)
-    ends = F.coalesce(some(line["points"]), some(line["extended_endpoints"]), some(line["segment_endpoints"]))
-    return F.when(F.size(ends) == 2, F.struct(G.point_of(F.get(ends, F.lit(0))).alias("a"), G.point_of(F.get(ends, F.lit(1))).alias("b")))
+    ends = lambda x: F.coalesce(some(x["points"]), some(x["extended_endpoints"]), some(x["segment_endpoints"]))
+    both = lambda v: F.when(F.size(v) == 2, F.struct(G.point_of(F.get(v, F.lit(0))).alias("a"), G.point_of(F.get(v, F.lit(1))).alias("b")))
+    return G.let(line, lambda x: G.let(ends(x), both))
 
 
-def _named(lines: Column, name: str, place: int) -> Column:
+def _two_lines(lines: Column) -> Column:
+    """struct(top, side): the last lines of these names, or two lines in their order; null where they are missing."""
     found = lambda n: F.try_element_at(F.filter(lines, lambda x: x["name"] == n), F.lit(-1))
-    both = found("top_to_vertex").isNotNull() & found("side_to_vertex").isNotNull()
-    return F.when(both, found(name)).when(F.size(lines) == 2, F.get(lines, F.lit(place)))
+    named = F.struct(found("top_to_vertex").alias("top"), found("side_to_vertex").alias("side"))
+    placed = F.when(F.size(lines) == 2, F.struct(F.get(lines, F.lit(0)).alias("top"), F.get(lines, F.lit(1)).alias("side")))
+    return G.let(named, lambda v: F.when(v["top"].isNotNull() & v["side"].isNotNull(), v).otherwise(placed))
+
+
+def _frames(r: Column, width: Column, height: Column) -> Column:
+    """struct(width, height, own_width, own_height, sx, sy): the target frame, the record's own, and the ratios of the two."""
+    size = frame_size(r)
+    return F.struct(
+        width.cast("double").alias("width"), height.cast("double").alias("height"), size["width"].alias("own_width"), size["height"].alias("own_height"),
+        ratio(width, size["width"]).alias("sx"), ratio(height, size["height"]).alias("sy"))
 
 
 def two_line_polygon(r: Column, width: Column, height: Column) -> Column:
@@ -112,23 +121,25 @@ def two_line_polygon(r: Column, width: Column, height: Column) -> Column:
 
     The polygon runs along the frame from one line's border end to the other's, the upper way, and through the corner.
     """
-    size = frame_size(r)
-    sx, sy = ratio(width, size["width"]), ratio(height, size["height"])
-    ends = F.struct(line_ends(_named(r["lines"], "top_to_vertex", 0)).alias("top"), line_ends(_named(r["lines"], "side_to_vertex", 1)).alias("side"))
     given = F.coalesce(*[G.point_of(F.when(F.size(r[n]) > 0, r[n])) for n in ("vertex_point", "court_vertex", "view2_vertex_point")])
 
-    def split(e: Column) -> Column:
-        return F.struct(*[G.let(G.border_first(e[k]["a"], e[k]["b"], size["width"], size["height"]), lambda x: F.struct(G.scaled(x["border"], sx, sy).alias("border"), G.scaled(x["vertex"], sx, sy).alias("vertex"))).alias(k) for k in ("top", "side")])
+    def split(e: Column, f: Column) -> Column:
+        return F.struct(*[G.let(G.border_first(e[k]["a"], e[k]["b"], f["own_width"], f["own_height"]), lambda x: F.struct(G.scaled(x["border"], f["sx"], f["sy"]).alias("border"), G.scaled(x["vertex"], f["sx"], f["sy"]).alias("vertex"))).alias(k) for k in ("top", "side")])
 
-    def corner(s: Column) -> Column:
-        met = G.joined_vertex(s["top"]["border"], s["top"]["vertex"], s["side"]["border"], s["side"]["vertex"], width, height)
-        return F.struct(s["top"]["border"].alias("top"), s["side"]["border"].alias("side"), F.when(given.isNotNull(), G.scaled(given, sx, sy)).otherwise(met).alias("vertex"))
+    def corner(s: Column, f: Column) -> Column:
+        met = G.joined_vertex(s["top"]["border"], s["top"]["vertex"], s["side"]["border"], s["side"]["vertex"], f["width"], f["height"])
+        vertex = G.let(given, lambda p: F.when(p.isNotNull(), G.scaled(p, f["sx"], f["sy"])).otherwise(met))
+        return F.struct(s["top"]["border"].alias("top"), s["side"]["border"].alias("side"), vertex.alias("vertex"))
 
-    def shape(c: Column) -> Column:
-        polygon = F.transform(F.concat(G.upper_arc(c["top"], c["side"], width, height), F.array(c["vertex"])), lambda p: G.rounded_point(p, 3))
+    def shape(c: Column, f: Column) -> Column:
+        polygon = F.transform(F.concat(G.upper_arc(c["top"], c["side"], f["width"], f["height"]), F.array(c["vertex"])), lambda p: G.rounded_point(p, 3))
         return F.struct(polygon.alias("polygon"), G.rounded_point(c["vertex"], 3).alias("vertex"))
 
-    return G.let(ends, lambda e: F.when(e["top"].isNotNull() & e["side"].isNotNull(), G.let(split(e), lambda s: G.let(corner(s), shape))))
+    def drawn(e: Column) -> Column:
+        return G.let(_frames(r, width, height), lambda f: G.let(split(e, f), lambda s: G.let(corner(s, f), lambda c: shape(c, f))))
+
+    ends = G.let(_two_lines(r["lines"]), lambda v: F.struct(line_ends(v["top"]).alias("top"), line_ends(v["side"]).alias("side")))
+    return G.let(ends, lambda e: F.when(e["top"].isNotNull() & e["side"].isNotNull(), drawn(e)))
 
 
 def one_line_polygon(r: Column, width: Column, height: Column) -> Column:
@@ -137,24 +148,25 @@ def one_line_polygon(r: Column, width: Column, height: Column) -> Column:
     The inside is the side of the record's inside point, else the left or right that it names; null where neither is there or fewer than three
     vertices are left.
     """
-    size = frame_size(r)
-    sx, sy = ratio(width, size["width"]), ratio(height, size["height"])
-    inside = G.point_of(F.coalesce(r["inside_point"], r["roles"]["inside_marker"]["center"]))
-    side = F.lower(r["view_side"])
+    inside = F.coalesce(r["inside_point"], r["roles"]["inside_marker"]["center"])
 
-    def chord(e: Column) -> Column:
-        a, b = G.scaled(e["a"], sx, sy), G.scaled(e["b"], sx, sy)
-        return F.coalesce(G.frame_chord(a, b, width, height), G.by_y_then_x(F.array(a, b)))
+    def chord(e: Column, f: Column) -> Column:
+        ends = F.struct(G.scaled(e["a"], f["sx"], f["sy"]).alias("a"), G.scaled(e["b"], f["sx"], f["sy"]).alias("b"))
+        return G.let(ends, lambda s: F.coalesce(G.frame_chord(s["a"], s["b"], f["width"], f["height"]), G.by_y_then_x(F.array(s["a"], s["b"]))))
 
-    def shape(c: Column) -> Column:
+    def shape(c: Column, f: Column) -> Column:
         start, end = F.get(c, F.lit(0)), F.get(c, F.lit(1))
-        positive = F.when(inside.isNotNull(), G.signed_distance(G.scaled(inside, sx, sy), start, end) >= 0).when(side == "left", True).when(side == "right", False)
-        polygon = G.let(positive, lambda p: F.when(p.isNotNull(), G.clip_to_side(G.frame_ring(width, height), start, end, p)))
+        named = G.let(F.lower(r["view_side"]), lambda s: F.when(s == "left", True).when(s == "right", False))
+        positive = G.let(G.let(inside, G.point_of), lambda p: F.when(p.isNotNull(), G.signed_distance(G.scaled(p, f["sx"], f["sy"]), start, end) >= 0).otherwise(named))
+        polygon = G.let(positive, lambda p: F.when(p.isNotNull(), G.clip_to_side(G.frame_ring(f["width"], f["height"]), start, end, p)))
         made = lambda v: F.struct(F.transform(v, lambda p: G.rounded_point(p, 3)).alias("polygon"), G.rounded_point(start, 3).alias("line_start"), G.rounded_point(end, 3).alias("line_end"))
         return G.let(polygon, lambda v: F.when(F.size(v) >= 3, made(v)))
 
+    def drawn(e: Column) -> Column:
+        return G.let(_frames(r, width, height), lambda f: G.let(chord(e, f), lambda c: shape(c, f)))
+
     ends = line_ends(F.when(F.size(r["lines"]) == 1, F.get(r["lines"], F.lit(0))))
-    return G.let(ends, lambda e: F.when(e.isNotNull(), G.let(chord(e), shape)))
+    return G.let(ends, lambda e: F.when(e.isNotNull(), drawn(e)))
 
 
 def configured_segments(r: Column) -> Column:
@@ -165,9 +177,8 @@ def configured_segments(r: Column) -> Column:
 
 def scaled_segments(r: Column, width: Column, height: Column) -> Column:
     """The lines of a record as segments in the target frame."""
-    size = frame_size(r)
-    sx, sy = ratio(width, size["width"]), ratio(height, size["height"])
-    return F.transform(r["lines"], lambda x: G.let(line_ends(x), lambda e: F.struct(G.scaled(e["a"], sx, sy).alias("a"), G.scaled(e["b"], sx, sy).alias("b"))))
+    scaled = lambda e, f: F.struct(G.scaled(e["a"], f["sx"], f["sy"]).alias("a"), G.scaled(e["b"], f["sx"], f["sy"]).alias("b"))
+    return G.let(_frames(r, width, height), lambda f: F.transform(r["lines"], lambda x: G.let(line_ends(x), lambda e: scaled(e, f))))
 
 
 def corner_segments(polygon: Column) -> Column:
@@ -176,6 +187,12 @@ def corner_segments(polygon: Column) -> Column:
     return F.array(F.struct(at(1).alias("a"), at(-1).alias("b")), F.struct(at(-2).alias("a"), at(-1).alias("b")))
 
 
+def _dealt(configs: DataFrame) -> DataFrame:
+    """``configs`` over all cores: they are few bytes and much work each, so a million of them in one small file would be one task or two."""
+    spark = configs.sparkSession
+    return configs.repartition(min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "clip_id")
+
+
 def normalize(configs: DataFrame) -> DataFrame:
     """From (clip_id, document, target_width, target_height, config_image, config_index) to what ``judge`` takes, a row per clip.
 
@@ -183,6 +200,7 @@ def normalize(configs: DataFrame) -> DataFrame:
     ``mode`` is null and ``refused`` says why: unreadable_document, what ``selection_refusal``, ``record_refusal`` or ``ready_refusal`` give, or
     polygon_too_small.  ``segments`` are the lines to draw: those that the configuration brings, else the record's, else the line that judges.
     """
+    configs = _dealt(configs)
     once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  worked out once: filters on what follows would repeat it
     parsed = once(configs, "_records", parse_configs(F.col("document")))
     asked = [F.col(c) for c in ("config_image", "target_width", "target_height", "config_index")]

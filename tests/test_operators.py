@@ -77,6 +77,15 @@ def test_configurations(spark):
     assert rows["e"].mode is None
 
 
+def test_configurations_are_dealt_out_and_looked_up_once(spark):
+    """A file of many clips is a task or two by its bytes; and lines looked up in a record aren't looked up again for each use."""
+    assert courts.normalize(configs(spark).coalesce(1)).rdd.getNumPartitions() == 4
+    r, size = F.col("r"), F.lit(100.0)
+    assert str(courts.two_line_polygon(r, size, size)).count("top_to_vertex") == 1
+    assert str(courts.record_refusal(r)).count("top_to_vertex") == 1
+    assert str(courts.one_line_polygon(r, F.col("wide"), size)).count("wide") <= 2
+
+
 def test_judging_by_each_clips_own_configuration(spark):
     bounces = spark.createDataFrame([("a", 300.0, 300.0), ("a", 1200.0, 300.0), ("a", 1001.0, 600.0), ("d", 10.0, 50.0), ("e", 1.0, 1.0), ("z", 1.0, 1.0)], "clip_id string, x double, y double")
     got = {(r.clip_id, r.x): (r.decision, r.boundary_distance_px, r.signed_distance_px) for r in courts.judge(bounces, courts.normalize(configs(spark))).collect()}
